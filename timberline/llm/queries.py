@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import exact_dedup, mixing, token_counts
+from timberline import ship
+from timberline.llm import chat_format, exact_dedup, language_id, mixing, token_counts, toxicity, url_filter
 from timberline.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,17 +24,50 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(_remainder(5) != 0), labels.where(_remainder(5) != 0).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation beside a worse one of its own; spans as text, so that SQL can give the same."""
+    rows = chat_format.format_preferences(chat_format.echo_pairs(chat_format.conversations(_table(spark, sf_dir, "conversations"))))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return rows.withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs, language_id.fit(docs.where(_remainder(4) != 2)))
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op7_language_id": op7_language_id,
+    "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
 
@@ -64,3 +99,18 @@ FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
 
 
 ORACLES["op10_mixing"] = mixing_sql("SELECT doc_id, source, text FROM documents")
+
+ORACLES["op5_chat_format"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+a AS (SELECT conv_id, count(*) AS size, max(i) FILTER (role = 'assistant') AS l, min(i) FILTER (role = 'assistant') AS f FROM n GROUP BY conv_id),
+w AS (SELECT n.*, a.size, a.l, CASE WHEN n.i = a.l THEN CASE WHEN a.f < a.l THEN (SELECT m.text FROM n m WHERE m.conv_id = n.conv_id AND m.i = a.f) ELSE '' END ELSE n.text END AS other FROM n JOIN a USING (conv_id)),
+p AS (SELECT conv_id, coalesce(min(i) FILTER (text <> other) - 1, any_value(size)) AS k FROM w GROUP BY conv_id),
+r AS (SELECT w.*, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS d FROM w JOIN p USING (conv_id)),
+s AS (SELECT *, coalesce(sum(length(c)) FILTER (i > k) OVER b, 0) AS cs, coalesce(sum(length(d)) FILTER (i > k) OVER b, 0) AS ds FROM r WINDOW b AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, CAST(any_value(k) AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(c, '' ORDER BY i) FILTER (i <= k), '') AS prompt, coalesce(string_agg(c, '' ORDER BY i) FILTER (i > k), '') AS chosen, coalesce(string_agg(d, '' ORDER BY i) FILTER (i > k), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(cs + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(cs + length(c) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (i > k AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(CAST(CAST(ds + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ds + length(d) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (i > k AND role = 'assistant'), '') AS rejected_spans
+FROM s GROUP BY conv_id
+"""
