@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline import ship
-from timberline.llm import chat_format, exact_dedup, language_id, mixing, token_counts, toxicity, url_filter
+from timberline.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, token_counts, toxicity, url_filter
 from timberline.llm.common import new_path
 
 
@@ -47,12 +47,22 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "run", "kind", F.lit(True).alias("contaminated"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.predict(docs, language_id.fit(docs.where(_remainder(4) != 2)))
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -66,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
