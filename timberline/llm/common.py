@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tables of verdicts up to this many rows are broadcast; beyond it they are shuffled.
+BROADCAST_ROWS = 500_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -119,4 +122,4 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for i, k in enumerate(keys):
         match = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = match if i == 0 else cond & match
-    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(right, cond, how).select(*left.columns, *([] if how in ("left_anti", "left_semi") else [c for c in right.columns if c not in {f"_r_{k}" for k in keys}]))

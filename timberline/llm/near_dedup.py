@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import TokenHashes, drop_path, materialize, mix64, new_path, text_of, window_hashes
+from timberline.llm.common import BROADCAST_ROWS, TokenHashes, drop_path, materialize, mix64, new_path, text_of, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -21,8 +21,6 @@ COMMON = 1 / 1000
 PER_TASK = 8192
 #: Shingles whose local counts a task sums at a time; shingles that are sampled at a time.
 HELD, CHUNK = 8_000_000, 1 << 15
-#: Row sets up to this many are broadcast; beyond it they are shuffled.
-BROADCAST_ROWS = 500_000
 #: Pairs across classes that the last round tests at once, for each text that shares a bucket; above it more pivots come first.
 REST, PIVOTS = 4, 12
 
@@ -156,7 +154,7 @@ def log_weights(shingles: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray,
     return np.log(tf * idf).astype(np.float32)
 
 
-SKETCHES = "doc_id BIGINT, key STRING, bands ARRAY<BIGINT>, sample BINARY, shingles BINARY, weights BINARY"
+SKETCHES = "doc_id BIGINT, text_key BIGINT, key STRING, bands ARRAY<BIGINT>, sample BINARY, shingles BINARY, weights BINARY"
 
 
 def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,7 +169,7 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
         k = bands * rows
         band_seed = mix64(np.arange(101, 101 + bands, dtype=np.uint64))
 
-        def flush(ids, found):
+        def flush(ids, texts_, found):
             keys = [xxh3_128_hexdigest(w.tobytes()) for w, _ in found]
             sets = [np.unique(s, return_counts=True) for _, s in found]
             full = [i for i, (s, _) in enumerate(sets) if len(s)]
@@ -195,20 +193,21 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
                     bins[i], samples[i], blobs[i] = keyed[m].tolist(), short[m].tobytes(), small[order].tobytes()
                     w = np.exp(lw[a:b][order])
                     weights[i] = b"" if (np.abs(w - 2) < 1e-5).all() else w.tobytes()
-            data = [pa.array(ids, pa.int64()), pa.array(keys), pa.array(bins, pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in (samples, blobs, weights))]
+            data = [pa.array(ids, pa.int64()), pa.array(texts_, pa.int64()), pa.array(keys), pa.array(bins, pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in (samples, blobs, weights))]
             return pa.RecordBatch.from_arrays(data, names)
 
         for batch in batches:
-            ids, found, held = [], [], 0
-            for doc, pair in zip(batch.column("doc_id").to_pylist(), _sets(batch, hashes), strict=True):
+            ids, texts_, found, held = [], [], [], 0
+            for doc, text, pair in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), _sets(batch, hashes), strict=True):
                 ids.append(doc)
+                texts_.append(text)
                 found.append(pair)
                 held += len(pair[0])
                 if held >= 400_000:
-                    yield flush(ids, found)
-                    ids, found, held = [], [], 0
+                    yield flush(ids, texts_, found)
+                    ids, texts_, found, held = [], [], [], 0
             if ids:
-                yield flush(ids, found)
+                yield flush(ids, texts_, found)
 
     return texts.mapInArrow(run, SKETCHES)
 
@@ -241,7 +240,8 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, key, class_id (the smallest doc_id of its class), kept (one row of each class).
+    """One row per row of `docs` (doc_id, text): doc_id, text_key (a hash of its text), class_id (the smallest doc_id of its class), class_size, kept (one row of each class;
+    rows that are the same in doc_id and text share the verdict).
 
     Texts of the same words (lower case, between white space) are one vertex. Vertices that share a band's samples are candidates; pairs of
     weighted Jaccard similarity `similarity` or more are linked, and classes are the connected components. In each bucket all members are tested against one
@@ -249,10 +249,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     is tested, so that no candidate pair of different texts is left untested that could join two classes. Pairs inside a class are never listed.
     Since weights lie between 1 and 2 times tf, texts that share 8/9 of their shingles pass whatever the weights. Bands find a pair of similarity 0.8 with a chance of
     0.997, one of 0.9 with 0.99999. Null is empty; all texts without a word are one class; texts of fewer than five words are
-    one shingle. Of repeated rows one is kept. An empty table gives no rows.
+    one shingle. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("string").alias("text"), F.xxhash64(text_of()).alias("text_key"))
     n = texts.count()
     common = common_shingles(texts, n)
     at = new_path(spark, "sketches")
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     keys = materialize(buckets.select(F.col("key").alias("id")).distinct(), "keys")
     count = keys.count()
     sets = materialize(full.select("key", "shingles", "weights").join(_few(keys.select(F.col("id").alias("key")), count), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    members = materialize(full.select("doc_id", "key"), "members")
+    members = materialize(full.select("doc_id", "text_key", "key"), "members")
     drop_path(spark, at)
 
     cut = lambda df, name: materialize(df, name)
@@ -300,8 +300,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
             break
 
     labels = labels.select(F.col("id").alias("key"), "component")
-    member = members.join(labels, "key", "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
+    member = members.join(labels, "key", "left").select("doc_id", "text_key", "key", F.coalesce("component", "key").alias("component"))
     member = materialize(member, "member")
-    first = materialize(member.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
+    first = materialize(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
     out = member.join(first, "component")
-    return out.select("doc_id", "key", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))

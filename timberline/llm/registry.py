@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from timberline.llm import queries as q
 
 
 def queries() -> dict:
-    return dict(q.QUERIES)
+    return {**q.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
