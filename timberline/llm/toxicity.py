@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections.abc import Iterator
@@ -12,14 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import TokenHashes, unit_hash
+from timberline.llm.common import unit_hash
 
 #: Bounds of the labelled sample (in expectation): rows and characters.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000_000
-#: Hashed features are 2 ** BITS; lexicon voters are at most VOTERS, each seen in SUPPORT toxic texts at least.
-BITS, VOTERS, SUPPORT = 20, 400, 4
+#: Lexicon voters are at most VOTERS, each seen in SUPPORT toxic texts at least; the classifier weighs at most KEPT features.
+VOTERS, SUPPORT, KEPT = 400, 4, 4000
 STEMS = range(3, 11)
-REMEMBERED = 300_000
 #: Of a text in which no voter fires, the chance to be toxic is the prior's times this.
 SILENT = 0.25
 WORDS = re.compile(r"[^\W\d_]+")
@@ -27,24 +27,28 @@ WORDS = re.compile(r"[^\W\d_]+")
 PATTERNS = (("!!!", re.compile("!!!")), ("?!", re.compile(r"[?!]{3}")), ("**", re.compile(r"\w[*@#]{2,}\w")), ("!", re.compile(r"\b(?:you|they)\s+(?:are\s+)?(?:all\s+)?\w+!", re.I)))
 
 
+def parts(word: str) -> list[str]:
+    """A word's features: the whole of it, and its stems (first letters)."""
+    return [word + "$", *(word[:k] for k in STEMS if k <= len(word))]
+
+
 class Features(dict):
-    """Hashed features of a word: the whole of it and its stems (first letters); remembered up to a bound."""
+    """Numbers of the features of each word of the sample, which bounds them."""
 
     def __init__(self):
         super().__init__()
-        self._hash = TokenHashes(0)._digest
+        self.number: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        parts = {f"{word}$", *(word[:k] for k in STEMS if k <= len(word))}
-        out = self[word] = np.unique(np.array([self._hash(p.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for p in parts], np.int32))
+    def __missing__(self, word: str) -> list[int]:
+        number = self.number
+        out = self[word] = [number.setdefault(p, len(number)) for p in parts(word)]
         return out
 
-
-def _features(text: str | None, of: Features) -> np.ndarray:
-    words = set(WORDS.findall((text or "").lower()))
-    return np.unique(np.concatenate([of[w] for w in words])) if words else np.empty(0, np.int32)
+    def row(self, text: str | None) -> np.ndarray:
+        found: set[int] = set()
+        for w in set(WORDS.findall((text or "").lower())):
+            found.update(self[w])
+        return np.fromiter(found, np.int64, len(found))
 
 
 def _patterns(text: str | None) -> list[bool]:
@@ -92,42 +96,37 @@ def label_model(votes: np.ndarray, precision: np.ndarray, prior: float, strength
 
 @dataclass
 class Model:
-    """A linear classifier over hashed features and patterns; `weights` is dense (2 ** BITS floats)."""
+    """A linear classifier over words, stems and patterns."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     patterns: np.ndarray
     bias: float
-    voters: np.ndarray
+    voters: list[str]
     labels: LabelModel | None
 
     def scorer(self):
-        of = Features()
-        value: dict[str, float] = {}
+        heads = {f.removesuffix("$")[: STEMS.start] for f in self.weights}
+        weight, patterns = self.weights, self.patterns.any()
 
         def score(text: str | None) -> float:
-            logit = self.bias + float(np.dot(_patterns(text), self.patterns))
-            if len(value) >= REMEMBERED:
-                value.clear()
-            words = set(WORDS.findall((text or "").lower()))
-            for w in words - value.keys():
-                value[w] = bool(self.weights[of[w]].any())
-            hits = [of[w] for w in words if value[w]]
-            if hits:
-                logit += float(self.weights[np.unique(np.concatenate(hits))].sum())
-            return 1 / (1 + float(np.exp(-np.clip(logit, -30, 30))))
+            logit = self.bias + (float(np.dot(_patterns(text), self.patterns)) if patterns else 0.0)
+            hits = {p for w in set(WORDS.findall((text or "").lower())) if w[: STEMS.start] in heads for p in parts(w) if p in weight}
+            logit += math.fsum(weight[p] for p in hits)
+            return 1 / (1 + math.exp(-min(max(logit, -30), 30)))
 
         return score
 
 
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Voters from the labelled texts, posteriors from the votes, the classifier from the posteriors."""
-    size, of = 1 << BITS, Features()
-    rows = [_features(t, of) for t in texts]
+    of = Features()
+    rows = [of.row(t) for t in texts]
+    size, names = len(of.number), list(of.number)
     n, pos = len(rows), int(toxic.sum())
-    none = Model(np.zeros(size, np.float32), np.zeros(len(PATTERNS)), -3.0, np.empty(0, np.int64), None)
+    none = Model({}, np.zeros(len(PATTERNS)), -3.0, [], None)
     if not n or not pos:
         return none
-    seen = [np.bincount(np.concatenate([r for r, y in zip(rows, toxic, strict=True) if y == k] or [np.empty(0, np.int64)]).astype(np.int64), minlength=size) for k in (0, 1)]
+    seen = [np.bincount(np.concatenate([r for r, y in zip(rows, toxic, strict=True) if y == k] or [np.empty(0, np.int64)]), minlength=size) for k in (0, 1)]
     base = pos / n
     df = seen[0] + seen[1]
     precision = (seen[1] + base) / (df + 1)
@@ -151,7 +150,9 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     lean = np.zeros(size)
     for r, p in zip(rows, q, strict=True):
         lean[r] += p - q.mean()
-    used = np.flatnonzero((df >= 3) & (np.abs(lean) / np.sqrt(df * q.mean() * (1 - q.mean()) + 1e-9) > 3))
+    lean = np.abs(lean) / np.sqrt(df * q.mean() * (1 - q.mean()) + 1e-9)
+    used = np.flatnonzero((df >= 3) & (lean > 3))
+    used = np.sort(used[np.lexsort((used, -lean[used]))][:KEPT])
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     kept = [(c := place[r])[c >= 0] for r in rows]
@@ -166,9 +167,8 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         dw, dv, db = np.bincount(x, d[at], minlength=len(used)) + 1e-6 * w, extra.T @ d + 1e-4 * v, d.sum()
         gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + db * db
         w, v, b = w - 0.3 * dw / np.sqrt(gw), v - 0.1 * dv / np.sqrt(gv), b - 0.3 * db / np.sqrt(gb)
-    dense = np.zeros(size, np.float32)
-    dense[used] = w
-    return Model(dense, v, float(b), voters, labels)
+    weights = {names[i]: float(x) for i, x in zip(used, w, strict=True) if abs(x) > 1e-3}
+    return Model(weights, v, float(b), [names[i] for i in voters], labels)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
