@@ -1,4 +1,33 @@
-"""Queries by name and the SQL that each is held against."""
+"""Queries by name and the SQL that each is held against. Modules of this package add to both."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from timberline import ship
+
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Register everything."""
+    from timberline.plans import queries_relational  # noqa: F401
