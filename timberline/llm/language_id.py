@@ -17,8 +17,6 @@ from timberline.llm.common import unit_hash
 #: Bound of the sample that a model is learned from: characters a language (in expectation), and languages (the most frequent).
 TRAIN_CHARS, LANGUAGES = 1_500_000, 200
 LONGEST = 5
-#: Words whose scores a worker remembers.
-REMEMBERED = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,48 +48,42 @@ class Model:
                     table = grams[size][j]
                     for g in self._grams(word, size):
                         table[g] += n
-        self.words = _log_rates(words) if self.langs else ({}, np.zeros((0, 0), np.float32))
-        self.grams = [_log_rates(g) if g and self.langs else ({}, np.zeros((0, len(self.langs)), np.float32)) for g in grams[1:]]
+        tables = [_log_rates(c) for c in [words, *grams[1:]]] if self.langs else []
+        self.rates = np.concatenate([rates for _, rates in tables]) if tables else np.zeros((0, 0), np.float32)
+        self.words: dict[str, int] = tables[0][0] if tables else {}
+        self.grams: dict[str, int] = {}
+        first = len(self.words)
+        for index, rates in tables[1:]:
+            self.grams.update((g, first + i) for g, i in index.items())
+            first += len(rates)
 
     @staticmethod
     def _grams(word: str, size: int) -> list[str]:
         padded = f"^{word}$"
         return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies by language: the word's own, or else the mean over its known n-grams of the greatest length that has any."""
-        if (i := self.words[0].get(word)) is not None:
-            return self.words[1][i]
-        for size in range(self.longest, 0, -1):
-            index, rates = self.grams[size - 1]
-            if known := [index[g] for g in self._grams(word, size) if g in index]:
-                return rates[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def scorer(self):
-        """A function from a text to (language, probability)."""
-        seen: dict[str, int] = {}
-        rows = np.zeros((1024, len(self.langs)), np.float32)
-
-        def score(text: str | None) -> tuple[str, float]:
-            nonlocal rows
-            counts = Counter(LETTERS.findall((text or "").lower()))
-            if not counts or not self.langs:
-                return "und", 0.0
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            for w in counts.keys() - seen.keys():
-                i = seen[w] = len(seen)
-                if i >= len(rows):
-                    rows = np.concatenate([rows, np.zeros_like(rows)])
-                rows[i] = self.word(w)
-            ids = np.fromiter(map(seen.__getitem__, counts), np.int64, len(counts))
-            total = np.fromiter(counts.values(), np.float64, len(counts)) @ rows[ids].astype(np.float64)
-            p = np.exp(total - total.max())
-            best = int(p.argmax())
-            return self.langs[best], float(p[best] / p.sum())
-
-        return score
+    def score(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language and its probability. A known word counts by its own log frequencies, any other by the mean over its known n-grams
+        of the greatest length that has any."""
+        counts = Counter(LETTERS.findall((text or "").lower()))
+        if not counts or not self.langs:
+            return "und", 0.0
+        rows, weights = [], []
+        words, grams, sizes = self.words.get, self.grams.get, range(self.longest, 0, -1)
+        for w, n in counts.items():
+            if (i := words(w)) is not None:
+                rows.append(i)
+                weights.append(n)
+                continue
+            for size in sizes:
+                if known := [i for g in self._grams(w, size) if (i := grams(g)) is not None]:
+                    rows += known
+                    weights += [n / len(known)] * len(known)
+                    break
+        total = np.array(weights) @ self.rates[rows].astype(np.float64) if rows else np.zeros(len(self.langs))
+        p = np.exp(total - total.max())
+        best = int(p.argmax())
+        return self.langs[best], float(p[best] / p.sum())
 
 
 def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> Model:
@@ -124,7 +116,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = shipped.value.scorer()
+        score = shipped.value.score
         for f in frames:
             found = [score(t) for t in f.text]
             yield pd.DataFrame({"doc_id": f.doc_id, "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
