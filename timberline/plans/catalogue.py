@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Register everything."""
-    from timberline.plans import queries_relational, queries_spatial  # noqa: F401
+    from timberline.plans import queries_relational, queries_spatial, queries_trees  # noqa: F401
