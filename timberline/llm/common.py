@@ -87,6 +87,16 @@ class TokenHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+_SHARED: list[TokenHashes] = []
+
+
+def token_hashes() -> TokenHashes:
+    """The hashes that all tasks of one worker process share."""
+    if not _SHARED:
+        _SHARED.append(TokenHashes(1_000_000))
+    return _SHARED[0]
+
+
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n tokens, by position."""
     m = len(tokens) - n + 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import TokenHashes, null_safe_join, window_hashes
+from timberline.llm.common import TokenHashes, null_safe_join, token_hashes, window_hashes
 
 #: Tokens of a window, and how many of them must be literal. A shorter item is one window of its own length.
 WINDOW, LITERAL, SHORTEST = 8, 5, 4
@@ -82,7 +82,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """The windows of each item (item_id, text); an item of fewer than SHORTEST tokens has none, for it would meet anything."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = TokenHashes()
+        hashes = token_hashes()
         for f in frames:
             rows = []
             for item, text in zip(f.item_id, f.text, strict=True):
@@ -101,7 +101,7 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = TokenHashes(), shipped.value
+        hashes, wanted = token_hashes(), shipped.value
         sieve = None
         if wanted is not None:
             sieve = np.zeros(1 << 22, bool)

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from timberline.llm.common import BROADCAST_ROWS, TokenHashes, drop_path, materialize, mix64, new_path, text_of, window_hashes
+from timberline.llm.common import BROADCAST_ROWS, TokenHashes, drop_path, materialize, mix64, new_path, text_of, token_hashes, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -99,7 +100,7 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
     spark = texts.sparkSession
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held, docs = TokenHashes(), [], 0, 0
+        hashes, parts, held, docs = token_hashes(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
             least = max(1, math.ceil(share * docs / 2))
@@ -126,7 +127,7 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
     shipped = spark.sparkContext.broadcast(maybe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, maybe = TokenHashes(), shipped.value
+        hashes, maybe = token_hashes(), shipped.value
         total = np.zeros(len(maybe), np.int64)
         for batch in batches:
             for _, s in _sets(batch, hashes):
@@ -165,7 +166,7 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest
 
-        hashes, common = TokenHashes(), shipped.value
+        hashes, common = token_hashes(), shipped.value
         k = bands * rows
         band_seed = mix64(np.arange(101, 101 + bands, dtype=np.uint64))
 
@@ -235,6 +236,50 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "s1", "w1", "s2", "w2").mapInArrow(run, "src STRING, dst STRING")
 
 
+def _narrow(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """band, key, before: the members of buckets (band, key) dealt to smaller groups that still hold every pair of similarity `least` together.
+
+    With shingles in one order for all, rarest first, two sets that are so similar share one among those of either that come before all but
+    `least` of its weight: what a set has and the other has not weighs less than the rest. A group is a bucket and such a shingle. Texts
+    with much of their own share none, so they are not tested against the many that are like each other. `before` is the weight that precedes the group's shingle.
+    """
+    keys = materialize(placed.select("key").distinct(), "narrowed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, s, w in zip(batch.column("key"), batch.column("shingles"), batch.column("weights"), strict=True):
+                ids, w = np.frombuffer(s.as_py(), np.uint32).astype(np.int64), w.as_py()
+                w = np.frombuffer(w, np.float32).astype(float) if w else np.full(len(ids), 2.0)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(ids)), pa.array(ids), pa.array(w), pa.array(np.full(len(ids), w.sum()))], ["key", "shingle", "w", "total"])
+
+    rows = sets.join(_few(keys, keys.count()), "key", "left_semi").mapInArrow(run, "key STRING, shingle BIGINT, w DOUBLE, total DOUBLE")
+    rows = materialize(rows, "set-rows")
+    n = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "set-counts")
+    order = Window.partitionBy("key").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(n, "shingle").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
+    first = rows.where((F.col("n") > 1) & (F.col("before") <= (1 - least + 1e-6) * F.col("total"))).select("key", "shingle", "before", "total")
+    dealt = placed.join(materialize(first, "prefixes"), "key").select(F.xxhash64("band", "shingle").alias("band"), "key", "before", "total")
+    dealt = materialize(dealt, "dealt")
+    # Whoever it meets here weighs at least as much as the lightest of the group, and at least `least` of its own weight.
+    some = materialize(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("lightest")).where("n > 1").select("band", "lightest"), "groups")
+    met = dealt.join(some, "band").where(_reach("before", "total", F.greatest("lightest", least * F.col("total")), least)).drop("lightest")
+    return materialize(met, "groups")
+
+
+def _reach(before: str, total: str, other, least: float):
+    """Whether a set that shares no more than what follows `before` with one of weight `other` can be similar enough."""
+    return F.col(total) - F.col(before) >= least / (1 + least) * (F.col(total) + other) - 1e-6
+
+
+def _merged(labels: DataFrame, links: DataFrame, cut) -> DataFrame:
+    """The labels (id, component) after further links: only the components that these join are looked at."""
+    at = lambda end, name: labels.select(F.col("id").alias(end), F.col("component").alias(name))
+    ends = cut(links.join(at("src", "a"), "src").join(at("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "joined")
+    nodes = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id"))).distinct()
+    found = connected_components(nodes, ends, cut).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return cut(labels.join(found, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "labels")
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -245,8 +290,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     Texts of the same words (lower case, between white space) are one vertex. Vertices that share a band's samples are candidates; pairs of
     weighted Jaccard similarity `similarity` or more are linked, and classes are the connected components. In each bucket all members are tested against one
-    pivot, which merges what is alike; buckets that then still hold several classes get further pivots, and at last every pair of members in different classes
-    is tested, so that no candidate pair of different texts is left untested that could join two classes. Pairs inside a class are never listed.
+    pivot, which merges what is alike; where buckets then hold many pairs across classes, `_narrow` deals them to groups that keep each pair that can be similar, groups get further
+    pivots, and at last every pair of members in different classes is tested: no candidate pair that could join two classes is left out. Pairs inside a class are never listed.
     Since weights lie between 1 and 2 times tf, texts that share 8/9 of their shingles pass whatever the weights. Bands find a pair of similarity 0.8 with a chance of
     0.997, one of 0.9 with 0.99999. Null is empty; all texts without a word are one class; texts of fewer than five words are
     one shingle. An empty table gives no rows.
@@ -271,30 +316,33 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     cut = lambda df, name: materialize(df, name)
     pairs = buckets.join(hubs, "band").where("key <> hub").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
     tested = materialize(pairs, "tested")
-    edges = materialize(_similar(tested, sets, similarity), "links")
-    labels = connected_components(keys, edges, cut)
+    labels = connected_components(keys, materialize(_similar(tested, sets, similarity), "links"), cut)
+    groups, narrowed, found = buckets.withColumns({"before": F.lit(0.0), "total": F.lit(0.0)}), False, None
     for turn in range(PIVOTS + 1):
-        placed = buckets.join(labels.select(F.col("id").alias("key"), "component"), "key")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+        placed = groups.join(labels.select(F.col("id").alias("key"), "component"), "key")
+        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         placed = materialize(placed.join(materialize(mixed.select("band"), "mixed"), "band"), "placed")
         sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"))
         total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("across")).first()
         if not total.n:
             break
-        last = turn == PIVOTS or total.across <= REST * total.n
+        last = turn == PIVOTS or total.across <= REST * total.n or (narrowed and turn > 2 and found.isEmpty())
         if last:
-            other = placed.select("band", F.col("key").alias("other"), F.col("component").alias("theirs"))
-            fresh = placed.join(other, "band").where("component < theirs")
+            other = placed.select("band", F.col("key").alias("other"), F.col("component").alias("theirs"), F.col("before").alias("_before"), F.col("total").alias("_total"))
+            fresh = placed.join(other, "band").where((F.col("component") < F.col("theirs")) & _reach("before", "total", F.col("_total"), similarity) & _reach("_before", "_total", F.col("total"), similarity))
+        elif not narrowed:
+            groups, narrowed, found = _narrow(placed.select("band", "key"), sets, similarity), True, None
+            continue
         else:
-            turned = F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("other"), F.col("component").alias("theirs"))
+            # First the member that has least of its own before what the group shares, then members at random.
+            turned = F.struct(F.when(F.lit(turn < 3), F.col("before")).alias("b"), F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("other"), F.col("component").alias("theirs"))
             pivot = materialize(placed.groupBy("band").agg(F.min(turned).alias("p")).select("band", "p.other", "p.theirs"), "pivots")
             fresh = placed.join(pivot, "band").where("component <> theirs")
         fresh = fresh.select(F.greatest("key", "other").alias("src"), F.least("key", "other").alias("dst")).distinct().join(tested, ["src", "dst"], "left_anti")
         fresh = materialize(fresh, "fresh")
         found = materialize(_similar(fresh, sets, similarity), "links")
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = connected_components(keys, edges, cut)
+            labels = _merged(labels, found, cut)
         tested = tested.unionByName(fresh)
         if last:
             break
