@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import TokenHashes, null_safe_join, token_hashes, window_hashes
+from timberline.llm.common import materialize, null_safe_join, window_hashes
 
 #: Tokens of a window, and how many of them must be literal. A shorter item is one window of its own length.
 WINDOW, LITERAL, SHORTEST = 8, 5, 4
@@ -23,56 +24,101 @@ SENT = 4_000_000
 UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml gal s sec seconds min minutes h hr hours day days week weeks month months year years percent usd eur gbp dollars cents euros pounds kb mb gb tb hz khz mhz w kw v".split())
 TOKEN = re.compile(r"[.!?:;\n]+|\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 BREAKS = frozenset(".!?:;\n")
-NUMBER, NAME, UNIT = "\x00number", "\x00name", "\x00unit"
-
-
-def canonical(text: str | None) -> tuple[list[str], list[int], list[str]]:
-    """Lower-case words, with typed placeholders for numbers, units after numbers, and names (capitalised words inside a sentence);
-    the places of the placeholders and the values that they stand for."""
-    out: list[str] = []
-    places: list[int] = []
-    values: list[str] = []
-    start = True
-    for t in TOKEN.findall(text or ""):
-        c = t[0]
+#: Texts whose templates are made together, in characters.
+BATCH_CHARS = 2_000_000
+
+
+class Lexicon(dict):
+    """A number for each token, and by number: its kind (BREAK, LITERAL, CAPITAL, NUMERAL, MEASURE) and the hash of its lower-case form. Remembered up to a bound."""
+
+    BREAK, LITERAL, CAPITAL, NUMERAL, MEASURE = range(5)
+    BOUND = 1_000_000
+
+    def __init__(self):
+        super().__init__()
+        from xxhash import xxh64_intdigest
+
+        self._digest = xxh64_intdigest
+        self.placeholder = {k: xxh64_intdigest(f"\x00{k}") for k in (self.CAPITAL, self.NUMERAL, self.MEASURE)}
+        self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        i, low, c = len(self), token.lower(), token[0]
         if c in BREAKS:
-            start = True
-            continue
-        low = t.lower()
-        if c.isdigit():
-            kind = NUMBER
-        elif low in UNITS and out and out[-1] == NUMBER:
-            kind = UNIT
-        elif not start and c != low[0] and len(t) > 1 and t[1:] == low[1:]:
-            kind = NAME
+            kind = self.BREAK
+        elif c.isdigit():
+            kind = self.NUMERAL
+        elif low in UNITS:
+            kind = self.MEASURE
+        elif len(token) > 1 and c != low[0] and token[1:] == low[1:]:
+            kind = self.CAPITAL
         else:
-            kind = low
-        if kind is not low:
-            places.append(len(out))
-            values.append(low)
-        out.append(kind)
-        start = False
-    return out, places, values
-
-
-def _windows(text: str | None, sizes: list[int], hashes: TokenHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[int], list[str]]]:
-    """For each size: the hashes of windows with enough literal tokens, their places, and all placeholders."""
-    tokens, places, values = canonical(text)
-    ids = hashes.of(tokens)
-    held = np.zeros(len(tokens) + 1, np.int64)
-    held[1:][places] = 1
-    held = held.cumsum()
-    for n in sizes:
-        found = window_hashes(ids, n) ^ np.uint64(n)
-        if len(found):
-            literal = n - (held[n:] - held[:-n])
-            at = np.flatnonzero(literal >= min(LITERAL, max(1, n - 1)))
-            yield n, found[at], at, places, values
-
-
-def _slots(at: int, n: int, places: list[int], values: list[str]) -> list[str]:
-    lo, hi = np.searchsorted(places, [at, at + n])
-    return values[lo:hi]
+            kind = self.LITERAL
+        if i >= len(self.kinds):
+            self.kinds, self.hashes = np.concatenate([self.kinds, np.zeros_like(self.kinds)]), np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.kinds[i], self.hashes[i] = kind, self._digest(low.encode("utf-8", "surrogatepass"))
+        self[token] = i
+        return i
+
+    def templates(self, texts: list[str | None]) -> Templates:
+        """The texts' templates, laid end to end."""
+        if len(self) > self.BOUND:
+            self.clear()
+        words: list[str] = []
+        lengths = []
+        for t in texts:
+            found = TOKEN.findall(t or "")
+            words += found
+            lengths.append(len(found))
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        kinds, doc = self.kinds[codes], np.repeat(np.arange(len(texts)), lengths)
+        at = np.flatnonzero(kinds != self.BREAK)
+        kind, of = kinds[at], doc[at]
+        ids = self.hashes[codes[at]]
+        fresh = np.ones(len(at), bool)  # the first of its text or sentence
+        fresh[1:] = (of[1:] != of[:-1]) | (np.diff(at) > 1)
+        after_number = np.zeros(len(at), bool)
+        after_number[1:] = (kind[:-1] == self.NUMERAL) & (of[1:] == of[:-1])
+        held = np.zeros(len(at), bool)
+        for k, where in ((self.CAPITAL, ~fresh), (self.NUMERAL, True), (self.MEASURE, after_number)):
+            hit = (kind == k) & where
+            held |= hit
+            ids[hit] = self.placeholder[k]
+        return Templates(words, at, of, ids, held)
+
+
+@dataclass
+class Templates:
+    """Tokens without breaks: their places among all `words`, texts, hashes (of placeholders, where `held`)."""
+
+    words: list[str]
+    at: np.ndarray
+    of: np.ndarray
+    ids: np.ndarray
+    held: np.ndarray
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places (among these tokens) of the runs of n tokens within one text that have enough literal ones."""
+        found = window_hashes(self.ids, n) ^ np.uint64(n)
+        if not len(found):
+            return found, np.empty(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(self.held)])
+        keep = np.flatnonzero((self.of[n - 1 :] == self.of[: len(found)]) & (n - (sums[n:] - sums[:-n]) >= min(LITERAL, max(1, n - 1))))
+        return found[keep], keep
+
+    def slots(self, place: int, n: int) -> list[str]:
+        """What the placeholders of a window stand for."""
+        return [self.words[self.at[i]].lower() for i in range(place, place + n) if self.held[i]]
+
+
+_SHARED: list[Lexicon] = []
+
+
+def _lexicon() -> Lexicon:
+    """The one that all tasks of a worker process share."""
+    if not _SHARED:
+        _SHARED.append(Lexicon())
+    return _SHARED[0]
 
 
 ITEM_WINDOWS = "item_id BIGINT, window BIGINT, place INT, slots ARRAY<STRING>, size INT, n_windows INT"
@@ -81,15 +127,19 @@ ITEM_WINDOWS = "item_id BIGINT, window BIGINT, place INT, slots ARRAY<STRING>, s
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """The windows of each item (item_id, text); an item of fewer than SHORTEST tokens has none, for it would meet anything."""
 
+    names = ["item_id", "window", "place", "slots", "size", "n_windows"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = token_hashes()
+        lexicon = Lexicon()
         for f in frames:
             rows = []
             for item, text in zip(f.item_id, f.text, strict=True):
-                n = min(WINDOW, len(canonical(text)[0]))
-                for size, found, at, places, values in _windows(text, [n] if n >= SHORTEST else [], hashes):
-                    rows += [(item, h, p, _slots(p, size, places, values), size, len(at)) for h, p in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["item_id", "window", "place", "slots", "size", "n_windows"]) if rows else pd.DataFrame({"item_id": []}).reindex(columns=["item_id", "window", "place", "slots", "size", "n_windows"])
+                t = lexicon.templates([text])
+                n = min(WINDOW, len(t.at))
+                if n >= SHORTEST:
+                    found, at = t.windows(n)
+                    rows += [(item, h, p, t.slots(p, n), n, len(at)) for h, p in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=names)
 
     return benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, ITEM_WINDOWS)
 
@@ -101,25 +151,32 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = token_hashes(), shipped.value
+        lexicon, wanted = _lexicon(), shipped.value
         sieve = None
         if wanted is not None:
             sieve = np.zeros(1 << 22, bool)
             sieve[wanted & np.uint64((1 << 22) - 1)] = True
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
-                for size, found, at, places, values in _windows(text.as_py(), sizes, hashes):
+            ids, keys, texts = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").to_pylist()
+            size, first = 0, 0
+            for last, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size < BATCH_CHARS and last < len(texts):
+                    continue
+                t = lexicon.templates(texts[first:last])
+                begins = np.searchsorted(t.of, np.arange(last - first))
+                for n in sizes:
+                    found, at = t.windows(n)
                     if sieve is not None:
                         keep = np.flatnonzero(sieve[found & np.uint64((1 << 22) - 1)])
                         keep = keep[np.isin(found[keep], wanted)] if len(keep) else keep
                         found, at = found[keep], at[keep]
-                    rows += [(doc, key, p, h, _slots(p, size, places, values)) for h, p in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
+                    for lo in range(0, len(at), 50_000):
+                        h, p = found[lo : lo + 50_000], at[lo : lo + 50_000]
+                        d = t.of[p]
+                        data = ([ids[first + i] for i in d], [keys[first + i] for i in d], p - begins[d], h.view(np.int64), [t.slots(i, n) for i in p.tolist()])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, HITS, strict=True)], schema=HITS)
+                first, size = last, 0
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id BIGINT, text_key BIGINT, doc_place INT, window BIGINT, doc_slots ARRAY<STRING>")
@@ -129,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     """doc_id, text_key, item_id, coverage, run, kind for each document (doc_id, text) that holds an item (item_id, text) or a re-parameterised
     copy of it.
 
-    Texts become templates (`canonical`); windows of WINDOW tokens of both meet in a hash join. Where a document and an item share
+    Texts become templates (`Lexicon.templates`); windows of WINDOW tokens of both meet in a hash join. Where a document and an item share
     windows along one diagonal (the item at one place of the document), each value of the item must stand for one value of
     the document throughout; windows of a diagonal where it does not are left out. kind is `exact` if all values are equal, else `reparameterised`.
     `coverage` is the share of the item's windows found in a document, `run` the most tokens of it in a row. Null and empty texts hold
@@ -142,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     if n <= SENT:
         wanted = np.unique(np.array([r.window for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     windows = _doc_windows(docs, sizes, wanted)
-    met = windows.join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "slots", "doc_slots")
+    met = materialize(windows, "windows").join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "slots", "doc_slots")
     where = ["doc_id", "text_key", "item_id", "diagonal"]
     # The last value and first value of the document that each value of the item stands for differ where it stands for two.
     pairs = met.select(*where, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("s")).select(*where, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
