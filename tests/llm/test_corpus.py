@@ -54,18 +54,17 @@ def test_quality_odd_and_empty(spark, odd, none):
 
 
 def test_kneser_ney_by_brute_force(spark):
-    counts = {"abab": 3, "abc": 2, "b": 5, "ca": 1, "aba": 1, "cab": 2, "bca": 1, "abcabc": 2}
-    words = spark.createDataFrame([(w, n) for w, n in counts.items()] + [("zz", 0)], "piece string, n long")
-    got = {r.gram: math.exp(r.logp) for r in quality_lm.probabilities(words, 3).collect()}
-
-    pad = lambda w: quality_lm.START * 2 + w + quality_lm.END
+    texts = [("abab  abc\n", True), ("abc ca ab", True), (" b ca bca", True), ("", True), ("zz", False), ("abcabc ab a", True)]
+    grams = quality_lm.ngrams(spark.createDataFrame(texts, "text string, trusted boolean"), 3)
+    got = {r.gram: math.exp(r.logp) for r in quality_lm.probabilities(grams, 3).collect()}
+    pad = lambda t: quality_lm.START * 2 + " ".join(t.split())
     table = {3: Counter()}
-    for w, n in counts.items():
-        for i in range(len(w) + 1):
-            table[3][pad(w)[i : i + 3]] += n
+    for t, trusted in texts:
+        if trusted:
+            table[3].update(pad(t)[i : i + 3] for i in range(len(pad(t)) - 2))
     for k in (2, 1):
         table[k] = Counter(g[1:] for g in table[k + 1])
-    asked = {pad(w)[i : i + 3] for w in [*counts, "zz"] for i in range(len(w) + 1)}
+    asked = {pad(t)[i : i + 3] for t, _ in texts for i in range(len(pad(t)) - 2)}
     letters = len({g[-1] for g in asked}) + 1
 
     def p(g):
@@ -88,15 +87,17 @@ def test_kneser_ney_by_brute_force(spark):
     assert all(abs(got[g] - p(g)) < 1e-12 for g in asked)
 
 
-def test_document_scores_are_sums_of_word_scores(spark):
-    texts = [prose(n, n) for n in (1, 5, 60, 900)] + ["", "y" * 80]
+def test_document_scores_are_sums_over_letters(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "BLOCK", 700)
+    texts = [prose(n, n) for n in (1, 5, 60, 900)] + ["", "y" * 80, "\u00e9\U0001f600 z\x00"]
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    words = quality_lm.vocabulary(docs.withColumn("trusted", F.col("key") < 3))
-    scores = words.select("piece", F.length("piece").cast("double").alias("logp"), F.lit(1).cast("long").alias("letters"))
-    got = {r.key: (r.logp, r.pieces) for r in quality_lm.document_scores(docs, scores, 7).collect()}
-    assert got == {i: (sum(map(len, t.split())), len(t.split()) if i != 5 else 3) for i, t in enumerate(texts) if t}
-    counts = {r.piece: r.n for r in words.collect()}
-    assert sum(counts.values()) == 66
+    grams = quality_lm.ngrams(docs.withColumn("trusted", F.col("key") < 3), 4)
+    logp = {r.gram: -float(hash(r.gram) % 97) - 1 for r in grams.collect()}
+    table = spark.createDataFrame(list(logp.items()), "gram string, logp double")
+    got = {r.key: (r.logp, r.letters) for r in quality_lm.document_scores(docs, table, 4, 3).collect()}
+    pad = lambda t: quality_lm.START * 3 + " ".join(t.split()).replace("\x00", "\ufffd")
+    want = {i: (sum(logp[pad(t)[k : k + 4]] for k in range(len(pad(t)) - 3)), len(pad(t)) - 3) for i, t in enumerate(texts) if t}
+    assert got == want
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):

@@ -12,77 +12,100 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import TokenHashes, materialize, text_of
+from timberline.llm.common import materialize, mix64, text_of
 
-#: Letters of an n-gram. Words longer than LONGEST are cut into pieces of that length.
-ORDER, LONGEST = 5, 32
+#: Letters of an n-gram.
+ORDER = 4
 #: One in FOLDS trusted texts (by a hash of the text, so copies go together) is not learned from: the bounds come from these, which the model
 #: has seen no more than any other text.
 FOLDS = 5
 #: Share of a language's trusted texts outside either bound, the bounds' slack, and the trusted texts that a language needs for bounds of its own.
 TAIL, SLACK, LEAST = 0.001, 1.25, 50
-#: Documents of a shard of the joins, and shards at least.
-PER_SHARD, SHARDS = 10_000, 64
-#: Distinct pieces that a task gathers before it reports them; words of a block of documents.
-GATHERED, BLOCK = 1_000_000, 1_000_000
-START, END = "\x02", "\x03"
-
-
-def _pieces(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """The number of pieces of each text, and all pieces in order."""
-    listed = pc.utf8_split_whitespace(texts)
-    ends = np.asarray(listed.offsets)
-    flat = listed.flatten()
-    long = pc.utf8_length(flat).to_numpy(zero_copy_only=False) > LONGEST
-    empty = pc.binary_length(flat).to_numpy(zero_copy_only=False) == 0
-    counts = np.diff(ends)
-    if long.any() or empty.any():
-        parts, n = [], np.ones(len(flat), np.int64)
-        n[empty] = 0
-        words = flat.to_pylist()
-        for i in np.flatnonzero(long):
-            n[i] = -(-len(words[i]) // LONGEST)
-        for i, w in enumerate(words):
-            if n[i] == 1:
-                parts.append(w)
-            elif n[i]:
-                parts += [w[k : k + LONGEST] for k in range(0, len(w), LONGEST)]
-        total = np.concatenate([[0], np.cumsum(n)])
-        counts = total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
-        flat = pa.array(parts, pa.string())
-    return counts, flat.dictionary_encode()
-
-
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """piece, n: all pieces of all texts, with how often trusted texts have them. `docs` has text and trusted."""
+#: Shards that n-grams are dealt to, and documents whose blocks meet one copy of a shard.
+SHARDS, PER_PART = 16, 200_000
+#: Letters of a block of documents; n-grams that a task gathers before it reports them.
+BLOCK, GATHERED = 3_000_000, 1_000_000
+START = "\x02"
+
+
+def _blocks_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about BLOCK letters."""
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
+        yield first, last
+        first = last
+
+
+def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For each letter of the texts: its text, the letters of the n-gram that ends there (by place), and that n-gram's hash.
+
+    A run of white space is one space and none stands at either end; before a text's first letter stand START marks.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    codes[codes == 0] = 0xFFFD
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    codes[space] = 32
+    drop = space.copy()
+    drop[1:] &= space[:-1] | (of[1:] != of[:-1])
+    codes, of, space = codes[~drop], of[~drop], space[~drop]
+    if len(codes):
+        drop = space
+        drop[:-1] &= of[1:] != of[:-1]
+        codes, of = codes[~drop], of[~drop]
+    begin = np.zeros(len(codes), np.int64)
+    if len(codes):
+        fresh = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        begin = np.repeat(fresh, np.diff(np.append(fresh, len(codes))))
+    place = np.arange(len(codes)) - begin
+    columns = []
+    for k in range(order - 1, -1, -1):
+        c = np.full(len(codes), ord(START), "<u4")
+        c[k:] = codes[: len(codes) - k]
+        c[place < k] = ord(START)
+        columns.append(c)
+    return of, columns, _hash(columns)
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return mix64(h)
+
+
+def ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n: all n-grams of all texts, with how often trusted texts have them. `docs` has text and trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
             seen.clear()
             return out
 
         for batch in batches:
-            counts, coded = _pieces(batch.column("text"))
-            trusted = np.repeat(batch.column("trusted").to_numpy(zero_copy_only=False), counts)
-            codes = coded.indices.to_numpy()
-            n = np.bincount(codes[trusted], minlength=len(coded.dictionary))
-            for w, c in zip(coded.dictionary.to_pylist(), n.tolist(), strict=True):
-                seen[w] = seen.get(w, 0) + c
-            if len(seen) >= GATHERED:
-                yield flush()
+            texts, trusted = batch.column("text"), batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+            for first, last in _blocks_of(texts):
+                of, columns, h = _ngrams(texts[first:last].to_pylist(), order)
+                coded = pa.array(h).dictionary_encode()
+                codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+                at = np.zeros(size, np.int64)
+                at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                n = np.bincount(codes[trusted[first:last][of]], minlength=size)
+                names = np.ascontiguousarray(np.stack([c[at] for c in columns], axis=1)).view(f"<U{order}").ravel() if size else []
+                for g, c in zip(np.asarray(names).tolist(), n.tolist(), strict=True):
+                    seen[g] = seen.get(g, 0) + c
+                if len(seen) >= GATHERED:
+                    yield flush()
         if seen:
             yield flush()
 
-    return docs.select("text", "trusted").mapInArrow(run, "piece STRING, n BIGINT").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
-def _grams(words: DataFrame, order: int) -> DataFrame:
-    """A row for each letter of each piece, and its end: the n-gram that ends there."""
-    padded = F.concat(F.lit(START * (order - 1)), F.col("piece"), F.lit(END))
-    return words.withColumn("_p", padded).select(*words.columns, F.explode(F.transform(F.sequence(F.lit(1), F.length("piece") + 1), lambda i: F.substr("_p", i, F.lit(order)))).alias("gram"))
+    return docs.select("text", "trusted").mapInArrow(run, "gram STRING, n BIGINT").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -94,19 +117,18 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.01) for k in (1, 2, 3)]
 
 
-def probabilities(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, logp for every n-gram of the vocabulary's pieces, under the interpolated modified Kneser-Ney model of the pieces counted in n.
+def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, logp for every row of `grams` (gram, n), under the interpolated modified Kneser-Ney model of those counted in n.
 
     The highest order has counts, each lower one continuation counts (distinct letters before). For each order the
     n-grams asked for meet the counts, their contexts' totals and the next lower order's probabilities in joins whose keys (n-grams)
     spread the tables over shards; each order is written to the shared folder.
     """
-    counts = _grams(words.where("n > 0"), order).groupBy("gram").agg(F.sum("n").alias("c"))
-    tables = [materialize(counts, "grams")]
+    tables = [materialize(grams.where("n > 0").select("gram", F.col("n").alias("c")), "grams")]
     for k in range(order - 1, 0, -1):
         tables.append(materialize(tables[-1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams"))
     tables.reverse()  # by order, from 1
-    asked = [materialize(_grams(words.select("piece"), order).select("gram").distinct(), "asked")]
+    asked = [grams.select("gram")]
     for k in range(order - 1, 0, -1):
         asked.append(materialize(asked[-1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "asked"))
     asked.reverse()
@@ -129,97 +151,110 @@ def probabilities(words: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("gram", F.log("p").alias("logp"))
 
 
-def word_scores(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """piece, logp, letters: the log probability of each piece (and of its end)."""
-    asked = _grams(words.select("piece"), order)
-    return asked.join(probabilities(words, order), "gram").groupBy("piece").agg(F.sum("logp").alias("logp"), F.count(F.lit(1)).alias("letters"))
-
+BLOCKS = "shard INT, block BIGINT, part INT, hashes BINARY, docs BINARY, low BINARY, high BINARY, counts BINARY, letters BINARY"
 
-BLOCKS = "shard INT, keys BINARY, starts BINARY, hashes BINARY, words BINARY, counts BINARY"
 
-
-def _blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """For each block of documents and shard of the pieces' hashes, one row: the documents' keys and, for each, which of the block's distinct pieces it has how often."""
+def _blocks(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """For each block of documents and shard of the n-grams' hashes, one row: the block's distinct n-grams there, for each document how many of these
+    it has, and for each of those its place among them (low and high bytes apart, which packs well) and count. A row of shard 0 with `letters` has the documents' keys and numbers of letters instead."""
     names = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes(0)
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            counts, coded = _pieces(batch.column("text"))
-            keys, codes = batch.column("key").to_numpy(), coded.indices.to_numpy().astype(np.int64)
-            of = np.fromiter((hashes._digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-            home = (of % np.uint64(shards)).astype(np.int64)
-            ends = np.cumsum(counts)
-            first = 0
-            while first < len(keys):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
-                lo, hi = (ends[first - 1] if first else 0), ends[last - 1]
-                doc = np.repeat(np.arange(last - first), counts[first:last])
-                pairs, n = np.unique(doc * len(of) + codes[lo:hi], return_counts=True)
-                doc, code = pairs // max(1, len(of)), pairs % max(1, len(of))
-                order = np.argsort(home[code], kind="stable")
-                doc, code, n = doc[order], code[order], n[order]
-                cuts = np.searchsorted(home[code], np.arange(shards + 1))
-                rows: list[list] = [[] for _ in names]
-                for s in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[s], cuts[s + 1]
-                    local, at = np.unique(code[a:b], return_inverse=True)
-                    docs_, starts = np.unique(doc[a:b], return_index=True)
-                    at = at.astype(np.uint16 if len(local) <= 65536 else np.uint32)
-                    for c, v in zip(rows, (int(s), keys[first:last][docs_].tobytes(), starts.astype(np.uint32).tobytes(), of[local].tobytes(), at.tobytes(), n[a:b].astype(np.uint32 if n[a:b].max() > 255 else np.uint8).tobytes()), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names)
-                first = last
+            texts, all_keys = batch.column("text"), batch.column("key").to_numpy()
+            for first, last in _blocks_of(texts):
+                of, _, h = _ngrams(texts[first:last].to_pylist(), order)
+                keys = all_keys[first:last].tobytes()
+                block = xxh64_intdigest(keys) >> 1
+                coded = pa.array(h).dictionary_encode()
+                ids = coded.dictionary.to_numpy()
+                home = (ids % np.uint64(SHARDS)).astype(np.int64)
+                by_home = np.argsort(home, kind="stable")
+                rank = np.empty(len(ids), np.int64)
+                rank[by_home] = np.arange(len(ids))
+                ids, cuts = ids[by_home], np.searchsorted(home[by_home], np.arange(SHARDS + 1))
+                size = max(1, len(ids))
+                pairs, n = np.unique(of.astype(np.int64) * size + rank[coded.indices.to_numpy()], return_counts=True)
+                doc, code = pairs // size, pairs % size
+                shard = np.searchsorted(cuts, code, "right") - 1
+                sort = np.argsort(shard.astype(np.uint8), kind="stable")
+                doc, code, n, ends = doc[sort], code[sort], n[sort], np.searchsorted(shard[sort], np.arange(SHARDS + 1))
+                rows = [[0], [block], [block % parts], [b""], [keys], [b""], [b""], [b""], [np.bincount(of, minlength=last - first).astype(np.int64).tobytes()]]
+                for s in np.flatnonzero(np.diff(ends)):
+                    a, b = ends[s], ends[s + 1]
+                    local, c = (code[a:b] - cuts[s]).astype(np.uint32), n[a:b]
+                    data = (int(s), block, block % parts, ids[cuts[s] : cuts[s + 1]].tobytes(), np.bincount(doc[a:b], minlength=last - first).astype(np.uint32).tobytes(),
+                            (local & 255).astype(np.uint8).tobytes(), (local >> 8).astype(np.uint16).tobytes(), c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes(), b"")
+                    for col, v in zip(rows, data, strict=True):
+                        col.append(v)
+                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
 
     return docs.select("key", "text").mapInArrow(run, BLOCKS)
 
 
-def document_scores(docs: DataFrame, scores: DataFrame, shards: int) -> DataFrame:
-    """key, logp, letters, pieces of each document, from its pieces' scores. `docs` has key and text.
+def document_scores(docs: DataFrame, probabilities_: DataFrame, order: int, parts: int) -> DataFrame:
+    """key, logp, letters of each document, from its n-grams' probabilities. `docs` has key and text; equal keys are rows of their own.
 
-    Both sides go to shards by the hash of the piece; in a shard each block's distinct pieces are looked up, and what a document has there is summed, so one
-    row for each document and shard goes on. A shard's size is bounded by their number, which grows with the documents.
+    N-grams and blocks of documents go to shards by the n-gram's hash, and blocks to parts, each of which has a copy of the shard's table: a group is
+    bounded by PER_PART documents. There each block's distinct n-grams are looked up, and what a document has in the shard is summed; a block's sums then meet.
     """
 
-    def digest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes(0)
-        for b in frames:
-            h = np.fromiter((hashes._digest(w) for w in b.column("piece").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(shards)).astype(np.int32)), pa.array(h.view(np.int64)), b.column("logp"), b.column("letters")], ["shard", "hash", "logp", "letters"])
-
-    table = scores.mapInArrow(digest, "shard INT, hash BIGINT, logp DOUBLE, letters BIGINT")
-
-    def meet(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        h = words["hash"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, logp, letters = h[order], words.logp.to_numpy()[order], words.letters.to_numpy()[order]
-        out: list[list] = [[], [], [], []]
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.array(b.column("gram").to_pylist(), f"<U{order}")
+            letters = names.view("<u4").reshape(-1, order)
+            h = _hash([np.ascontiguousarray(letters[:, k]) for k in range(order)]) if len(names) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(SHARDS)).astype(np.int32)), pa.array(h.view(np.int64)), b.column("logp")], ["shard", "hash", "logp"])
+
+    table = probabilities_.mapInArrow(digest, "shard INT, hash BIGINT, logp DOUBLE").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = _blocks(docs, order, parts)
+
+    def meet(blocks: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+        h = grams["hash"].to_numpy().view(np.uint64)
+        sort = np.argsort(h)
+        h, logp = h[sort], grams.logp.to_numpy()[sort]
+        out = []
         for b in blocks.itertuples():
-            local = np.searchsorted(h, np.frombuffer(b.hashes, np.uint64))
-            starts = np.frombuffer(b.starts, np.uint32)
-            wide = len(b.hashes) // 8 > 65536
-            at = local[np.frombuffer(b.words, np.uint32 if wide else np.uint16)]
-            n = np.frombuffer(b.counts, np.uint8 if len(b.counts) == len(at) else np.uint32).astype(np.int64)
-            for o, v in zip(out, (np.frombuffer(b.keys, np.int64), np.add.reduceat(logp[at] * n, starts), np.add.reduceat(letters[at] * n, starts), np.add.reduceat(n, starts)), strict=True):
-                o.append(v)
-        return pd.DataFrame({k: np.concatenate(o) if o else [] for k, o in zip(("key", "logp", "letters", "pieces"), out, strict=True)})
-
-    sums = _blocks(docs, shards).groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(meet, "key BIGINT, logp DOUBLE, letters BIGINT, pieces BIGINT")
-    return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("logp", "letters", "pieces")])
+            if b.letters:
+                out.append((b.block, b"", b.docs, b.letters))
+                continue
+            own = logp[np.searchsorted(h, np.frombuffer(b.hashes, np.uint64))]
+            low, high = np.frombuffer(b.low, np.uint8), np.frombuffer(b.high, np.uint16)
+            n = np.frombuffer(b.counts, np.uint8 if len(b.counts) == len(low) else np.uint32)
+            per = np.frombuffer(b.docs, np.uint32)
+            sums = np.bincount(np.repeat(np.arange(len(per)), per), own[low + high.astype(np.int64) * 256] * n, minlength=len(per))
+            out.append((b.block, sums.tobytes(), b"", b""))
+        return pd.DataFrame(out, columns=["block", "sums", "docs", "letters"])
+
+    sums = blocks.groupBy("shard", "part").cogroup(table.groupBy("shard", "part")).applyInPandas(meet, "block BIGINT, sums BINARY, docs BINARY, letters BINARY")
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        heads = rows[rows.letters.str.len() > 0]
+        keys, letters = np.frombuffer(heads.docs.iloc[0], np.int64), np.frombuffer(heads.letters.iloc[0], np.int64)
+        total = np.zeros(len(keys))
+        for x in rows.sums[rows.letters.str.len() == 0]:
+            total += np.frombuffer(x, np.float64)
+        found = pd.DataFrame({"key": keys, "logp": total / len(heads), "letters": letters})
+        return pd.concat([found] * len(heads))  # blocks of the same documents were summed as often as they occur
+
+    return sums.groupBy("block").applyInPandas(add, "key BIGINT, logp DOUBLE, letters BIGINT").where("letters > 0")
 
 
 def bounds(scored: DataFrame) -> DataFrame:
     """lang, mean, lo, hi from the marked texts of each language with LEAST of them, and for lang null from all.
 
-    A text of log probability L over its letters, in m pieces, deviates by (L - mean x letters) / sqrt(m), which for text like the trusted has the same spread at
+    A text of log probability L over its letters deviates by (L - mean x letters) / sqrt(letters), which for text like the trusted has the same spread at
     every length; lo and hi are the TAIL quantiles of that, widened by SLACK. So the bounds on perplexity are wide for short texts and
     narrow for long ones. Quantiles are sketches (1 in 10,000), which merge: no language meets in one task.
     """
-    trusted = scored.where("trusted AND pieces > 0")
-    trusted = trusted.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "logp", "letters", "pieces")
+    trusted = scored.where("trusted AND letters > 0")
+    trusted = trusted.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "logp", "letters")
     means = trusted.groupBy("lang").agg((F.sum("logp") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
     means = F.broadcast(materialize(means.where((F.col("n") >= LEAST) | F.col("lang").isNull()), "means"))  # a row for each language
-    rows = trusted.join(means, trusted.lang.eqNullSafe(means.lang)).select(means.lang, "mean", ((F.col("logp") - F.col("mean") * F.col("letters")) / F.sqrt("pieces")).alias("d"))
+    rows = trusted.join(means, trusted.lang.eqNullSafe(means.lang)).select(means.lang, "mean", ((F.col("logp") - F.col("mean") * F.col("letters")) / F.sqrt("letters")).alias("d"))
     q = F.percentile_approx("d", [TAIL, 1 - TAIL], 10_000)
     return rows.groupBy("lang", "mean").agg(q.alias("q")).select("lang", "mean", (F.col("q")[0] * SLACK).alias("lo"), (F.col("q")[1] * SLACK).alias("hi"))
 
@@ -227,9 +262,8 @@ def bounds(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, key, perplexity (a letter), lo, hi (the bounds on it), kept.
 
-    `trusted` holds the doc_id of texts to learn from. Units are the letters of words between white space, case kept; an n-gram does not
-    cross words, so each distinct word is scored once, in joins with the counts, and documents meet their words' scores in shards.
-    Null and empty texts have no perplexity and are not kept. Languages without enough trusted text, and null, have the bounds of
+    `trusted` holds the doc_id of texts to learn from. Units are letters, case kept, with white space as one space; n-grams meet the model's counts in
+    joins, and documents their n-grams' probabilities in shards. Null and empty texts have no perplexity and are not kept. Languages without enough trusted text, and null, have the bounds of
     all. Without trusted text all other documents are kept. Repeated rows get the same result each; an empty table gives no rows.
     """
     known = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
@@ -238,10 +272,10 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFra
     flags = rows.select("doc_id", "key", "lang", "held").join(known, "doc_id", "left").select("doc_id", "key", "lang", (F.coalesce("trusted", F.lit(False)) & F.col("held")).alias("trusted"))
     n = known.count()
     marked = rows.select("doc_id", "text", "held").join(F.broadcast(known) if n <= 2_000_000 else known, "doc_id", "left").select("text", (F.coalesce("trusted", F.lit(False)) & ~F.col("held")).alias("trusted"))
-    words = materialize(vocabulary(marked), "vocabulary")
-    shards = max(SHARDS, math.ceil(docs.count() / PER_SHARD))
-    scores = document_scores(rows.select("key", "text"), word_scores(words, order), shards)
-    scores = materialize(scores, "document-scores")
+    grams = materialize(ngrams(marked, order), "ngrams")
+    parts = max(1, math.ceil(docs.count() / PER_PART))
+    scores = document_scores(rows.select("key", "text"), probabilities(grams, order), order, parts)
+    scores = materialize(scores.dropDuplicates(["key"]), "document-scores")
     scored = materialize(flags.join(scores, "key", "left"), "scored")
     limits = F.broadcast(materialize(bounds(scored), "bounds"))  # a row for each language
     own = limits.where("lang IS NOT NULL")
@@ -249,7 +283,7 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFra
     found = scored.join(own, "lang", "left").join(every, F.lit(True), "left")
     for c in ("mean", "lo", "hi"):
         found = found.withColumn(c, F.coalesce(c, f"all_{c}"))
-    at = lambda c: F.exp(-(F.col("mean") + F.col(c) * F.sqrt("pieces") / F.col("letters")))
+    at = lambda c: F.exp(-(F.col("mean") + F.col(c) / F.sqrt("letters")))
     found = found.withColumn("perplexity", F.exp(-F.col("logp") / F.col("letters"))).withColumn("most", at("lo")).withColumn("least", at("hi"))
-    kept = F.col("pieces").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
+    kept = F.col("letters").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return found.select("doc_id", "key", "perplexity", F.col("least").alias("lo"), F.col("most").alias("hi"), kept.alias("kept"))
