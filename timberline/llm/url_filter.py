@@ -24,7 +24,7 @@ class Rule:
 
 #: Fixed values of the contract.
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
-STEPS, DAMPING, THRESHOLD = 12, 0.85, 0.5
+STEPS, DAMPING, THRESHOLD = 12, 0.85, 0.4
 
 
 def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
