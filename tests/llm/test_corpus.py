@@ -7,11 +7,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality_lm, token_counts, toxicity, url_filter
-from timberline.llm.common import TokenHashes, grouped_prefix, new_path
+from timberline.llm.common import grouped_prefix, new_path
 
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, digest INT, key STRING, size INT, n INT"
 RNG = np.random.default_rng(4)
@@ -293,8 +294,8 @@ def test_common_shingles_are_counted_exactly(spark):
     texts = [prose(12, i % 40) for i in range(300)] + ["a b c d e f"] * 50
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     ids, counts = near_dedup.common_shingles(df, len(texts), share=0.05)
-    hashes = TokenHashes()
-    want = Counter(h for t in texts for h in set(near_dedup.shingles_of(t, hashes)[1].tolist()))
+    want = Counter(h for _, s in near_dedup.shingles_of(pa.array(texts)) for h in set(s.tolist()))
+    assert len(set(want)) == len({w for t in texts for w in (tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)))})
     assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == {h: n for h, n in want.items() if n >= 0.05 * len(texts)}
 
 

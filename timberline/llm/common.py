@@ -68,35 +68,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class TokenHashes(dict):
-    """Stable 64-bit hashes of tokens, remembered up to a bound; the same in every process."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        from xxhash import xxh64_intdigest
-
-        self._digest, self._bound = xxh64_intdigest, bound
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self._bound:
-            self.clear()
-        value = self[token] = self._digest(token.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, tokens: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
-
-
-_SHARED: list[TokenHashes] = []
-
-
-def token_hashes() -> TokenHashes:
-    """The hashes that all tasks of one worker process share."""
-    if not _SHARED:
-        _SHARED.append(TokenHashes(1_000_000))
-    return _SHARED[0]
-
-
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n tokens, by position."""
     m = len(tokens) - n + 1

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from timberline.llm.common import BROADCAST_ROWS, TokenHashes, drop_path, materialize, mix64, new_path, text_of, token_hashes, window_hashes
+from timberline.llm.common import BROADCAST_ROWS, drop_path, materialize, mix64, new_path, text_of, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -21,7 +23,9 @@ COMMON = 1 / 1000
 #: Texts that a task of the counting pass holds at least, where there are so many.
 PER_TASK = 8192
 #: Shingles whose local counts a task sums at a time; shingles that are sampled at a time.
-HELD, CHUNK = 8_000_000, 1 << 15
+HELD, CHUNK = 8_000_000, 1 << 16
+#: Letters of texts that are cut into words together.
+TOGETHER = 8_000_000
 #: Pairs across classes that the last round tests at once, for each text that shares a bucket; above it more pivots come first.
 REST, PIVOTS = 4, 12
 
@@ -80,15 +84,26 @@ def _gamma_tables():
     return _TABLES[0]
 
 
-def shingles_of(text: str, hashes: TokenHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes, and all shingles in order: lower-case words between white space; fewer than n words are one shingle."""
-    words = hashes.of(text.lower().split())
-    return words, window_hashes(words, min(n, len(words)) or n)
+def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its words' hashes, and all shingles in order: lower-case words between white space; fewer than n words are one shingle.
 
-
-def _sets(batch: pa.RecordBatch, hashes: TokenHashes):
-    for t in batch.column("text"):
-        yield shingles_of(t.as_py(), hashes)
+    Each distinct word of a block of texts is hashed once.
+    """
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, "right")))
+        listed = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts[first:last].to_pylist()], pa.large_string()))
+        coded = listed.flatten().dictionary_encode()
+        ids = np.fromiter((xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+        ids = ids[coded.indices.to_numpy()] if len(coded) else ids
+        real = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()] > 0 if len(coded) else np.empty(0, bool)
+        cuts = np.concatenate([[0], np.cumsum(real)])[np.asarray(listed.offsets) - listed.offsets[0].as_py()]
+        ids = ids[real]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            words = ids[a:b]
+            yield words, window_hashes(words, min(n, len(words)) or n)
+        first = last
 
 
 def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +115,7 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
     spark = texts.sparkSession
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held, docs = token_hashes(), [], 0, 0
+        parts, held, docs = [], 0, 0
 
         def flush() -> pa.RecordBatch:
             least = max(1, math.ceil(share * docs / 2))
@@ -110,7 +125,7 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
             return pa.RecordBatch.from_arrays([pa.array(np.append(ids, 0)), pa.array(np.append(over, least - 1)), pa.array(np.append(np.zeros(len(ids), bool), True))], ["shingle", "over", "task"])
 
         for batch in batches:
-            for _, s in _sets(batch, hashes):
+            for _, s in shingles_of(batch.column("text")):
                 parts.append(np.unique(s))
                 held, docs = held + len(parts[-1]), docs + 1
                 if held >= HELD:
@@ -127,10 +142,10 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
     shipped = spark.sparkContext.broadcast(maybe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, maybe = token_hashes(), shipped.value
+        maybe = shipped.value
         total = np.zeros(len(maybe), np.int64)
         for batch in batches:
-            for _, s in _sets(batch, hashes):
+            for _, s in shingles_of(batch.column("text")):
                 i = np.searchsorted(maybe, s)
                 i[i == len(maybe)] = 0
                 total[np.unique(i[maybe[i] == s])] += 1
@@ -164,9 +179,7 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
     names = [f.split()[0] for f in SKETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_hexdigest
-
-        hashes, common = token_hashes(), shipped.value
+        common = shipped.value
         k = bands * rows
         band_seed = mix64(np.arange(101, 101 + bands, dtype=np.uint64))
 
@@ -199,7 +212,7 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
 
         for batch in batches:
             ids, texts_, found, held = [], [], [], 0
-            for doc, text, pair in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), _sets(batch, hashes), strict=True):
+            for doc, text, pair in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), shingles_of(batch.column("text")), strict=True):
                 ids.append(doc)
                 texts_.append(text)
                 found.append(pair)
