@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ TAIL, SLACK, LEAST = 0.001, 1.25, 50
 #: Shards that n-grams are dealt to, and documents whose blocks meet one copy of a shard.
 SHARDS, PER_PART = 16, 200_000
 #: Letters of a block of documents; n-grams that a task gathers before it reports them.
-BLOCK, GATHERED = 3_000_000, 1_000_000
+BLOCK, GATHERED = 2_000_000, 500_000
 START = "\x02"
 
 
@@ -55,11 +56,11 @@ def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray],
         drop = space
         drop[:-1] &= of[1:] != of[:-1]
         codes, of = codes[~drop], of[~drop]
-    begin = np.zeros(len(codes), np.int64)
+    begin = np.zeros(len(codes), np.int32)
     if len(codes):
         fresh = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        begin = np.repeat(fresh, np.diff(np.append(fresh, len(codes))))
-    place = np.arange(len(codes)) - begin
+        begin = np.repeat(fresh.astype(np.int32), np.diff(np.append(fresh, len(codes))))
+    place = np.arange(len(codes), dtype=np.int32) - begin
     columns = []
     for k in range(order - 1, -1, -1):
         c = np.full(len(codes), ord(START), "<u4")
@@ -151,12 +152,22 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("gram", F.log("p").alias("logp"))
 
 
-BLOCKS = "shard INT, block BIGINT, part INT, hashes BINARY, docs BINARY, low BINARY, high BINARY, counts BINARY, letters BINARY"
+BLOCKS = "shard INT, block BIGINT, part INT, hashes BINARY, docs BINARY, held BINARY, letters BINARY"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length of numbers below 2 ** 32, the bytes of each place together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns))
+
+
+def _unpack(data: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in raw]
 
 
 def _blocks(docs: DataFrame, order: int, parts: int) -> DataFrame:
     """For each block of documents and shard of the n-grams' hashes, one row: the block's distinct n-grams there, for each document how many of these
-    it has, and for each of those its place among them (low and high bytes apart, which packs well) and count. A row of shard 0 with `letters` has the documents' keys and numbers of letters instead."""
+    it has, and, packed, the steps between their places among them and the counts. A row of shard 0 with `letters` has the documents' keys and numbers of letters instead."""
     names = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +192,15 @@ def _blocks(docs: DataFrame, order: int, parts: int) -> DataFrame:
                 shard = np.searchsorted(cuts, code, "right") - 1
                 sort = np.argsort(shard.astype(np.uint8), kind="stable")
                 doc, code, n, ends = doc[sort], code[sort], n[sort], np.searchsorted(shard[sort], np.arange(SHARDS + 1))
-                rows = [[0], [block], [block % parts], [b""], [keys], [b""], [b""], [b""], [np.bincount(of, minlength=last - first).astype(np.int64).tobytes()]]
+                rows = [[0], [block], [block % parts], [b""], [keys], [b""], [np.bincount(of, minlength=last - first).astype(np.int64).tobytes()]]
                 for s in np.flatnonzero(np.diff(ends)):
                     a, b = ends[s], ends[s + 1]
-                    local, c = (code[a:b] - cuts[s]).astype(np.uint32), n[a:b]
-                    data = (int(s), block, block % parts, ids[cuts[s] : cuts[s + 1]].tobytes(), np.bincount(doc[a:b], minlength=last - first).astype(np.uint32).tobytes(),
-                            (local & 255).astype(np.uint8).tobytes(), (local >> 8).astype(np.uint16).tobytes(), c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes(), b"")
+                    local, d = code[a:b] - cuts[s], doc[a:b]
+                    local[1:] -= np.where(d[1:] == d[:-1], local[:-1], 0)
+                    data = (int(s), block, block % parts, ids[cuts[s] : cuts[s + 1]].tobytes(), np.bincount(d, minlength=last - first).astype("<u4").tobytes(), _pack(local, n[a:b]), b"")
                     for col, v in zip(rows, data, strict=True):
                         col.append(v)
-                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
 
     return docs.select("key", "text").mapInArrow(run, BLOCKS)
@@ -222,10 +233,11 @@ def document_scores(docs: DataFrame, probabilities_: DataFrame, order: int, part
                 out.append((b.block, b"", b.docs, b.letters))
                 continue
             own = logp[np.searchsorted(h, np.frombuffer(b.hashes, np.uint64))]
-            low, high = np.frombuffer(b.low, np.uint8), np.frombuffer(b.high, np.uint16)
-            n = np.frombuffer(b.counts, np.uint8 if len(b.counts) == len(low) else np.uint32)
-            per = np.frombuffer(b.docs, np.uint32)
-            sums = np.bincount(np.repeat(np.arange(len(per)), per), own[low + high.astype(np.int64) * 256] * n, minlength=len(per))
+            steps, n = _unpack(b.held, 2)
+            per = np.frombuffer(b.docs, "<u4").astype(np.int64)
+            of, ends = np.repeat(np.arange(len(per)), per), np.concatenate([[0], np.cumsum(steps)])
+            at = ends[1:] - ends[(np.cumsum(per) - per)[of]]
+            sums = np.bincount(of, own[at] * n, minlength=len(per))
             out.append((b.block, sums.tobytes(), b"", b""))
         return pd.DataFrame(out, columns=["block", "sums", "docs", "letters"])
 
