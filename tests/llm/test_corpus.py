@@ -139,7 +139,7 @@ def test_toxicity_held_out_and_odd(spark, odd, none):
     model = toxicity.fit(df.where("doc_id < 700"), df.where("doc_id < 700").select("doc_id", "toxic"))
     got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 700"), model).collect()}
     assert all((got[i] >= 0.5) == (t == 1) for i, _, t in rows[700:])
-    assert {v.rstrip("$") for v in model.voters} >= {"zorblax", "grunkle"} and model.labels.accuracy.max() > 0.9
+    assert all(any(w.startswith(v.rstrip("$")) for v in model.voters) for w in ("zorblax", "grunkle")) and model.labels.accuracy.max() > 0.9
     scored = toxicity.score(odd, model).collect()
     assert len(scored) == 10 and all(0 <= r.score <= 1 for r in scored)
     blank = toxicity.fit(none, df.select("doc_id", "toxic").limit(0))

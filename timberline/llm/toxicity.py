@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from timberline.llm.common import unit_hash
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000_000
 #: Lexicon voters are at most VOTERS, each seen in SUPPORT toxic texts at least; the classifier weighs at most KEPT features.
 VOTERS, SUPPORT, KEPT = 400, 4, 4000
+#: Standard deviations by which a voter's toxic texts must exceed chance (there are many candidates), and the share of its texts that another may fire in at most.
+SURE, ECHO = 6.5, 0.7
 STEMS = range(3, 11)
 #: Of a text in which no voter fires, the chance to be toxic is the prior's times this.
 SILENT = 0.25
@@ -87,7 +90,7 @@ def label_model(votes: np.ndarray, precision: np.ndarray, prior: float, strength
         cov = rest.T @ rest / n
         sd = np.sqrt(np.diag(cov)) + 1e-9
         shared = cov / sd[:, None] / sd
-        shared[shared < 0.2] = 0
+        shared[shared < 0.5] = 0  # less is what voters of one language or topic have in common
         np.fill_diagonal(shared, 1)
         accuracy = (yes + strength * precision) / (fired + strength)
         model = LabelModel(np.clip(accuracy, 1e-3, 1 - 1e-3), 1 / shared.sum(axis=1), prior)
@@ -117,8 +120,26 @@ class Model:
         return score
 
 
+def _distinct(texts: list[str | None]) -> list[int]:
+    """Places of texts that are no copy or near copy of one before: neither the least nor the greatest hash of their runs of three words has been seen.
+    Copies of one text would lend each of its words the support of many."""
+    ends: tuple[set[int], set[int]] = (set(), set())
+    out = []
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        runs = [zlib.crc32(" ".join(w[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 2))]
+        lo, hi = min(runs), max(runs)
+        if lo not in ends[0] and hi not in ends[1]:
+            out.append(i)
+        ends[0].add(lo)
+        ends[1].add(hi)
+    return out
+
+
 def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     """Voters from the labelled texts, posteriors from the votes, the classifier from the posteriors."""
+    kept = _distinct(texts)
+    texts, toxic = [texts[i] for i in kept], toxic[kept]
     of = Features()
     rows = [of.row(t) for t in texts]
     size, names = len(of.number), list(of.number)
@@ -131,15 +152,22 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     df = seen[0] + seen[1]
     precision = (seen[1] + base) / (df + 1)
     excess = (seen[1] - df * base) / np.sqrt(df * base * (1 - base) + 1e-9)
-    fit = np.flatnonzero((seen[1] >= min(SUPPORT, max(1, pos // 8))) & (precision >= max(0.6, 2 * base)) & (excess > 3))
-    voters = fit[np.lexsort((fit, -excess[fit]))][:VOTERS]
+    fit = np.flatnonzero((seen[1] >= min(SUPPORT, max(1, pos // 8))) & (precision >= max(0.8, 2 * base)) & (excess > SURE))
+    voters = fit[np.lexsort((fit, -excess[fit]))][: 10 * VOTERS]
     column = np.full(size, -1)
     column[voters] = np.arange(len(voters))
-    votes = np.zeros((n, len(voters) + len(PATTERNS)))
-    for i, (r, t) in enumerate(zip(rows, texts, strict=True)):
+    fires = np.zeros((n, len(voters)), bool)
+    for i, r in enumerate(rows):
         c = column[r]
-        votes[i, c[c >= 0]] = 1
-        votes[i, len(voters) :] = _patterns(t)
+        fires[i, c[c >= 0]] = True
+    # A voter that mostly fires where one of the chosen does (longer stems of the same, say) would add no more than an echo.
+    chosen: list[int] = []
+    for k in range(len(voters)):
+        mine = fires[:, k]
+        if len(chosen) < VOTERS and (not chosen or fires[mine][:, chosen].mean(axis=0).max() < ECHO):
+            chosen.append(k)
+    voters = voters[chosen]
+    votes = np.column_stack([fires[:, chosen], np.array([_patterns(t) for t in texts], bool)]).astype(float)
     if not votes.any():
         return none
     pattern_precision = (toxic @ votes[:, len(voters) :] + base) / (votes[:, len(voters) :].sum(axis=0) + 1)
@@ -151,7 +179,7 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
     for r, p in zip(rows, q, strict=True):
         lean[r] += p - q.mean()
     lean = np.abs(lean) / np.sqrt(df * q.mean() * (1 - q.mean()) + 1e-9)
-    used = np.flatnonzero((df >= 3) & (lean > 3))
+    used = np.flatnonzero((df >= 3) & (lean > 6))
     used = np.sort(used[np.lexsort((used, -lean[used]))][:KEPT])
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
