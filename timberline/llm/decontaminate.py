@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import materialize, null_safe_join, window_hashes
+from timberline.llm.common import give_back, materialize, null_safe_join, window_hashes
 
 #: Tokens of a window, and how many of them must be literal. A shorter item is one window of its own length.
 WINDOW, LITERAL, SHORTEST = 8, 5, 4
@@ -177,6 +177,7 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -
                         data = ([ids[first + i] for i in d], [keys[first + i] for i in d], p - begins[d], h.view(np.int64), [t.slots(i, n) for i in p.tolist()])
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, HITS, strict=True)], schema=HITS)
                 first, size = last, 0
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id BIGINT, text_key BIGINT, doc_place INT, window BIGINT, doc_slots ARRAY<STRING>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from timberline.llm.common import BROADCAST_ROWS, drop_path, materialize, mix64, new_path, text_of, window_hashes
+from timberline.llm.common import BROADCAST_ROWS, drop_path, give_back, materialize, mix64, new_path, text_of, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -23,9 +23,9 @@ COMMON = 1 / 1000
 #: Texts that a task of the counting pass holds at least, where there are so many.
 PER_TASK = 8192
 #: Shingles whose local counts a task sums at a time; shingles that are sampled at a time.
-HELD, CHUNK = 8_000_000, 1 << 16
+HELD, CHUNK = 3_000_000, 1 << 16
 #: Letters of texts that are cut into words together.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 #: Pairs across classes that the last round tests at once, for each text that shares a bucket; above it more pivots come first.
 REST, PIVOTS = 4, 12
 
@@ -131,8 +131,10 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
                 if held >= HELD:
                     yield flush()
                     parts, held, docs = [], 0, 0
+            give_back()
         if parts:
             yield flush()
+        give_back()
 
     tasks = max(1, n // PER_TASK)
     reports = materialize(texts.coalesce(tasks).mapInArrow(report, "shingle BIGINT, over BIGINT, task BOOLEAN"), "reports")
@@ -217,11 +219,13 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
                 texts_.append(text)
                 found.append(pair)
                 held += len(pair[0])
-                if held >= 400_000:
+                if held >= 200_000:
                     yield flush(ids, texts_, found)
                     ids, texts_, found, held = [], [], [], 0
             if ids:
                 yield flush(ids, texts_, found)
+            del ids, texts_, found
+            give_back()
 
     return texts.mapInArrow(run, SKETCHES)
 

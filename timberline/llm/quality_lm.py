@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import materialize, mix64, text_of
+from timberline.llm.common import give_back, materialize, mix64, text_of
 
 #: Letters of an n-gram.
 ORDER = 4
@@ -25,7 +25,7 @@ TAIL, SLACK, LEAST = 0.001, 1.25, 50
 #: Shards that n-grams are dealt to, and documents whose blocks meet one copy of a shard.
 SHARDS, PER_PART = 16, 200_000
 #: Letters of a block of documents; n-grams that a task gathers before it reports them.
-BLOCK, GATHERED = 2_000_000, 500_000
+BLOCK, GATHERED = 1_000_000, 200_000
 START = "\x02"
 
 
@@ -103,8 +103,10 @@ def ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     seen[g] = seen.get(g, 0) + c
                 if len(seen) >= GATHERED:
                     yield flush()
+            give_back()
         if seen:
             yield flush()
+        give_back()
 
     return docs.select("text", "trusted").mapInArrow(run, "gram STRING, n BIGINT").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -202,6 +204,7 @@ def _blocks(docs: DataFrame, order: int, parts: int) -> DataFrame:
                         col.append(v)
                 types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+            give_back()
 
     return docs.select("key", "text").mapInArrow(run, BLOCKS)
 
