@@ -25,14 +25,14 @@ UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inche
 TOKEN = re.compile(r"[.!?:;\n]+|\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 BREAKS = frozenset(".!?:;\n")
 #: Texts whose templates are made together, in characters.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 class Lexicon(dict):
     """A number for each token, and by number: its kind (BREAK, LITERAL, CAPITAL, NUMERAL, MEASURE) and the hash of its lower-case form. Remembered up to a bound."""
 
     BREAK, LITERAL, CAPITAL, NUMERAL, MEASURE = range(5)
-    BOUND = 1_000_000
+    BOUND = 250_000
 
     def __init__(self):
         super().__init__()
@@ -64,6 +64,7 @@ class Lexicon(dict):
         """The texts' templates, laid end to end."""
         if len(self) > self.BOUND:
             self.clear()
+            self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
         words: list[str] = []
         lengths = []
         for t in texts:

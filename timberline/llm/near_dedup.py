@@ -249,6 +249,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 low = float(np.minimum(wa[hit], wb[i[hit]]).sum())
                 keep.append(low >= (least - 1e-6) * (float(wa.sum()) + float(wb.sum()) - low))
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "s1", "w1", "s2", "w2").mapInArrow(run, "src STRING, dst STRING")
 
