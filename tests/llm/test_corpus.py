@@ -109,6 +109,20 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(300, 400)) >= 98
 
 
+def test_quality_sees_the_order_of_words(spark):
+    # Each word mostly tells the next, by letters that lie more than three apart; shuffled texts have the same words.
+    words = [c + "aa" for c in "klmnprst"]
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        steps = np.where(rng.random(60 + i % 40) < 0.8, 1, rng.integers(0, 8, 60 + i % 40))
+        rows.append((i, " ".join(words[k % 8] for k in np.cumsum(steps)), "en"))
+    rows += [(1000 + i, " ".join(rng.permutation(np.repeat(words, 10))), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality_lm.classify(docs, docs.where("doc_id < 400").select("doc_id")).collect()}
+    assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(400)) >= 370
+
+
 def test_token_counts_match_the_library_and_the_cache_fills_once(spark, odd, none):
     import public_tokenizers
     import sentencepiece

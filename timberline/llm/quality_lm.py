@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import give_back, materialize, mix64, text_of
 
-#: Letters of an n-gram.
-ORDER = 4
+#: Letters of an n-gram: enough to span a short word, or the end of one and the start of the next.
+ORDER = 5
 #: One in FOLDS trusted texts (by a hash of the text, so copies go together) is not learned from: the bounds come from these, which the model
 #: has seen no more than any other text.
 FOLDS = 5
