@@ -329,6 +329,20 @@ def test_urls_by_rule_and_by_rank(spark):
     assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "block", "allow", "allow"] and got[2].distrust > 0.4 > got[3].distrust and got[3].trust > 0
 
 
+def test_hosts_that_are_only_linked_to_count(spark):
+    link = lambda *u: "".join(f'<a href="{x}">' for x in u)
+    web = [(1, "http://feeder.test/en/", link("https://Spam.NET/a", "//spam.net/a?x=1", "http://spam.net/b#c")), (2, "http://far.test/en/", link("http://hub.test/z")), (3, "http://plain.test/", link("http://nothing.test"))]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(web, "page_id long, url string, html string")).collect()}
+    assert len(got) == 3 and [got[i].verdict for i in (1, 2, 3)] == ["block", "allow", "allow"]
+    assert got[1].distrust > 0.4 and got[2].distrust == got[3].distrust == 0
+    # An allow rule on the linked path, and trust through a host without pages.
+    web = [(1, "http://x.org/fr/", link("http://hub.test/1")), (2, "http://one.test/", link("http://kind.org/fr/q")), (3, "http://hub.test.sub/", None), (4, "http://a.hub.test/", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(web, "page_id long, url string, html string")).collect()}
+    assert got[4].trust > 0 == got[3].trust
+    links = url_filter.host_links(url_filter.with_host(spark.createDataFrame(web, "page_id long, url string, html string")).select("host", "html"))
+    assert {(r.src, r.dst, r.path, r.n) for r in links.collect()} == {("x.org", "hub.test", "/1", 1), ("one.test", "kind.org", "/fr/q", 1)}
+
+
 def test_ranks_by_power_iteration(spark):
     names = list("abcd")
     w = np.array([[1, 2, 0, 0], [0, 1, 1, 0], [3, 0, 1, 1], [0, 0, 0, 1]], float)

@@ -44,14 +44,19 @@ def rule_of(rules: tuple[Rule, ...] = RULES) -> Column:
     return found
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight between the hosts of `pages`: links of the html (counted), and a subdomain with the nearest host above it, both
-    ways, once. Relative links stay on their host: every host has a loop of weight 1."""
-    hosts = pages.select("host").distinct()
-    links = pages.select("host", F.explode(F.expr(r"regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*[\"\']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"\'\\s>]+)', 1)")).alias("dst"))
-    links = links.groupBy(F.col("host").alias("src"), F.translate("dst", ASCII_UPPER, ASCII_LOWER).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def host_links(pages: DataFrame) -> DataFrame:
+    """src, dst, path, n: how often the html of a host's pages links to a path of another host, whether that has pages or not."""
+    links = pages.select("host", F.explode(F.expr(r"regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*[\"\']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"\'\\s>]+[^?#\"\'\\s>]*)', 1)")).alias("to"))
+    dst = F.translate(F.regexp_extract("to", r"^[^/]*", 0), ASCII_UPPER, ASCII_LOWER)
+    links = links.select(F.col("host").alias("src"), dst.alias("dst"), F.regexp_extract("to", r"^[^/]*(.*)$", 1).alias("path")).where("src <> dst")
+    return links.groupBy("src", "dst", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def host_edges(hosts: DataFrame, links: DataFrame) -> DataFrame:
+    """src, dst, weight between `hosts` (host, once each): `links` of `host_links` (counted), and a subdomain with the nearest host above
+    it, both ways, once. Relative links stay on their host: every host has a loop of weight 1."""
+    links = links.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("weight"))
     known = hosts.select(F.col("host").alias("dst"))
-    links = links.join(known, "dst", "left_semi").where("src <> dst").select("src", "dst", "weight")
     labels = F.split("host", r"\.")
     above = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("step", "dst")).where("dst <> '' AND dst <> host")
     above = above.join(known, "dst", "left_semi").groupBy("host").agg(F.min(F.struct("step", "dst")).alias("up")).select(F.col("host").alias("src"), F.col("up.dst").alias("dst"))
@@ -89,7 +94,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
 
     A page that a rule fits has the longest rule's verdict. Any other is blocked if, for its host, distrust is above
     `threshold` and above trust. Pages under an allow rule seed trust and those under a block rule distrust. A url without a
-    host is of the host ``, which is judged as any other; a null html has no links. Hosts that hold any share of the pages are
+    host is of the host ``, which is judged as any other; a null html has no links. Hosts that are only linked to are hosts of the graph as
+    well; each of their distinct linked urls counts as a page, under the rule that fits it. Hosts that hold any share of the pages are
     reduced to one row a task before they move. An empty table gives no rows.
     """
     known = with_host(pages.select("page_id", "url")).withColumn("rule", rule_of(rules)).drop("url")
@@ -99,8 +105,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
         says = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(says)
     known = known.withColumn("says", says)
     counted = lambda v: F.count(F.when(F.col("says") == v, 1))
-    seeds = materialize(known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), counted("allow").alias("trusted"), counted("block").alias("blocked")), "hosts")
-    edges = host_edges(with_host(pages.select("url", "html")).select("host", "html"))
+    seeds_of = lambda df: df.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), counted("allow").alias("trusted"), counted("block").alias("blocked"))
+    crawled = materialize(seeds_of(known), "hosts")
+    links = materialize(host_links(with_host(pages.select("url", "html")).select("host", "html")), "links")
+    linked = links.select(F.col("dst").alias("host"), "path").distinct().join(crawled.select("host"), "host", "left_anti").withColumn("rule", rule_of(rules)).withColumn("says", says)
+    seeds = materialize(crawled.unionByName(seeds_of(linked)), "seeds")
+    edges = host_edges(seeds.select("host"), links)
     ranks = materialize(propagate(edges, seeds), "ranks")
     out = null_safe_join(known, ranks, ["host"], "left")
     worse = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
