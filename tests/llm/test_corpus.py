@@ -123,6 +123,14 @@ def test_quality_sees_the_order_of_words(spark):
     assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(400)) >= 370
 
 
+def test_one_odd_trusted_text_does_not_set_the_bounds(spark):
+    d = sorted(np.random.default_rng(3).normal(size=400).tolist())
+    rows = [("en", True, -2.0 * 100 + x * 10, 100) for x in d] + [("en", True, -2.0 * 100 - 900.0, 100), ("en", True, -2.0 * 100 + 900.0, 100)]
+    got = {r.lang: r for r in quality_lm.bounds(spark.createDataFrame(rows, "lang string, trusted boolean, logp double, letters long")).collect()}
+    for r in got.values():
+        assert d[0] < r.lo < d[12] and d[-13] < r.hi < d[-1]
+
+
 def test_token_counts_match_the_library_and_the_cache_fills_once(spark, odd, none):
     import public_tokenizers
     import sentencepiece

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,9 @@ ORDER = 5
 #: One in FOLDS trusted texts (by a hash of the text, so copies go together) is not learned from: the bounds come from these, which the model
 #: has seen no more than any other text.
 FOLDS = 5
-#: Share of a language's trusted texts outside either bound, the bounds' slack, and the trusted texts that a language needs for bounds of its own.
-TAIL, SLACK, LEAST = 0.001, 1.25, 50
+#: Share of a language's trusted texts outside either bound, the trusted texts that a language needs for bounds of its own, and how many must lie
+#: outside a bound for the quantile itself to be used: with fewer it would hang on single texts.
+TAIL, LEAST, OUTSIDE = 0.01, 50, 5
 #: Shards that n-grams are dealt to, and documents whose blocks meet one copy of a shard.
 SHARDS, PER_PART = 16, 200_000
 #: Letters of a block of documents; n-grams that a task gathers before it reports them.
@@ -262,16 +264,20 @@ def bounds(scored: DataFrame) -> DataFrame:
     """lang, mean, lo, hi from the marked texts of each language with LEAST of them, and for lang null from all.
 
     A text of log probability L over its letters deviates by (L - mean x letters) / sqrt(letters), which for text like the trusted has the same spread at
-    every length; lo and hi are the TAIL quantiles of that, widened by SLACK. So the bounds on perplexity are wide for short texts and
+    every length; lo and hi are the TAIL quantiles of that, or with fewer texts than OUTSIDE / TAIL those of the normal distribution with the same quartiles. So the bounds on perplexity are wide for short texts and
     narrow for long ones. Quantiles are sketches (1 in 10,000), which merge: no language meets in one task.
     """
     trusted = scored.where("trusted AND letters > 0")
     trusted = trusted.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "logp", "letters")
     means = trusted.groupBy("lang").agg((F.sum("logp") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
     means = F.broadcast(materialize(means.where((F.col("n") >= LEAST) | F.col("lang").isNull()), "means"))  # a row for each language
-    rows = trusted.join(means, trusted.lang.eqNullSafe(means.lang)).select(means.lang, "mean", ((F.col("logp") - F.col("mean") * F.col("letters")) / F.sqrt("letters")).alias("d"))
-    q = F.percentile_approx("d", [TAIL, 1 - TAIL], 10_000)
-    return rows.groupBy("lang", "mean").agg(q.alias("q")).select("lang", "mean", (F.col("q")[0] * SLACK).alias("lo"), (F.col("q")[1] * SLACK).alias("hi"))
+    rows = trusted.join(means, trusted.lang.eqNullSafe(means.lang)).select(means.lang, "mean", "n", ((F.col("logp") - F.col("mean") * F.col("letters")) / F.sqrt("letters")).alias("d"))
+    q = F.percentile_approx("d", [TAIL, 1 - TAIL, 0.25, 0.5, 0.75], 10_000)
+    normal, q_ = NormalDist(), F.col("q")
+    reach = (q_[4] - q_[2]) * (normal.inv_cdf(1 - TAIL) / (2 * normal.inv_cdf(0.75)))
+    many = F.col("n") >= OUTSIDE / TAIL
+    lo, hi = F.when(many, q_[0]).otherwise(q_[3] - reach), F.when(many, q_[1]).otherwise(q_[3] + reach)
+    return rows.groupBy("lang", "mean", "n").agg(q.alias("q")).select("lang", "mean", lo.alias("lo"), hi.alias("hi"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -279,12 +285,12 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFra
 
     `trusted` holds the doc_id of texts to learn from. Units are letters, case kept, with white space as one space; n-grams meet the model's counts in
     joins, and documents their n-grams' probabilities in shards. Null and empty texts have no perplexity and are not kept. Languages without enough trusted text, and null, have the bounds of
-    all. Without trusted text all other documents are kept. Repeated rows get the same result each; an empty table gives no rows.
+    all. The lower bound does not reject texts that were learned from. Without trusted text all other documents are kept. Repeated rows get the same result each; an empty table gives no rows.
     """
     known = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     held = F.pmod(F.xxhash64(F.lit(FOLDS), text_of()), F.lit(FOLDS)) == 0
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), F.col("lang").cast("string").alias("lang"), text_of().cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    flags = rows.select("doc_id", "key", "lang", "held").join(known, "doc_id", "left").select("doc_id", "key", "lang", (F.coalesce("trusted", F.lit(False)) & F.col("held")).alias("trusted"))
+    flags = rows.select("doc_id", "key", "lang", "held").join(known, "doc_id", "left").select("doc_id", "key", "lang", (F.coalesce("trusted", F.lit(False)) & F.col("held")).alias("trusted"), (F.coalesce("trusted", F.lit(False)) & ~F.col("held")).alias("learned"))
     n = known.count()
     marked = rows.select("doc_id", "text", "held").join(F.broadcast(known) if n <= 2_000_000 else known, "doc_id", "left").select("text", (F.coalesce("trusted", F.lit(False)) & ~F.col("held")).alias("trusted"))
     grams = materialize(ngrams(marked, order), "ngrams")
@@ -300,5 +306,7 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFra
         found = found.withColumn(c, F.coalesce(c, f"all_{c}"))
     at = lambda c: F.exp(-(F.col("mean") + F.col(c) / F.sqrt("letters")))
     found = found.withColumn("perplexity", F.exp(-F.col("logp") / F.col("letters"))).withColumn("most", at("lo")).withColumn("least", at("hi"))
-    kept = F.col("letters").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
+    # The model fits what it has learned from too well, so the lower bound says nothing of that.
+    inside = (F.col("learned") | (F.col("perplexity") >= F.col("least"))) & (F.col("perplexity") <= F.col("most"))
+    kept = F.col("letters").isNotNull() & F.coalesce(inside, F.lit(True))
     return found.select("doc_id", "key", "perplexity", F.col("least").alias("lo"), F.col("most").alias("hi"), kept.alias("kept"))
