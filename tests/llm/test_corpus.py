@@ -233,6 +233,17 @@ def test_leaks_exact_and_reparameterised(spark, odd, none):
     assert decontaminate.leaks(none, bench).count() == 0 == decontaminate.leaks(odd, bench.limit(0)).count() == decontaminate.leaks(odd, bench).count()
 
 
+def test_one_odd_value_does_not_hide_a_copy(spark, odd, none):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    changed, swap = ITEM.replace("the 12", "the 13"), ITEM.replace("buys 12", "buys 40").replace("the 12", "the 41").replace("Alice", "Maria")
+    docs = [(1, changed), (2, prose(30, 1) + ". " + changed), (3, swap), (4, ITEM), (5, prose(90, 3))]
+    got = {r.doc_id: r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    # The copy is found up to the changed value, and is no exact one.
+    assert set(got) == {1, 2, 3, 4} and [got[i].kind for i in (1, 2, 3, 4)] == ["reparameterised"] * 3 + ["exact"]
+    assert got[1].run == got[2].run >= 13 and got[1].coverage < 1 == got[4].coverage
+    assert decontaminate.leaks(none, bench).count() == 0 == decontaminate.leaks(odd, bench).count()
+
+
 def test_leaks_do_not_depend_on_the_sieve(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, prose(40, 1) + " " + ITEM), (2, prose(40, 2))], "doc_id long, text string")

@@ -189,8 +189,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     copy of it.
 
     Texts become templates (`Lexicon.templates`); windows of WINDOW tokens of both meet in a hash join. Where a document and an item share
-    windows along one diagonal (the item at one place of the document), each value of the item must stand for one value of
-    the document throughout; windows of a diagonal where it does not are left out. kind is `exact` if all values are equal, else `reparameterised`.
+    windows along one diagonal (the item at one place of the document), each value of the item stands for the value of the document
+    that it meets most often there; only windows in which it meets another are left out, and none whose values equal the item's. kind is
+    `exact` if all values that meet are equal, else `reparameterised`.
     `coverage` is the share of the item's windows found in a document, `run` the most tokens of it in a row. Null and empty texts hold
     nothing; repeated documents and items count once each; empty tables give no rows.
     """
@@ -203,11 +204,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     windows = _doc_windows(docs, sizes, wanted)
     met = materialize(windows, "windows").join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "slots", "doc_slots")
     where = ["doc_id", "text_key", "item_id", "diagonal"]
-    # The last value and first value of the document that each value of the item stands for differ where it stands for two.
+    # The value of the document that each value of the item stands for most often, and with equal counts its own.
     pairs = met.select(*where, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("s")).select(*where, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    stands = pairs.groupBy(*where, "a").agg((F.min("b") != F.max("b")).alias("two"), F.min(F.col("a") == F.col("b")).alias("same"))
-    slots = stands.groupBy(*where).agg(F.max("two").alias("two"), F.min("same").alias("same"))
-    met = null_safe_join(met, slots, where, "left").where("NOT coalesce(two, false)").select(*where, "place", "size", "n_windows", F.coalesce("same", F.lit(True)).alias("same"))
+    stands = pairs.groupBy(*where, "a", "b").agg(F.count(F.lit(1)).alias("n"), (F.col("a") == F.col("b")).alias("same"))
+    stands = stands.groupBy(*where, "a").agg(F.max_by("b", F.struct("n", "same", "b")).alias("b"), F.min("same").alias("same"))
+    slots = stands.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("stands"), F.min("same").alias("same"))
+    fits = F.col("slots") == F.col("doc_slots")
+    fits = fits | F.forall(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda s: F.element_at("stands", s["a"]) == s["b"])
+    met = null_safe_join(met, slots, where, "left").where(fits).select(*where, "place", "size", "n_windows", F.coalesce("same", F.lit(True)).alias("same"))
     # Runs of windows at consecutive places along a diagonal.
     by_diagonal = met.groupBy(*where).agg(F.sort_array(F.collect_set("place")).alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.min("same").alias("same"))
     longest = F.aggregate(
