@@ -244,6 +244,14 @@ def test_one_odd_value_does_not_hide_a_copy(spark, odd, none):
     assert decontaminate.leaks(none, bench).count() == 0 == decontaminate.leaks(odd, bench).count()
 
 
+def test_every_item_is_found_verbatim(spark):
+    items = ["What is 17 * 24 + 308?", "Solve 3x + 5 = 20", "The sum of 12, 15, 18, 21 and 24 is", "Alice has five apples", "Zwei Katzen", "Anna Berta Clara Dora Emma Frieda Greta Hanna Ida Jana Klara Lena"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"{prose(20, i)} {t} {prose(9, 50 + i)}") for i, t in enumerate(items)] + [(10, "What is 18 * 24 + 308? Solve 4x + 5 = 20"), (11, prose(80, 9))]
+    got = {(r.doc_id, r.item_id): (r.coverage, r.kind) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i): (1.0, "exact") for i in range(len(items))}
+
+
 def test_leaks_do_not_depend_on_the_sieve(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, prose(40, 1) + " " + ITEM), (2, prose(40, 2))], "doc_id long, text string")

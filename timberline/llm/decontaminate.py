@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import give_back, materialize, null_safe_join, window_hashes
 
-#: Tokens of a window, and how many of them must be literal. A shorter item is one window of its own length.
+#: Tokens of a window, and how many of them must be literal in a template; windows with fewer are only found verbatim. A shorter item is one window of its
+#: own length, which below SHORTEST tokens has no template.
 WINDOW, LITERAL, SHORTEST = 8, 5, 4
+#: Tells hashes of raw tokens from those of templates.
+RAW = np.uint64(0x5851F42D4C957F2D)
 #: An item is leaked if this share of its windows is found, or a run of this many tokens.
 COVERAGE, RUN = 0.5, 13
 #: Up to this many template windows are sent to the tasks, to leave out windows that no item has before the join; beyond it all windows are joined.
@@ -75,7 +78,8 @@ class Lexicon(dict):
         kinds, doc = self.kinds[codes], np.repeat(np.arange(len(texts)), lengths)
         at = np.flatnonzero(kinds != self.BREAK)
         kind, of = kinds[at], doc[at]
-        ids = self.hashes[codes[at]]
+        raw = self.hashes[codes[at]]
+        ids = raw.copy()
         fresh = np.ones(len(at), bool)  # the first of its text or sentence
         fresh[1:] = (of[1:] != of[:-1]) | (np.diff(at) > 1)
         after_number = np.zeros(len(at), bool)
@@ -85,27 +89,31 @@ class Lexicon(dict):
             hit = (kind == k) & where
             held |= hit
             ids[hit] = self.placeholder[k]
-        return Templates(words, at, of, ids, held)
+        return Templates(words, at, of, ids, raw, held)
 
 
 @dataclass
 class Templates:
-    """Tokens without breaks: their places among all `words`, texts, hashes (of placeholders, where `held`)."""
+    """Tokens without breaks: their places among all `words`, texts, hashes (of placeholders, where `held`), hashes of the tokens themselves."""
 
     words: list[str]
     at: np.ndarray
     of: np.ndarray
     ids: np.ndarray
+    raw: np.ndarray
     held: np.ndarray
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and places (among these tokens) of the runs of n tokens within one text that have enough literal ones."""
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and places (among these tokens) of the runs of n tokens within one text: of their templates, where these have enough literal
+        tokens, and of the tokens themselves; and which are templates."""
         found = window_hashes(self.ids, n) ^ np.uint64(n)
         if not len(found):
-            return found, np.empty(0, np.int64)
+            return found, np.empty(0, np.int64), np.empty(0, bool)
         sums = np.concatenate([[0], np.cumsum(self.held)])
-        keep = np.flatnonzero((self.of[n - 1 :] == self.of[: len(found)]) & (n - (sums[n:] - sums[:-n]) >= min(LITERAL, max(1, n - 1))))
-        return found[keep], keep
+        every = np.flatnonzero(self.of[n - 1 :] == self.of[: len(found)])
+        typed = every[n - (sums[n:] - sums[:-n])[every] >= min(LITERAL, max(1, n - 1))] if n >= SHORTEST else every[:0]
+        raw = (window_hashes(self.raw, n) ^ np.uint64(n) ^ RAW)[every]
+        return np.concatenate([found[typed], raw]), np.concatenate([typed, every]), np.arange(len(typed) + len(every)) < len(typed)
 
     def slots(self, place: int, n: int) -> list[str]:
         """What the placeholders of a window stand for."""
@@ -122,13 +130,13 @@ def _lexicon() -> Lexicon:
     return _SHARED[0]
 
 
-ITEM_WINDOWS = "item_id BIGINT, window BIGINT, place INT, slots ARRAY<STRING>, size INT, n_windows INT"
+ITEM_WINDOWS = "item_id BIGINT, window BIGINT, place INT, slots ARRAY<STRING>, size INT, n_windows INT, typed BOOLEAN, n_typed INT"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """The windows of each item (item_id, text); an item of fewer than SHORTEST tokens has none, for it would meet anything."""
+    """The windows of each item (item_id, text), each by its tokens and, where it is `typed`, by its template. The windows by tokens have no slots."""
 
-    names = ["item_id", "window", "place", "slots", "size", "n_windows"]
+    names = ["item_id", "window", "place", "slots", "size", "n_windows", "typed", "n_typed"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon()
@@ -137,9 +145,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(f.item_id, f.text, strict=True):
                 t = lexicon.templates([text])
                 n = min(WINDOW, len(t.at))
-                if n >= SHORTEST:
-                    found, at = t.windows(n)
-                    rows += [(item, h, p, t.slots(p, n), n, len(at)) for h, p in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
+                if n:
+                    found, at, template = t.windows(n)
+                    typed = set(at[template].tolist())
+                    rows += [(item, h, p, t.slots(p, n) if by else [], n, len(at) - len(typed), p in typed, len(typed)) for h, p, by in zip(found.view(np.int64).tolist(), at.tolist(), template.tolist(), strict=True)]
             yield pd.DataFrame(rows, columns=names)
 
     return benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, ITEM_WINDOWS)
@@ -167,15 +176,15 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -
                 t = lexicon.templates(texts[first:last])
                 begins = np.searchsorted(t.of, np.arange(last - first))
                 for n in sizes:
-                    found, at = t.windows(n)
+                    found, at, template = t.windows(n)
                     if sieve is not None:
                         keep = np.flatnonzero(sieve[found & np.uint64((1 << 22) - 1)])
                         keep = keep[np.isin(found[keep], wanted)] if len(keep) else keep
-                        found, at = found[keep], at[keep]
+                        found, at, template = found[keep], at[keep], template[keep]
                     for lo in range(0, len(at), 50_000):
-                        h, p = found[lo : lo + 50_000], at[lo : lo + 50_000]
+                        h, p, by = found[lo : lo + 50_000], at[lo : lo + 50_000], template[lo : lo + 50_000]
                         d = t.of[p]
-                        data = ([ids[first + i] for i in d], [keys[first + i] for i in d], p - begins[d], h.view(np.int64), [t.slots(i, n) for i in p.tolist()])
+                        data = ([ids[first + i] for i in d], [keys[first + i] for i in d], p - begins[d], h.view(np.int64), [t.slots(i, n) if b else [] for i, b in zip(p.tolist(), by.tolist(), strict=True)])
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, HITS, strict=True)], schema=HITS)
                 first, size = last, 0
             give_back()
@@ -192,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     windows along one diagonal (the item at one place of the document), each value of the item stands for the value of the document
     that it meets most often there; only windows in which it meets another are left out, and none whose values equal the item's. kind is
     `exact` if all values that meet are equal, else `reparameterised`.
-    `coverage` is the share of the item's windows found in a document, `run` the most tokens of it in a row. Null and empty texts hold
+    `coverage` is the share of the item's windows found in a document, of all or of those with a template, whichever is more; `run` the most tokens of it in a row. Null and empty texts hold
     nothing; repeated documents and items count once each; empty tables give no rows.
     """
     items = item_windows(benchmark).dropDuplicates(["item_id", "window", "place"]).cache()
@@ -202,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     if n <= SENT:
         wanted = np.unique(np.array([r.window for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     windows = _doc_windows(docs, sizes, wanted)
-    met = materialize(windows, "windows").join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "slots", "doc_slots")
+    met = materialize(windows, "windows").join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "typed", "n_typed", "slots", "doc_slots")
     where = ["doc_id", "text_key", "item_id", "diagonal"]
     # The value of the document that each value of the item stands for most often, and with equal counts its own.
     pairs = met.select(*where, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("s")).select(*where, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
@@ -211,9 +220,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     slots = stands.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("stands"), F.min("same").alias("same"))
     fits = F.col("slots") == F.col("doc_slots")
     fits = fits | F.forall(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda s: F.element_at("stands", s["a"]) == s["b"])
-    met = null_safe_join(met, slots, where, "left").where(fits).select(*where, "place", "size", "n_windows", F.coalesce("same", F.lit(True)).alias("same"))
+    met = null_safe_join(met, slots, where, "left").where(fits).select(*where, "place", "size", "n_windows", "typed", "n_typed", F.coalesce("same", F.lit(True)).alias("same"))
     # Runs of windows at consecutive places along a diagonal.
-    by_diagonal = met.groupBy(*where).agg(F.sort_array(F.collect_set("place")).alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.min("same").alias("same"))
+    by_diagonal = met.groupBy(*where).agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set(F.when(F.col("typed"), F.col("place"))).alias("typed"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.min("same").alias("same"))
     longest = F.aggregate(
         "places", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
         lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1)).alias("now"), F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1))).alias("best")),
@@ -221,7 +230,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     )
     by_diagonal = by_diagonal.withColumn("run", longest + F.col("size") - 1)
     found = by_diagonal.groupBy("doc_id", "text_key", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.first("n_windows").alias("n_windows"), F.max("run").alias("run"), F.max("same").alias("same")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.first("n_windows").alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("typed")))).alias("typed"), F.first("n_typed").alias("n_typed"), F.max("run").alias("run"), F.max("same").alias("same")
     )
-    found = found.withColumn("coverage", F.col("found") / F.col("n_windows")).where((F.col("coverage") >= coverage) | (F.col("run") >= run))
+    found = found.withColumn("coverage", F.greatest(F.col("found") / F.col("n_windows"), F.when(F.col("n_typed") > 0, F.col("typed") / F.col("n_typed")))).where((F.col("coverage") >= coverage) | (F.col("run") >= run))
     return found.select("doc_id", "text_key", "item_id", F.round("coverage", 4).alias("coverage"), F.col("run").cast("int").alias("run"), F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"))
