@@ -89,13 +89,14 @@ def test_kneser_ney_by_brute_force(spark):
 
 
 def test_document_scores_are_sums_over_letters(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "PIECE", 300)
     monkeypatch.setattr(quality_lm, "BLOCK", 700)
     texts = [prose(n, n) for n in (1, 5, 60, 900)] + ["", "y" * 80, "\u00e9\U0001f600 z\x00"]
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
     grams = quality_lm.ngrams(docs.withColumn("trusted", F.col("key") < 3), 4)
     logp = {r.gram: -float(hash(r.gram) % 97) - 1 for r in grams.collect()}
     table = spark.createDataFrame(list(logp.items()), "gram string, logp double")
-    got = {r.key: (r.logp, r.letters) for r in quality_lm.document_scores(docs, table, 4, 3).collect()}
+    got = {r.key: (r.logp, r.letters) for r in quality_lm.document_scores(docs, table, 4, 3, 2).collect()}
     pad = lambda t: quality_lm.START * 3 + " ".join(t.split()).replace("\x00", "\ufffd")
     want = {i: (sum(logp[pad(t)[k : k + 4]] for k in range(len(pad(t)) - 3)), len(pad(t)) - 3) for i, t in enumerate(texts) if t}
     assert got == want

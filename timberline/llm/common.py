@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of verdicts up to this many rows are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 500_000
 
-_LOCAL: dict[str, str] = {}
+#: Rows and bytes of the Arrow batches in which texts go to Python: a worker and the JVM hold one batch each beside what they work on.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="timberline-")
-        base = f"file://{_LOCAL[app]}"
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for what is run inside, and are put back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
 
@@ -52,6 +62,43 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The tables that an operator writes on its way: all in one folder, which goes when the operator is done. Texts go to Python in small batches meanwhile.
+
+    with Rounds(spark, name) as rounds: `rounds.table(df, name)` writes and reads again, `rounds.result(df)` does so outside the folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.folder, self._settings = spark, name, new_path(spark, name), settings(spark, BATCHES)
+        self._shipped: list = []
+
+    def __enter__(self) -> Rounds:
+        self._settings.__enter__()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._settings.__exit__(*error)
+        for b in self._shipped:
+            b.unpersist()
+        drop_path(self.spark, self.folder)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return materialize(df, f"{self.name}-result")
+
+    def ship(self, value):
+        """A broadcast that is given up at the end."""
+        self._shipped.append(self.spark.sparkContext.broadcast(value))
+        return self._shipped[-1]
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table before the end."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            drop_path(self.spark, path)
+
+
 def text_of(name: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

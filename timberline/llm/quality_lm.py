@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -11,10 +11,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from timberline.llm.common import give_back, materialize, mix64, text_of
+from timberline.llm.common import BROADCAST_ROWS, Rounds, give_back, materialize, mix64, text_of
 
 #: Letters of an n-gram: enough to span a short word, or the end of one and the start of the next.
 ORDER = 5
@@ -24,21 +26,27 @@ FOLDS = 5
 #: Share of a language's trusted texts outside either bound, the trusted texts that a language needs for bounds of its own, and how many must lie
 #: outside a bound for the quantile itself to be used: with fewer it would hang on single texts.
 TAIL, LEAST, OUTSIDE = 0.01, 50, 5
-#: Shards that n-grams are dealt to, and documents whose blocks meet one copy of a shard.
-SHARDS, PER_PART = 16, 200_000
-#: Letters of a block of documents; n-grams that a task gathers before it reports them.
-BLOCK, GATHERED = 1_000_000, 200_000
+#: Rows of the n-gram table that a shard holds, and letters of documents whose blocks meet one copy of a shard.
+SHARD_ROWS, PART_LETTERS = 250_000, 500_000_000
+#: Letters that n-grams are made of at once, letters of a block of documents, n-grams that a task gathers before it reports them.
+PIECE, BLOCK, GATHERED = 500_000, 16_000_000, 200_000
 START = "\x02"
 
 
-def _blocks_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about BLOCK letters."""
-    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(ends):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
-        yield first, last
-        first = last
+def _pieces(batches: Iterator[pa.RecordBatch], other: str) -> Iterator[tuple[list[str], list]]:
+    """Runs of rows of about PIECE letters, whatever the batches: their texts, and their values of the column `other`."""
+    texts, values, size = [], [], 0
+    for batch in batches:
+        for text, value in zip(batch.column("text").to_pylist(), batch.column(other).to_pylist(), strict=True):
+            texts.append(text)
+            values.append(value)
+            size += len(text)
+            if size >= PIECE:
+                yield texts, values
+                texts, values, size = [], [], 0
+    if texts:
+        yield texts, values
+    give_back()
 
 
 def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -91,21 +99,18 @@ def ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
-            texts, trusted = batch.column("text"), batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            for first, last in _blocks_of(texts):
-                of, columns, h = _ngrams(texts[first:last].to_pylist(), order)
-                coded = pa.array(h).dictionary_encode()
-                codes, size = coded.indices.to_numpy(), len(coded.dictionary)
-                at = np.zeros(size, np.int64)
-                at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                n = np.bincount(codes[trusted[first:last][of]], minlength=size)
-                names = np.ascontiguousarray(np.stack([c[at] for c in columns], axis=1)).view(f"<U{order}").ravel() if size else []
-                for g, c in zip(np.asarray(names).tolist(), n.tolist(), strict=True):
-                    seen[g] = seen.get(g, 0) + c
-                if len(seen) >= GATHERED:
-                    yield flush()
-            give_back()
+        for texts, trusted in _pieces(batches, "trusted"):
+            of, columns, h = _ngrams(texts, order)
+            coded = pa.array(h).dictionary_encode()
+            codes, size = coded.indices.to_numpy(), len(coded.dictionary)
+            at = np.zeros(size, np.int64)
+            at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            n = np.bincount(codes[np.array(trusted, bool)[of]], minlength=size)
+            names = np.ascontiguousarray(np.stack([c[at] for c in columns], axis=1)).view(f"<U{order}").ravel() if size else []
+            for g, c in zip(np.asarray(names).tolist(), n.tolist(), strict=True):
+                seen[g] = seen.get(g, 0) + c
+            if len(seen) >= GATHERED:
+                yield flush()
         if seen:
             yield flush()
         give_back()
@@ -122,29 +127,29 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.01) for k in (1, 2, 3)]
 
 
-def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
+def probabilities(grams: DataFrame, order: int = ORDER, table: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """gram, logp for every row of `grams` (gram, n), under the interpolated modified Kneser-Ney model of those counted in n.
 
     The highest order has counts, each lower one continuation counts (distinct letters before). For each order the
     n-grams asked for meet the counts, their contexts' totals and the next lower order's probabilities in joins whose keys (n-grams)
-    spread the tables over shards; each order is written to the shared folder.
+    spread the tables over shards; `table` writes each order to the shared folder.
     """
-    tables = [materialize(grams.where("n > 0").select("gram", F.col("n").alias("c")), "grams")]
+    tables = [table(grams.where("n > 0").select("gram", F.col("n").alias("c")), "grams")]
     for k in range(order - 1, 0, -1):
-        tables.append(materialize(tables[-1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams"))
+        tables.append(table(tables[-1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams"))
     tables.reverse()  # by order, from 1
     asked = [grams.select("gram")]
     for k in range(order - 1, 0, -1):
-        asked.append(materialize(asked[-1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "asked"))
+        asked.append(table(asked[-1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "asked"))
     asked.reverse()
     letters = asked[0].count() + 1  # and one for all that no text has
     below = None
-    for k, (table, wanted) in enumerate(zip(tables, asked, strict=True), 1):
-        d = _discounts(table)
+    for k, (counts, wanted) in enumerate(zip(tables, asked, strict=True), 1):
+        d = _discounts(counts)
         discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         context = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        sums = table.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("left"))
-        rows = wanted.join(table, "gram", "left").withColumn("context", context)
+        sums = counts.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("left"))
+        rows = wanted.join(counts, "gram", "left").withColumn("context", context)
         rows = rows.join(sums, "context", "left")
         own = F.coalesce((F.col("c") - discount) / F.col("total"), F.lit(0.0))
         share = F.coalesce(F.col("left") / F.col("total"), F.lit(1.0))
@@ -152,70 +157,79 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
             rows = rows.select("gram", (own + share / letters).alias("p"))
         else:
             rows = rows.withColumn("shorter", F.substring("gram", 2, k - 1)).join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter").select("gram", (own + share * F.col("lower")).alias("p"))
-        below = materialize(rows, "probabilities")
+        below = table(rows, "probabilities")
     return below.select("gram", F.log("p").alias("logp"))
 
 
-BLOCKS = "shard INT, block BIGINT, part INT, hashes BINARY, docs BINARY, held BINARY, letters BINARY"
+def _pack(h: np.ndarray) -> bytes:
+    """Ascending hashes as steps, the bytes of each place together, compressed."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length of numbers below 2 ** 32, the bytes of each place together, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns))
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _unpack(data: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 4, -1)
-    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in raw]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bool, list[str], np.ndarray]]:
+    """The pieces of a task's documents: their block (no other task has the same), number in it, whether the block ends, texts and keys."""
+    block, n, size = TaskContext.get().partitionId() << 32, 0, 0
+    last = None
+    for texts, keys in _pieces(batches, "key"):
+        if last:
+            yield (*last[:2], size >= BLOCK, *last[2:])
+            if size >= BLOCK:
+                block, n, size = block + 1, 0, 0
+        last = (block, n, texts, np.array(keys, np.int64))
+        n, size = n + 1, size + sum(map(len, texts))
+    if last:
+        yield (*last[:2], True, *last[2:])
 
 
-def _blocks(docs: DataFrame, order: int, parts: int) -> DataFrame:
-    """For each block of documents and shard of the n-grams' hashes, one row: the block's distinct n-grams there, for each document how many of these
-    it has, and, packed, the steps between their places among them and the counts. A row of shard 0 with `letters` has the documents' keys and numbers of letters instead."""
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
+ASKED = "shard INT, part INT, block BIGINT, digest BIGINT, hashes BINARY"
+HELD = "block BIGINT, piece INT, keys BINARY, lengths BINARY, texts BINARY"
+
+
+def _asked(docs: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
+    """For each block of documents and shard, the block's distinct n-grams there; `digest` tells the block's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, digest = np.empty(0, np.uint64), 0
+        for block, _, ends, texts, keys in _numbered(batches):
+            held = np.union1d(held, pc.unique(pa.array(_ngrams(texts, order)[2])).to_numpy())
+            digest = xxh64_intdigest(keys.tobytes(), seed=digest)
+            if not ends:
+                continue
+            home = (held % np.uint64(shards)).astype(np.int32)
+            some = np.unique(home)
+            rows = [some, np.full(len(some), (block >> 32) + (block & 0xFFFFFFFF), np.int64) % parts, np.full(len(some), block), np.full(len(some), digest >> 1), [_pack(held[home == s]) for s in some.tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "part", "block", "digest", "hashes"])
+            held, digest = np.empty(0, np.uint64), 0
+        give_back()
+
+    return docs.select("key", "text").mapInArrow(run, ASKED)
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """The documents of the blocks, piece by piece, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            texts, all_keys = batch.column("text"), batch.column("key").to_numpy()
-            for first, last in _blocks_of(texts):
-                of, _, h = _ngrams(texts[first:last].to_pylist(), order)
-                keys = all_keys[first:last].tobytes()
-                block = xxh64_intdigest(keys) >> 1
-                coded = pa.array(h).dictionary_encode()
-                ids = coded.dictionary.to_numpy()
-                home = (ids % np.uint64(SHARDS)).astype(np.int64)
-                by_home = np.argsort(home, kind="stable")
-                rank = np.empty(len(ids), np.int64)
-                rank[by_home] = np.arange(len(ids))
-                ids, cuts = ids[by_home], np.searchsorted(home[by_home], np.arange(SHARDS + 1))
-                size = max(1, len(ids))
-                pairs, n = np.unique(of.astype(np.int64) * size + rank[coded.indices.to_numpy()], return_counts=True)
-                doc, code = pairs // size, pairs % size
-                shard = np.searchsorted(cuts, code, "right") - 1
-                sort = np.argsort(shard.astype(np.uint8), kind="stable")
-                doc, code, n, ends = doc[sort], code[sort], n[sort], np.searchsorted(shard[sort], np.arange(SHARDS + 1))
-                rows = [[0], [block], [block % parts], [b""], [keys], [b""], [np.bincount(of, minlength=last - first).astype(np.int64).tobytes()]]
-                for s in np.flatnonzero(np.diff(ends)):
-                    a, b = ends[s], ends[s + 1]
-                    local, d = code[a:b] - cuts[s], doc[a:b]
-                    local[1:] -= np.where(d[1:] == d[:-1], local[:-1], 0)
-                    data = (int(s), block, block % parts, ids[cuts[s] : cuts[s + 1]].tobytes(), np.bincount(d, minlength=last - first).astype("<u4").tobytes(), _pack(local, n[a:b]), b"")
-                    for col, v in zip(rows, data, strict=True):
-                        col.append(v)
-                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
-            give_back()
-
-    return docs.select("key", "text").mapInArrow(run, BLOCKS)
-
-
-def document_scores(docs: DataFrame, probabilities_: DataFrame, order: int, parts: int) -> DataFrame:
-    """key, logp, letters of each document, from its n-grams' probabilities. `docs` has key and text; equal keys are rows of their own.
-
-    N-grams and blocks of documents go to shards by the n-gram's hash, and blocks to parts, each of which has a copy of the shard's table: a group is
-    bounded by PER_PART documents. There each block's distinct n-grams are looked up, and what a document has in the shard is summed; a block's sums then meet.
+        for block, piece, _, texts, keys in _numbered(batches):
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            data = (block, piece, keys.tobytes(), np.array([len(r) for r in raw], "<u4").tobytes(), zstandard.ZstdCompressor(level=6).compress(b"".join(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(data, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "piece", "keys", "lengths", "texts"])
+        give_back()
+
+    return docs.select("key", "text").mapInArrow(run, HELD)
+
+
+def document_scores(docs: DataFrame, probabilities_: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
+    """key, logp, letters of each document, from its n-grams' probabilities. `docs` has key and text; equal keys are rows of their own; texts without a letter have no row.
+
+    A block of documents asks for each of its distinct n-grams once. Asked and table meet by shard (of the n-gram's hash) and part (of the blocks, each with a copy of the
+    shard): a group holds about SHARD_ROWS rows of the table and the blocks of PART_LETTERS letters. The answers then meet the block's texts, compressed,
+    where they are summed up piece by piece. `docs` is read twice, in the same order: as files are, or tables that are spread in a fixed way.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,44 +237,44 @@ def document_scores(docs: DataFrame, probabilities_: DataFrame, order: int, part
             names = np.array(b.column("gram").to_pylist(), f"<U{order}")
             letters = names.view("<u4").reshape(-1, order)
             h = _hash([np.ascontiguousarray(letters[:, k]) for k in range(order)]) if len(names) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(SHARDS)).astype(np.int32)), pa.array(h.view(np.int64)), b.column("logp")], ["shard", "hash", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(shards)).astype(np.int32)), pa.array(h.view(np.int64)), b.column("logp")], ["shard", "hash", "logp"])
 
     table = probabilities_.mapInArrow(digest, "shard INT, hash BIGINT, logp DOUBLE").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    blocks = _blocks(docs, order, parts)
 
-    def meet(blocks: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    def meet(asked: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         h = grams["hash"].to_numpy().view(np.uint64)
         sort = np.argsort(h)
-        h, logp = h[sort], grams.logp.to_numpy()[sort]
-        out = []
-        for b in blocks.itertuples():
-            if b.letters:
-                out.append((b.block, b"", b.docs, b.letters))
-                continue
-            own = logp[np.searchsorted(h, np.frombuffer(b.hashes, np.uint64))]
-            steps, n = _unpack(b.held, 2)
-            per = np.frombuffer(b.docs, "<u4").astype(np.int64)
-            of, ends = np.repeat(np.arange(len(per)), per), np.concatenate([[0], np.cumsum(steps)])
-            at = ends[1:] - ends[(np.cumsum(per) - per)[of]]
-            sums = np.bincount(of, own[at] * n, minlength=len(per))
-            out.append((b.block, sums.tobytes(), b"", b""))
-        return pd.DataFrame(out, columns=["block", "sums", "docs", "letters"])
-
-    sums = blocks.groupBy("shard", "part").cogroup(table.groupBy("shard", "part")).applyInPandas(meet, "block BIGINT, sums BINARY, docs BINARY, letters BINARY")
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = rows[rows.letters.str.len() > 0]
-        keys, letters = np.frombuffer(heads.docs.iloc[0], np.int64), np.frombuffer(heads.letters.iloc[0], np.int64)
-        total = np.zeros(len(keys))
-        for x in rows.sums[rows.letters.str.len() == 0]:
-            total += np.frombuffer(x, np.float64)
-        found = pd.DataFrame({"key": keys, "logp": total / len(heads), "letters": letters})
-        return pd.concat([found] * len(heads))  # blocks of the same documents were summed as often as they occur
-
-    return sums.groupBy("block").applyInPandas(add, "key BIGINT, logp DOUBLE, letters BIGINT").where("letters > 0")
-
-
-def bounds(scored: DataFrame) -> DataFrame:
+        h, logp = h[sort], grams.logp.to_numpy()[sort].astype("<f4")
+        return pd.DataFrame({"block": asked.block, "digest": asked.digest, "hashes": asked.hashes, "logp": [logp[np.searchsorted(h, _unpack(x))].tobytes() for x in asked.hashes]})
+
+    asked = _asked(docs, order, shards, parts).groupBy("shard", "part")
+    answers = asked.cogroup(table.groupBy("shard", "part")).applyInPandas(meet, "block BIGINT, digest BIGINT, hashes BINARY, logp BINARY")
+
+    def add(pieces: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pieces, digest, out = pieces.sort_values("piece"), 0, []
+        for keys in pieces["keys"]:
+            digest = xxh64_intdigest(keys, seed=digest)
+        if (answers.digest != digest >> 1).any():
+            raise ValueError("the documents came in another order when they were read again")
+        h = np.concatenate([_unpack(x) for x in answers.hashes] or [np.empty(0, np.uint64)])
+        sort = np.argsort(h)
+        h, logp = h[sort], np.concatenate([np.frombuffer(x, "<f4") for x in answers.logp] or [np.empty(0)])[sort].astype(float)
+        for p in pieces.itertuples():
+            raw, ends = zstandard.ZstdDecompressor().decompress(p.texts), np.cumsum(np.frombuffer(p.lengths, "<u4").astype(np.int64)).tolist()
+            of, _, own = _ngrams([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)], order)
+            coded = pa.array(own).dictionary_encode()
+            at = np.searchsorted(h, coded.dictionary.to_numpy())
+            letters = np.bincount(of, minlength=len(ends))
+            sums = np.bincount(of, logp[at][coded.indices.to_numpy()], minlength=len(ends)) if len(of) else np.zeros(len(ends))
+            some = letters > 0
+            out.append(pd.DataFrame({"key": np.frombuffer(p.keys, np.int64)[some], "logp": sums[some], "letters": letters[some]}))
+        give_back()
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "logp": [], "letters": []})
+
+    return _held(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add, "key BIGINT, logp DOUBLE, letters BIGINT")
+
+
+def bounds(scored: DataFrame, table: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """lang, mean, lo, hi from the marked texts of each language with LEAST of them, and for lang null from all.
 
     A text of log probability L over its letters deviates by (L - mean x letters) / sqrt(letters), which for text like the trusted has the same spread at
@@ -270,7 +284,7 @@ def bounds(scored: DataFrame) -> DataFrame:
     trusted = scored.where("trusted AND letters > 0")
     trusted = trusted.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "logp", "letters")
     means = trusted.groupBy("lang").agg((F.sum("logp") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
-    means = F.broadcast(materialize(means.where((F.col("n") >= LEAST) | F.col("lang").isNull()), "means"))  # a row for each language
+    means = F.broadcast(table(means.where((F.col("n") >= LEAST) | F.col("lang").isNull()), "means"))  # a row for each language
     rows = trusted.join(means, trusted.lang.eqNullSafe(means.lang)).select(means.lang, "mean", "n", ((F.col("logp") - F.col("mean") * F.col("letters")) / F.sqrt("letters")).alias("d"))
     q = F.percentile_approx("d", [TAIL, 1 - TAIL, 0.25, 0.5, 0.75], 10_000)
     normal, q_ = NormalDist(), F.col("q")
@@ -281,32 +295,40 @@ def bounds(scored: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, lang): doc_id, key, perplexity (a letter), lo, hi (the bounds on it), kept.
+    """One row per row of `docs` (doc_id, text, lang): doc_id, key (a hash of doc_id and text), perplexity (a letter), lo, hi (the bounds on it), kept.
 
     `trusted` holds the doc_id of texts to learn from. Units are letters, case kept, with white space as one space; n-grams meet the model's counts in
     joins, and documents their n-grams' probabilities in shards. Null and empty texts have no perplexity and are not kept. Languages without enough trusted text, and null, have the bounds of
-    all. The lower bound does not reject texts that were learned from. Without trusted text all other documents are kept. Repeated rows get the same result each; an empty table gives no rows.
+    all. The lower bound does not reject texts that were learned from. Without trusted text all other documents are kept. Repeated rows get the same result each; an empty table gives no rows;
+    further columns are not looked at. A text is worked on whole, so a task's memory grows with the longest one.
     """
-    known = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    held = F.pmod(F.xxhash64(F.lit(FOLDS), text_of()), F.lit(FOLDS)) == 0
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), F.col("lang").cast("string").alias("lang"), text_of().cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    flags = rows.select("doc_id", "key", "lang", "held").join(known, "doc_id", "left").select("doc_id", "key", "lang", (F.coalesce("trusted", F.lit(False)) & F.col("held")).alias("trusted"), (F.coalesce("trusted", F.lit(False)) & ~F.col("held")).alias("learned"))
-    n = known.count()
-    marked = rows.select("doc_id", "text", "held").join(F.broadcast(known) if n <= 2_000_000 else known, "doc_id", "left").select("text", (F.coalesce("trusted", F.lit(False)) & ~F.col("held")).alias("trusted"))
-    grams = materialize(ngrams(marked, order), "ngrams")
-    parts = max(1, math.ceil(docs.count() / PER_PART))
-    scores = document_scores(rows.select("key", "text"), probabilities(grams, order), order, parts)
-    scores = materialize(scores.dropDuplicates(["key"]), "document-scores")
-    scored = materialize(flags.join(scores, "key", "left"), "scored")
-    limits = F.broadcast(materialize(bounds(scored), "bounds"))  # a row for each language
-    own = limits.where("lang IS NOT NULL")
-    every = limits.where("lang IS NULL").select(*[F.col(c).alias(f"all_{c}") for c in ("mean", "lo", "hi")])
-    found = scored.join(own, "lang", "left").join(every, F.lit(True), "left")
-    for c in ("mean", "lo", "hi"):
-        found = found.withColumn(c, F.coalesce(c, f"all_{c}"))
-    at = lambda c: F.exp(-(F.col("mean") + F.col(c) / F.sqrt("letters")))
-    found = found.withColumn("perplexity", F.exp(-F.col("logp") / F.col("letters"))).withColumn("most", at("lo")).withColumn("least", at("hi"))
-    # The model fits what it has learned from too well, so the lower bound says nothing of that.
-    inside = (F.col("learned") | (F.col("perplexity") >= F.col("least"))) & (F.col("perplexity") <= F.col("most"))
-    kept = F.col("letters").isNotNull() & F.coalesce(inside, F.lit(True))
-    return found.select("doc_id", "key", "perplexity", F.col("least").alias("lo"), F.col("most").alias("hi"), kept.alias("kept"))
+    with Rounds(docs.sparkSession, "quality") as rounds:
+        table = rounds.table
+        known = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+        held = F.pmod(F.xxhash64(F.lit(FOLDS), text_of()), F.lit(FOLDS)) == 0
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), F.col("lang").cast("string").alias("lang"), text_of().cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+        flags = rows.select("doc_id", "key", "lang", "held", F.length("text").alias("size")).join(known, "doc_id", "left")
+        mark = F.coalesce("trusted", F.lit(False))
+        flags = table(flags.select("doc_id", "key", "lang", "size", (mark & F.col("held")).alias("trusted"), (mark & ~F.col("held")).alias("learned")), "flags")
+        # Texts that are learned from are told by their key, so that the texts themselves need not move.
+        keys = flags.where("learned").select("key").distinct()
+        n, size = flags.agg(F.count(F.when(F.col("learned"), 1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        keys = keys.withColumn("trusted", F.lit(True))
+        marked = rows.select("text", "key").join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "key", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+        grams = table(ngrams(marked, order), "ngrams")
+        logs = table(probabilities(grams, order, table), "model")
+        shards, parts = max(1, math.ceil(logs.count() / SHARD_ROWS)), max(1, math.ceil(size / PART_LETTERS))
+        scores = table(document_scores(rows.select("key", "text"), logs, order, shards, parts).dropDuplicates(["key"]), "scores")
+        scored = table(flags.join(scores, "key", "left"), "scored")
+        limits = F.broadcast(table(bounds(scored, table), "bounds"))  # a row for each language
+        own = limits.where("lang IS NOT NULL")
+        every = limits.where("lang IS NULL").select(*[F.col(c).alias(f"all_{c}") for c in ("mean", "lo", "hi")])
+        found = scored.join(own, "lang", "left").join(every, F.lit(True), "left")
+        for c in ("mean", "lo", "hi"):
+            found = found.withColumn(c, F.coalesce(c, f"all_{c}"))
+        at = lambda c: F.exp(-(F.col("mean") + F.col(c) / F.sqrt("letters")))
+        found = found.withColumn("perplexity", F.exp(-F.col("logp") / F.col("letters"))).withColumn("most", at("lo")).withColumn("least", at("hi"))
+        # The model fits what it has learned from too well, so the lower bound says nothing of that.
+        inside = (F.col("learned") | (F.col("perplexity") >= F.col("least"))) & (F.col("perplexity") <= F.col("most"))
+        kept = F.col("letters").isNotNull() & F.coalesce(inside, F.lit(True))
+        return rounds.result(found.select("doc_id", "key", "perplexity", F.col("least").alias("lo"), F.col("most").alias("hi"), kept.alias("kept")))
