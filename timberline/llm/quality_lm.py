@@ -28,8 +28,9 @@ FOLDS = 5
 TAIL, LEAST, OUTSIDE = 0.01, 50, 5
 #: Rows of the n-gram table that a shard holds, and letters of documents whose blocks meet one copy of a shard.
 SHARD_ROWS, PART_LETTERS = 250_000, 500_000_000
-#: Letters that n-grams are made of at once, letters of a block of documents, n-grams that a task gathers before it reports them.
-PIECE, BLOCK, GATHERED = 500_000, 16_000_000, 200_000
+#: Letters that n-grams are made of at once, letters of a block of documents, n-grams that a task takes together before it merges equal ones, and
+#: distinct ones that it gathers before it reports them.
+PIECE, BLOCK, MERGED, GATHERED = 500_000, 16_000_000, 1_000_000, 300_000
 START = "\x02"
 
 
@@ -88,31 +89,46 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return mix64(h)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each hash among the distinct ones, a place of each distinct one, and the distinct ones."""
+    coded = pa.array(h).dictionary_encode()
+    code, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    place = np.empty(len(own), np.int64)
+    place[code] = np.arange(len(code))
+    return code, place, own
+
+
 def ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, n: all n-grams of all texts, with how often trusted texts have them. `docs` has text and trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []  # hashes, numbers and names, of a piece or of several
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-            seen.clear()
-            return out
+        def merged() -> tuple[np.ndarray, ...]:
+            h, n, names = (np.concatenate(c) for c in zip(*parts, strict=True))
+            code, place, own = _distinct(h)
+            return own, np.bincount(code, n, len(own)).astype(np.int64), names[place]
+
+        def flush(n: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(n)], ["gram", "n"])
 
         for texts, trusted in _pieces(batches, "trusted"):
             of, columns, h = _ngrams(texts, order)
-            coded = pa.array(h).dictionary_encode()
-            codes, size = coded.indices.to_numpy(), len(coded.dictionary)
-            at = np.zeros(size, np.int64)
-            at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            n = np.bincount(codes[np.array(trusted, bool)[of]], minlength=size)
-            names = np.ascontiguousarray(np.stack([c[at] for c in columns], axis=1)).view(f"<U{order}").ravel() if size else []
-            for g, c in zip(np.asarray(names).tolist(), n.tolist(), strict=True):
-                seen[g] = seen.get(g, 0) + c
-            if len(seen) >= GATHERED:
-                yield flush()
-        if seen:
-            yield flush()
+            if not len(h):
+                continue
+            code, place, own = _distinct(h)
+            names = np.ascontiguousarray(np.stack([c[place] for c in columns], axis=1)).view(f"<U{order}").ravel()
+            parts.append((own, np.bincount(code[np.array(trusted, bool)[of]], minlength=len(own)), names))
+            size += len(own)
+            if size >= MERGED:
+                parts = [merged()]
+                size = len(parts[0][0])
+                if size >= GATHERED:
+                    yield flush(*parts[0][1:])
+                    parts, size = [], 0
+        if parts:
+            yield flush(*merged()[1:])
         give_back()
 
     return docs.select("text", "trusted").mapInArrow(run, "gram STRING, n BIGINT").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -195,17 +211,20 @@ def _asked(docs: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
     """For each block of documents and shard, the block's distinct n-grams there; `digest` tells the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, digest = np.empty(0, np.uint64), 0
+        parts_, digest = [], 0
         for block, _, ends, texts, keys in _numbered(batches):
-            held = np.union1d(held, pc.unique(pa.array(_ngrams(texts, order)[2])).to_numpy())
+            parts_.append(pc.unique(pa.array(_ngrams(texts, order)[2])))
             digest = xxh64_intdigest(keys.tobytes(), seed=digest)
+            if ends or sum(map(len, parts_)) >= MERGED:
+                parts_ = [pc.unique(pa.concat_arrays(parts_))]
             if not ends:
                 continue
+            held = np.sort(parts_[0].to_numpy())
             home = (held % np.uint64(shards)).astype(np.int32)
             some = np.unique(home)
             rows = [some, np.full(len(some), (block >> 32) + (block & 0xFFFFFFFF), np.int64) % parts, np.full(len(some), block), np.full(len(some), digest >> 1), [_pack(held[home == s]) for s in some.tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "part", "block", "digest", "hashes"])
-            held, digest = np.empty(0, np.uint64), 0
+            parts_, digest = [], 0
         give_back()
 
     return docs.select("key", "text").mapInArrow(run, ASKED)
