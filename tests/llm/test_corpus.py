@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality_lm, token_counts, toxicity, url_filter
-from timberline.llm.common import grouped_prefix, new_path
+from timberline.llm.common import Rounds, grouped_prefix, new_path
 
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, digest INT, key STRING, size INT, n INT"
 RNG = np.random.default_rng(4)
@@ -273,7 +273,7 @@ def test_languages_held_out_and_odd(spark, odd, none):
     assert language_id.predict(odd, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
-def jaccard_classes(texts, common=None):
+def jaccard_classes(texts, weighted=False):
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -285,10 +285,13 @@ def jaccard_classes(texts, common=None):
             i = parent[i]
         return i
 
+    df = Counter(s for a in sets for s in a)
+    idf = {s: 1 + math.log(1 / max(n / len(texts), 0.001)) / math.log(1000) if weighted else 1 for s, n in df.items()}
+    weight = lambda a: sum(n * idf[s] for s, n in a.items())
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            both, either = sum((a & b).values()), sum((a | b).values())
+            both, either = weight(a & b), weight(a | b)
             if (not a and not b) or (either and both / either >= 0.8):
                 parent[root(i)] = root(j)
     return [root(i) for i in range(len(texts))]
@@ -320,6 +323,25 @@ def test_near_classes_by_brute_force(spark, odd, none):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark):
+    # One text of which a third of all are copies with few changes, chains of copies of copies, and copies that are just too far from it.
+    rng, base, texts = np.random.default_rng(12), prose(120, 9100).split(), []
+    for k in range(150):
+        copy = list(base)
+        for at in rng.choice(120, k % 7, replace=False):
+            copy[at] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    texts += [prose(100, 9200 + k) for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()}
+    assert {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.classes(docs, held=8).collect()} == whole
+    want = jaccard_classes(texts, weighted=True)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    lost = [(i, j) for i, j in pairs if want[i] == want[j] and whole[i][0] != whole[j][0]]
+    assert len(lost) <= 0.1 * sum(want[i] == want[j] for i, j in pairs) and len({c for c, _ in whole.values()}) > 100
+    assert not [(i, j) for i, j in pairs if want[i] != want[j] and whole[i][0] == whole[j][0]]
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(2)
     k, pool = 3000, rng.integers(1, 2**62, 400, dtype=np.int64).view(np.uint64)
@@ -335,7 +357,8 @@ def test_samples_agree_as_often_as_sets_are_similar():
 def test_common_shingles_are_counted_exactly(spark):
     texts = [prose(12, i % 40) for i in range(300)] + ["a b c d e f"] * 50
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    ids, counts = near_dedup.common_shingles(df, len(texts), share=0.05)
+    with Rounds(spark, "test") as rounds:
+        ids, counts = near_dedup.common_shingles(df, len(texts), rounds, share=0.05)
     want = Counter(h for _, s in near_dedup.shingles_of(pa.array(texts)) for h in set(s.tolist()))
     assert len(set(want)) == len({w for t in texts for w in (tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)))})
     assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == {h: n for h, n in want.items() if n >= 0.05 * len(texts)}

@@ -10,10 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from timberline.llm.common import BROADCAST_ROWS, drop_path, give_back, materialize, mix64, new_path, text_of, window_hashes
+from timberline.llm.common import BROADCAST_ROWS, Rounds, give_back, mix64, text_of, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -26,8 +25,10 @@ PER_TASK = 8192
 HELD, CHUNK = 3_000_000, 1 << 16
 #: Letters of texts that are cut into words together.
 TOGETHER = 2_000_000
-#: Pairs across classes that the last round tests at once, for each text that shares a bucket; above it more pivots come first.
-REST, PIVOTS = 4, 12
+#: Samples of which a pair must agree in so many to be tested: of one of similarity 0.8 fewer agree with a chance of 1 in 100,000.
+AGREEING = 10
+#: Members of a bucket that a task holds and tests among each other; in larger buckets members are first tested against a pivot, TURNS times at most.
+HELD_TOGETHER, TURNS = 512, 6
 
 _U = (np.arange(65536) + 0.5) / 65536
 
@@ -106,14 +107,12 @@ def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray,
         first = last
 
 
-def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and document counts of all shingles in at least `share` of the n texts: exact, and at most (mean length / share) of them.
 
     Each task counts its own texts and reports the shingles at half the share or more of these; what reports leave open is less than that
     half, so summed reports bound each shingle's count from above, and only shingles whose bound reaches the share (a bounded number) are counted in a second pass.
     """
-    spark = texts.sparkSession
-
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, docs = [], 0, 0
 
@@ -137,11 +136,11 @@ def common_shingles(texts: DataFrame, n: int, share: float = COMMON) -> tuple[np
         give_back()
 
     tasks = max(1, n // PER_TASK)
-    reports = materialize(texts.coalesce(tasks).mapInArrow(report, "shingle BIGINT, over BIGINT, task BOOLEAN"), "reports")
+    reports = rounds.table(texts.coalesce(tasks).mapInArrow(report, "shingle BIGINT, over BIGINT, task BOOLEAN"), "reports")
     open_ = reports.where("task").agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
     sums = reports.where("NOT task").groupBy("shingle").agg(F.sum("over").alias("over")).where(F.col("over") + F.lit(open_) >= share * n)
     maybe = np.sort(np.array([r.shingle for r in sums.select("shingle").toLocalIterator()], np.int64).view(np.uint64))
-    shipped = spark.sparkContext.broadcast(maybe)
+    shipped = rounds.ship(maybe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = shipped.value
@@ -175,9 +174,9 @@ def log_weights(shingles: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray,
 SKETCHES = "doc_id BIGINT, text_key BIGINT, key STRING, bands ARRAY<BIGINT>, sample BINARY, shingles BINARY, weights BINARY"
 
 
-def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, rounds: Rounds, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per text: key (a digest of its words), band hashes, samples, and its weighted set (32-bit shingle hashes, and weights where not all are the greatest)."""
-    shipped = texts.sparkSession.sparkContext.broadcast(common)
+    shipped = rounds.ship(common)
     names = [f.split()[0] for f in SKETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,63 +229,107 @@ def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, band
     return texts.mapInArrow(run, SKETCHES)
 
 
+class Set:
+    """A text's samples and weighted set, as `sketch` packs them."""
+
+    __slots__ = ("sample", "shingles", "total", "weights")
+
+    def __init__(self, sample: bytes, shingles: bytes, weights: bytes):
+        self.sample, self.shingles = np.frombuffer(sample, np.uint32), np.frombuffer(shingles, np.uint32)
+        self.weights = np.frombuffer(weights, np.float32) if weights else np.full(len(self.shingles), 2, np.float32)
+        self.total = float(self.weights.sum())
+
+    def similar(self, other: Set, least: float) -> bool:
+        """Whether the weighted Jaccard similarity is `least` or more."""
+        i = np.searchsorted(other.shingles, self.shingles)
+        i[i == len(other.shingles)] = 0
+        hit = other.shingles[i] == self.shingles
+        low = float(np.minimum(self.weights[hit], other.weights[i[hit]]).sum())
+        return low >= (least - 1e-6) * (self.total + other.total - low)
+
+
+PACKED = ("sample", "shingles", "weights")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (src, dst) whose weighted Jaccard similarity is `least` or more."""
-    left = sets.select(F.col("key").alias("src"), F.col("shingles").alias("s1"), F.col("weights").alias("w1"))
-    right = sets.select(F.col("key").alias("dst"), F.col("shingles").alias("s2"), F.col("weights").alias("w2"))
+    left, right = (sets.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}{k}") for c in PACKED]) for k, end in enumerate(("src", "dst")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s1, w1, s2, w2 in zip(*(batch.column(c) for c in ("s1", "w1", "s2", "w2")), strict=True):
-                a, b = np.frombuffer(s1.as_py(), np.uint32), np.frombuffer(s2.as_py(), np.uint32)
-                wa, wb = w1.as_py(), w2.as_py()
-                wa = np.frombuffer(wa, np.float32) if wa else np.full(len(a), 2, np.float32)
-                wb = np.frombuffer(wb, np.float32) if wb else np.full(len(b), 2, np.float32)
-                i = np.searchsorted(b, a)
-                i[i == len(b)] = 0
-                hit = b[i] == a
-                low = float(np.minimum(wa[hit], wb[i[hit]]).sum())
-                keep.append(low >= (least - 1e-6) * (float(wa.sum()) + float(wb.sum()) - low))
+            ends = ([batch.column(f"{c}{k}").to_pylist() for c in PACKED] for k in (0, 1))
+            a, b = ([Set(*x) for x in zip(*end, strict=True)] for end in ends)
+            keep = [int((x.sample == y.sample).sum()) >= AGREEING and x.similar(y, least) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "s1", "w1", "s2", "w2").mapInArrow(run, "src STRING, dst STRING")
+    return pairs.join(left, "src").join(right, "dst").mapInArrow(run, "src STRING, dst STRING")
+
+
+def _links_of(keys: list[str], classes_: list[str], held: list[Set], first: list[bool], least: float) -> list[tuple[str, str]]:
+    """Links between members of one group, enough to join all that similar pairs of a first and a second member join; those of one class are joined already."""
+    n = len(keys)
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    samples = np.stack([h.sample for h in held])
+    agree = np.zeros((n, n), np.uint8)
+    for j in range(samples.shape[1]):
+        agree += samples[:, None, j] == samples[None, :, j]
+    side = np.array(first)
+    if side.all():
+        agree = np.triu(agree, 1)
+    else:
+        agree[~side] = 0
+        agree[:, side] = 0
+    a, b = np.nonzero(agree >= AGREEING)
+    found = []
+    for k in np.argsort(-agree[a, b].astype(int), kind="stable").tolist():  # the likeliest first: what they join need not be tested
+        i, j = int(a[k]), int(b[k])
+        x, y = root(classes_[i]), root(classes_[j])
+        if x != y and held[i].similar(held[j], least):
+            parent[x] = y
+            found.append((keys[i], keys[j]))
+    return found
+
+
+def _tested_together(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """src, dst: the links within groups (`group`, key, component, first): a group's rows are sorted together, and held in turn."""
+    names = ["group", "key", "component", "first", *PACKED]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, found = None, [], []
 
-def _narrow(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """band, key, before: the members of buckets (band, key) dealt to smaller groups that still hold every pair of similarity `least` together.
+        def test() -> None:
+            if len(rows) > 1:
+                keys, components, first, *packed = zip(*rows, strict=True)
+                found.extend(_links_of(list(keys), list(components), [Set(*x) for x in zip(*packed, strict=True)], list(first), least))
 
-    With shingles in one order for all, rarest first, two sets that are so similar share one among those of either that come before all but
-    `least` of its weight: what a set has and the other has not weighs less than the rest. A group is a bucket and such a shingle. Texts
-    with much of their own share none, so they are not tested against the many that are like each other. `before` is the weight that precedes the group's shingle.
-    """
-    keys = materialize(placed.select("key").distinct(), "narrowed")
+        def flush() -> pa.RecordBatch:
+            ends = list(zip(*found, strict=True)) or [(), ()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.string()) for e in ends], ["src", "dst"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, s, w in zip(batch.column("key"), batch.column("shingles"), batch.column("weights"), strict=True):
-                ids, w = np.frombuffer(s.as_py(), np.uint32).astype(np.int64), w.as_py()
-                w = np.frombuffer(w, np.float32).astype(float) if w else np.full(len(ids), 2.0)
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(ids)), pa.array(ids), pa.array(w), pa.array(np.full(len(ids), w.sum()))], ["key", "shingle", "w", "total"])
-
-    rows = sets.join(_few(keys, keys.count()), "key", "left_semi").mapInArrow(run, "key STRING, shingle BIGINT, w DOUBLE, total DOUBLE")
-    rows = materialize(rows, "set-rows")
-    n = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "set-counts")
-    order = Window.partitionBy("key").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(n, "shingle").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
-    first = rows.where((F.col("n") > 1) & (F.col("before") <= (1 - least + 1e-6) * F.col("total"))).select("key", "shingle", "before", "total")
-    dealt = placed.join(materialize(first, "prefixes"), "key").select(F.xxhash64("band", "shingle").alias("band"), "key", "before", "total")
-    dealt = materialize(dealt, "dealt")
-    # Whoever it meets here weighs at least as much as the lightest of the group, and at least `least` of its own weight.
-    some = materialize(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("lightest")).where("n > 1").select("band", "lightest"), "groups")
-    met = dealt.join(some, "band").where(_reach("before", "total", F.greatest("lightest", least * F.col("total")), least)).drop("lightest")
-    return materialize(met, "groups")
-
-
-def _reach(before: str, total: str, other, least: float):
-    """Whether a set that shares no more than what follows `before` with one of weight `other` can be similar enough."""
-    return F.col(total) - F.col(before) >= least / (1 + least) * (F.col(total) + other) - 1e-6
+            for group, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group != now:
+                    test()
+                    now, rows = group, []
+                rows.append(row)
+            if found:
+                yield flush()
+        test()
+        if found:
+            yield flush()
+        del rows
+        give_back()
+
+    rows = groups.join(sets, "key").select(*names)
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "src STRING, dst STRING").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame, cut) -> DataFrame:
@@ -302,72 +345,80 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, key, component of the buckets whose members are not all of one component."""
+    placed = buckets.select("band", "key").join(labels.select(F.col("id").alias("key"), "component"), "key")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return placed.join(mixed.select("band"), "band")
+
+
+def _large(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float, cut, turns: int = TURNS, held: int = HELD_TOGETHER) -> DataFrame:
+    """The labels once buckets of more than `held` members are joined as well.
+
+    In each turn every member of another component than its bucket's pivot is tested against that, which is one test a member and joins what is alike. What
+    is left are members outside their bucket's largest component. They are dealt to blocks of about `held`, and so are all members of the bucket: a block of
+    these meets a block of those. So the work left is members x blocks of outsiders, without a limit that leaves a pair out.
+    """
+    tested = None
+    for turn in range(turns):
+        placed = cut(_mixed(buckets, labels), "placed")
+        if placed.isEmpty():
+            return labels
+        drawn = F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("other"), F.col("component").alias("theirs"))
+        pivot = cut(placed.groupBy("band").agg(F.min(drawn).alias("p")).select("band", "p.other", "p.theirs"), "pivots")
+        fresh = placed.join(pivot, "band").where("component <> theirs").select(F.greatest("key", "other").alias("src"), F.least("key", "other").alias("dst")).distinct()
+        fresh = cut(fresh if tested is None else fresh.join(tested, ["src", "dst"], "left_anti"), "fresh")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        found = cut(_similar(fresh, sets, least), "links")
+        if found.isEmpty() and turn > 1:
+            break
+        labels = _merged(labels, found, cut)
+    placed = cut(_mixed(buckets, labels), "placed")
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    sizes = sizes.select("band", "largest", F.ceil(F.col("n") / held).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("most")) / held).cast("int").alias("columns"))
+    dealt = placed.join(cut(sizes, "sizes"), "band").withColumns({"i": F.pmod(F.xxhash64(F.lit(1), "key"), "rows"), "j": F.pmod(F.xxhash64(F.lit(2), "key"), "columns")})
+    every = dealt.select("band", "key", "component", "i", F.explode(F.expr("sequence(0L, columns - 1L)")).alias("j"), F.lit(True).alias("first"))
+    others = dealt.where("component <> largest").select("band", "key", "component", F.explode(F.expr("sequence(0L, rows - 1L)")).alias("i"), "j", F.lit(False).alias("first"))
+    blocks = every.unionByName(others.select(*every.columns)).select(F.xxhash64("band", "i", "j").alias("group"), "key", "component", "first")
+    return _merged(labels, cut(_tested_together(blocks, sets, least), "links"), cut)
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, held: int = HELD_TOGETHER) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, text_key (a hash of its text), class_id (the smallest doc_id of its class), class_size, kept (one row of each class;
     rows that are the same in doc_id and text share the verdict).
 
     Texts of the same words (lower case, between white space) are one vertex. Vertices that share a band's samples are candidates; pairs of
-    weighted Jaccard similarity `similarity` or more are linked, and classes are the connected components. In each bucket all members are tested against one
-    pivot, which merges what is alike; where buckets then hold many pairs across classes, `_narrow` deals them to groups that keep each pair that can be similar, groups get further
-    pivots, and at last every pair of members in different classes is tested: no candidate pair that could join two classes is left out. Pairs inside a class are never listed.
+    weighted Jaccard similarity `similarity` or more are linked, and classes are the connected components. Members of a bucket of up to `held` are tested among each other in
+    one task, buckets of the same members once; larger ones as `_large` says. No candidate pair that could join two classes is left out, but those that agree in fewer
+    than AGREEING of all samples. Pairs inside a class are never listed.
     Since weights lie between 1 and 2 times tf, texts that share 8/9 of their shingles pass whatever the weights. Bands find a pair of similarity 0.8 with a chance of
     0.997, one of 0.9 with 0.99999. Null is empty; all texts without a word are one class; texts of fewer than five words are
-    one shingle. An empty table gives no rows.
+    one shingle. An empty table gives no rows; further columns are not looked at.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("string").alias("text"), F.xxhash64(text_of()).alias("text_key"))
-    n = texts.count()
-    common = common_shingles(texts, n)
-    at = new_path(spark, "sketches")
-    full = materialize(sketch(texts, common, n, bands, rows), "sketches", at)
-
-    buckets = full.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band")).dropDuplicates()
-    hubs = buckets.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = materialize(hubs, "hubs")
-    buckets = materialize(buckets.join(hubs.select("band"), "band"), "buckets")
-    keys = materialize(buckets.select(F.col("key").alias("id")).distinct(), "keys")
-    count = keys.count()
-    sets = materialize(full.select("key", "shingles", "weights").join(_few(keys.select(F.col("id").alias("key")), count), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    members = materialize(full.select("doc_id", "text_key", "key"), "members")
-    drop_path(spark, at)
-
-    cut = lambda df, name: materialize(df, name)
-    pairs = buckets.join(hubs, "band").where("key <> hub").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
-    tested = materialize(pairs, "tested")
-    labels = connected_components(keys, materialize(_similar(tested, sets, similarity), "links"), cut)
-    groups, narrowed, found = buckets.withColumns({"before": F.lit(0.0), "total": F.lit(0.0)}), False, None
-    for turn in range(PIVOTS + 1):
-        placed = groups.join(labels.select(F.col("id").alias("key"), "component"), "key")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        placed = materialize(placed.join(materialize(mixed.select("band"), "mixed"), "band"), "placed")
-        sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"))
-        total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("across")).first()
-        if not total.n:
-            break
-        last = turn == PIVOTS or total.across <= REST * total.n or (narrowed and turn > 2 and found.isEmpty())
-        if last:
-            other = placed.select("band", F.col("key").alias("other"), F.col("component").alias("theirs"), F.col("before").alias("_before"), F.col("total").alias("_total"))
-            fresh = placed.join(other, "band").where((F.col("component") < F.col("theirs")) & _reach("before", "total", F.col("_total"), similarity) & _reach("_before", "_total", F.col("total"), similarity))
-        elif not narrowed:
-            groups, narrowed, found = _narrow(placed.select("band", "key"), sets, similarity), True, None
-            continue
-        else:
-            # First the member that has least of its own before what the group shares, then members at random.
-            turned = F.struct(F.when(F.lit(turn < 3), F.col("before")).alias("b"), F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("other"), F.col("component").alias("theirs"))
-            pivot = materialize(placed.groupBy("band").agg(F.min(turned).alias("p")).select("band", "p.other", "p.theirs"), "pivots")
-            fresh = placed.join(pivot, "band").where("component <> theirs")
-        fresh = fresh.select(F.greatest("key", "other").alias("src"), F.least("key", "other").alias("dst")).distinct().join(tested, ["src", "dst"], "left_anti")
-        fresh = materialize(fresh, "fresh")
-        found = materialize(_similar(fresh, sets, similarity), "links")
-        if not found.isEmpty():
-            labels = _merged(labels, found, cut)
-        tested = tested.unionByName(fresh)
-        if last:
-            break
-
-    labels = labels.select(F.col("id").alias("key"), "component")
-    member = members.join(labels, "key", "left").select("doc_id", "text_key", "key", F.coalesce("component", "key").alias("component"))
-    member = materialize(member, "member")
-    first = materialize(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
-    out = member.join(first, "component")
-    return out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
+    with Rounds(docs.sparkSession, "near") as rounds:
+        cut = rounds.table
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("string").alias("text"), F.xxhash64(text_of()).alias("text_key"))
+        n = texts.count()
+        common = common_shingles(texts, n, rounds)
+        full = cut(sketch(texts, common, n, rounds, bands, rows), "sketches")
+
+        buckets = full.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band")).dropDuplicates()
+        shared = cut(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        buckets = cut(buckets.join(shared, "band"), "buckets")
+        keys = cut(buckets.select(F.col("key").alias("id")).distinct(), "keys")
+        sets = cut(full.select("key", *PACKED).join(_few(keys.select(F.col("id").alias("key")), keys.count()), "key", "left_semi").dropDuplicates(["key"]), "sets")
+        members = cut(full.select("doc_id", "text_key", "key"), "members")
+        rounds.drop(full)
+
+        alike = buckets.where(F.col("n") <= held).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys")).groupBy("keys").agg(F.min("band").alias("group"))
+        alike = alike.select("group", F.explode("keys").alias("key")).select("group", "key", F.col("key").alias("component"), F.lit(True).alias("first"))
+        labels = connected_components(keys, cut(_tested_together(alike, sets, similarity), "links"), cut)
+        labels = _large(cut(buckets.where(F.col("n") > held), "large"), labels, sets, similarity, cut, held=held)
+
+        labels = labels.select(F.col("id").alias("key"), "component")
+        member = cut(members.join(labels, "key", "left").select("doc_id", "text_key", "key", F.coalesce("component", "key").alias("component")), "member")
+        first = cut(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
+        out = member.join(first, "component")
+        kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+        return rounds.result(out.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept")))
