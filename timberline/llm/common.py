@@ -99,6 +99,23 @@ class Rounds:
             drop_path(self.spark, path)
 
 
+class Sieve:
+    """A bit for each of 2 ** bits remainders of 64-bit hashes, of one size whatever it holds: tells rows that a join cannot meet before they move.
+
+    The bits are gathered in words of 64, by partial aggregation, so the driver gets 2 ** (bits - 6) rows at most. What passes may still have no partner.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int = 25):
+        b = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        words = hashes.select(F.shiftright(b, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        self.mask, self.words = np.uint64((1 << bits) - 1), np.zeros(1 << (bits - 6), np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        b = hashes.view(np.uint64) & self.mask
+        return (self.words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def text_of(name: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import WORD, grouped_prefix, materialize, null_safe_join
+from timberline.llm.common import WORD, Rounds, grouped_prefix, null_safe_join
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-BLOCK = 256
+#: Words of a block. A source gets its share of blocks up to two or so, so this is how near it comes to its target.
+BLOCK = 32
 #: Buckets of the documents' shuffled order; a source's rows are only sorted within a bucket.
 BUCKETS = 4096
 #: Slots of the schedule in a run whose ranks are counted together, and cells of the unit interval.
@@ -50,72 +51,70 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return rows.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("_level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, rank, slot for each block that the mix takes: slot i of the golden-ratio sequence lies at frac((i + 1) * golden),
-    which the cumulative targets map to a source, and the slots of a source are ranked in order.
+def schedule(plan: DataFrame, most: float = MOST) -> DataFrame:
+    """slot, source, rank, round, block: the mix as a sequence of blocks.
 
-    `plan` has source, target and need (blocks to take). The sequence gives each source its share of slots up to a few;
-    slots beyond a source's need are left out, and ranks that it lacks follow at the end.
+    Slot i of the golden-ratio sequence lies at frac((i + 1) * golden), which the cumulative needs map to a source; so after any number of
+    slots each source has its share of them up to a few. The slots of a source are ranked in order, and take its blocks in turn, round after round.
+    `plan` has source, need and blocks (to take, and that it has); there are as many slots as blocks needed. Slots past `most` rounds of a source stay empty.
     """
-    spark = plan.sparkSession
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    line = plan.where("need > 0").withColumn("_total", F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    line = line.withColumn("hi", F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_total"))
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = plan.where("need > 0").withColumn("_total", F.sum("need").over(everything))
+    line = line.withColumn("hi", F.sum("need").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_total"))
     line = line.withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0.0)))
-    line = line.withColumn("hi", F.when(F.lead("hi").over(by_name).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-    cells = line.select("source", "lo", "hi", "need", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = line.select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     slots = plan.agg(F.coalesce(F.sum("need"), F.lit(0)).cast("long")).first()[0]
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("u"))
+    points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("u"))
     points = points.withColumn("cell", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1)))
-    dealt = points.join(cells, "cell").where("lo <= u AND u < hi").select("source", "need", "slot", F.floor(F.col("slot") / RUN).alias("run"), F.lit(1).cast("long").alias("one"))
-    ranked = grouped_prefix(dealt, ["source"], "run", [F.col("slot")], "one", "rank").where("rank < need")
-    have = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("have"))
-    lacking = null_safe_join(plan, have, ["source"], "left").select("source", "need", F.coalesce("have", F.lit(0)).alias("have")).where("have < need")
-    rest = lacking.select("source", F.explode(F.expr("sequence(have, need - 1)")).alias("rank")).withColumn("slot", F.lit(slots) + F.col("rank"))
-    return ranked.select("source", "rank", "slot").unionByName(rest.select("source", F.col("rank").cast("long"), F.col("slot").cast("long")))
-
+    dealt = points.join(cells, "cell").where("lo <= u AND u < hi").select("source", "blocks", "slot", F.floor(F.col("slot") / RUN).alias("run"), F.lit(1).cast("long").alias("one"))
+    ranked = grouped_prefix(dealt, ["source"], "run", [F.col("slot")], "one", "rank").where(F.col("rank") < F.floor(F.col("blocks") * most))
+    return ranked.select("slot", "source", "rank", F.expr("rank div blocks").alias("round"), F.expr("rank % blocks").alias("block"))
 
-def mix(docs: DataFrame, block: int = BLOCK, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
-    A source's documents are put in an order shuffled by a digest of doc_id and laid end to end; the line is cut into blocks of `block`
-    words, of which the last may be shorter. The mix takes the blocks as `schedule` ranks them, round after round through the line, and of the
-    last one only as many words as the target (rounded) still needs. So each source's words are its target to
-    the word, and no document is taken more than `most` times (rounded up to whole rounds). Size is the number of runs of
-    characters other than white space; null is empty. Empty texts take nothing; null sources form a source of their own, the last; rows that
-    are the same in doc_id and text are rows of their own. An empty table gives no rows.
-    """
+def _laid(docs: DataFrame, block: int, weights: Sequence[float], share: float, most: float, table) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents on their sources' lines (doc_id, source, size, start); the words of each in each block (source, start, doc_id, block, lo, hi: counted from the block's start);
+    and the sources' plan."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"))
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = materialize(rows.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")), "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
-    plan = targets(sizes, weights, share, most)
-    plan = plan.withColumn("_take", F.round("target").cast("bigint"))
-    plan = plan.withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("_take div source_size")).otherwise(F.lit(0)))
-    plan = plan.withColumn("rest", F.col("_take") - F.col("rounds") * F.col("source_size"))
-    plan = plan.withColumn("in_round", F.ceil(F.col("source_size") / block)).withColumn("in_rest", F.ceil(F.col("rest") / block))
-    plan = materialize(plan.withColumn("need", F.col("rounds") * F.col("in_round") + F.col("in_rest")), "mix-plan")
-
+    rows = table(rows.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")), "sizes")
+    plan = targets(rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), weights, share, most)
+    take = F.round("target").cast("bigint")
+    blocks = F.ceil(F.col("source_size") / block)
+    need = F.when(F.col("source_size") > 0, F.expr("_take div source_size") * F.col("blocks") + F.ceil((F.col("_take") % F.col("source_size")) / block)).otherwise(F.lit(0))
+    plan = table(plan.withColumn("_take", take).withColumn("blocks", blocks).withColumn("need", need.cast("bigint")).drop("_take"), "plan")
     laid = grouped_prefix(rows, ["source"], "_bucket", [F.col("_order"), F.col("doc_id"), F.col("size"), F.col("_text")], "size", "start")
-    laid = materialize(laid.select("doc_id", "source", "size", "start"), "mix-line")
-
-    # What the schedule takes of each block: whole rounds, and the words of the round that the target cuts short.
-    order = schedule(plan, block)
-    facts = plan.select("source", "rounds", "rest", "in_round")
-    order = null_safe_join(order, facts, ["source"]).select("source", "rank", "rounds", "rest", "in_round", F.expr("rank div in_round").alias("round"), F.expr("rank % in_round").alias("block"))
-    whole = F.col("round") < F.col("rounds")
-    use = order.groupBy("source", "block").agg(F.sum(whole.cast("long")).alias("uses"), F.max(F.when(~whole, F.least(F.col("rest") - F.col("block") * block, F.lit(block)))).alias("cut"))
-
-    # The part of each document in each block that it spans.
-    parts = laid.where("size > 0").select("source", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
+    laid = table(laid.select("doc_id", "source", "size", "start"), "line")
+    parts = laid.where("size > 0").select("source", "start", "size", "doc_id", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    parts = parts.select("source", "start", "block", lo.alias("lo"), hi.alias("hi"))
-    joined = null_safe_join(parts, use, ["source", "block"])
-    cut = F.greatest(F.least("hi", F.coalesce("cut", F.lit(0))) - F.col("lo"), F.lit(0))
-    taken = joined.groupBy("source", "start").agg(F.sum(F.col("uses") * (F.col("hi") - F.col("lo")) + cut).alias("taken"))
-    out = laid.withColumn("_key", F.when(F.col("size") > 0, F.col("start")))
-    out = null_safe_join(out, taken.withColumnRenamed("start", "_key"), ["source", "_key"], "left")
-    facts = plan.select("source", "source_size", "target")
-    out = null_safe_join(out, F.broadcast(facts) if facts.count() <= BROADCAST_SOURCES else facts, ["source"])
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return laid, parts.select("source", "start", "doc_id", "block", lo.alias("lo"), hi.alias("hi")), plan
+
+
+def sequence(docs: DataFrame, block: int = BLOCK, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: slot, source, doc_id, first, last for each run of words of a document in each scheduled block; words are counted from 0 and `last` is left out."""
+    with Rounds(docs.sparkSession, "mix-sequence") as rounds:
+        _, parts, plan = _laid(docs, block, weights, share, most, rounds.table)
+        first = F.col("block") * block + F.col("lo") - F.col("start")
+        rows = null_safe_join(parts, schedule(plan, most).select("slot", "source", "block"), ["source", "block"])
+        return rounds.result(rows.select("slot", "source", "doc_id", first.alias("first"), (first + F.col("hi") - F.col("lo")).alias("last")))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken: the words of it in all blocks of `schedule`.
+
+    A source's documents are put in an order shuffled by a digest of doc_id and laid end to end; the line is cut into blocks of `block`
+    words, of which the last may be shorter. The mix is the blocks that `schedule` gives the slots of the sequence, so a source's words come
+    to its target up to two blocks or so, and no document is taken more than `most` times (rounded up to whole rounds). Size is the number of runs of
+    characters other than white space; null is empty. Empty texts take nothing; null sources form a source of their own, the last; rows that
+    are the same in doc_id and text are rows of their own. An empty table gives no rows; further columns are not looked at.
+    """
+    with Rounds(docs.sparkSession, "mix") as rounds:
+        laid, parts, plan = _laid(docs, block, weights, share, most, rounds.table)
+        uses = schedule(plan, most).groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
+        taken = null_safe_join(parts, uses, ["source", "block"]).groupBy("source", "start").agg(F.sum(F.col("uses") * (F.col("hi") - F.col("lo"))).alias("taken"))
+        out = laid.withColumn("_key", F.when(F.col("size") > 0, F.col("start")))
+        out = null_safe_join(out, taken.withColumnRenamed("start", "_key"), ["source", "_key"], "left")
+        facts = plan.select("source", "source_size", "target")
+        out = null_safe_join(out, F.broadcast(facts) if facts.count() <= BROADCAST_SOURCES else facts, ["source"])
+        return rounds.result(out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from timberline.llm.common import BROADCAST_ROWS, Rounds, give_back, mix64, text_of, window_hashes
+from timberline.llm.common import Rounds, Sieve, give_back, mix64, text_of, window_hashes
 from timberline.operators.graph import connected_components
 
 #: Words of a shingle, least similarity, bands and samples of a band.
@@ -27,8 +27,8 @@ HELD, CHUNK = 3_000_000, 1 << 16
 TOGETHER = 2_000_000
 #: Samples of which a pair must agree in so many to be tested: of one of similarity 0.8 fewer agree with a chance of 1 in 100,000.
 AGREEING = 10
-#: Members of a bucket that a task holds and tests among each other; in larger buckets members are first tested against a pivot, TURNS times at most.
-HELD_TOGETHER, TURNS = 512, 6
+#: Members of a bucket that a task holds and tests among each other; larger buckets are first dealt to groups of about TOGETHER.
+HELD_TOGETHER, TOGETHER = 512, 64
 
 _U = (np.arange(65536) + 0.5) / 65536
 
@@ -171,64 +171,76 @@ def log_weights(shingles: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray,
     return np.log(tf * idf).astype(np.float32)
 
 
-SKETCHES = "doc_id BIGINT, text_key BIGINT, key STRING, bands ARRAY<BIGINT>, sample BINARY, shingles BINARY, weights BINARY"
+SKETCHES = "doc_id BIGINT, text_key BIGINT, key STRING, bands ARRAY<BIGINT>, sample BINARY"
+SETS = "key STRING, shingles BINARY, weights BINARY"
+
+
+def _found(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = 200_000) -> Iterator[tuple[list, list[str], list[tuple[np.ndarray, np.ndarray]]]]:
+    """Runs of rows of about `most` shingles: the columns' values, keys (digests of the words), and for each text its distinct shingles with their numbers."""
+    for batch in batches:
+        rows, keys, sets, held = [], [], [], 0
+        for row, (words, s) in zip(zip(*(batch.column(c).to_pylist() for c in columns), strict=True), shingles_of(batch.column("text")), strict=True):
+            rows.append(row)
+            keys.append(xxh3_128_hexdigest(words.tobytes()))
+            sets.append(np.unique(s, return_counts=True))
+            held += len(s)
+            if held >= most:
+                yield rows, keys, sets
+                rows, keys, sets, held = [], [], [], 0
+        if rows:
+            yield rows, keys, sets
+        del rows, keys, sets
+        give_back()
 
 
 def sketch(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], n: int, rounds: Rounds, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per text: key (a digest of its words), band hashes, samples, and its weighted set (32-bit shingle hashes, and weights where not all are the greatest)."""
+    """One row per text: key (a digest of its words), band hashes and samples."""
     shipped = rounds.ship(common)
     names = [f.split()[0] for f in SKETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shipped.value
-        k = bands * rows
         band_seed = mix64(np.arange(101, 101 + bands, dtype=np.uint64))
-
-        def flush(ids, texts_, found):
-            keys = [xxh3_128_hexdigest(w.tobytes()) for w, _ in found]
-            sets = [np.unique(s, return_counts=True) for _, s in found]
+        for docs, keys, sets in _found(batches, ["doc_id", "text_key"]):
             full = [i for i, (s, _) in enumerate(sets) if len(s)]
-            bins: list = [None] * len(found)
-            samples, blobs, weights = list(bins), list(bins), list(bins)
+            bins: list = [None] * len(sets)
+            samples = list(bins)
             if full:
                 flat, tf = (np.concatenate([sets[i][c] for i in full]) for c in (0, 1))
                 lengths = np.array([len(sets[i][0]) for i in full])
-                starts = np.cumsum(lengths) - lengths
-                lw = log_weights(flat, tf, common, n)
-                sig = signatures(flat, lw, starts, k)
+                sig = signatures(flat, log_weights(flat, tf, shipped.value, n), np.cumsum(lengths) - lengths, bands * rows)
                 keyed = np.zeros((len(full), bands), np.uint64)
                 for j in range(rows):
                     keyed = mix64(keyed * np.uint64(0x2545F4914F6CDD1D) + sig[:, j::rows][:, :bands])
                 keyed = mix64(keyed ^ band_seed).view(np.int64)
                 short = sig.astype(np.uint32)
                 for m, i in enumerate(full):
-                    a, b = starts[m], starts[m] + lengths[m]
-                    small = flat[a:b].astype(np.uint32)
-                    order = np.argsort(small, kind="stable")
-                    bins[i], samples[i], blobs[i] = keyed[m].tolist(), short[m].tobytes(), small[order].tobytes()
-                    w = np.exp(lw[a:b][order])
-                    weights[i] = b"" if (np.abs(w - 2) < 1e-5).all() else w.tobytes()
-            data = [pa.array(ids, pa.int64()), pa.array(texts_, pa.int64()), pa.array(keys), pa.array(bins, pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in (samples, blobs, weights))]
-            return pa.RecordBatch.from_arrays(data, names)
-
-        for batch in batches:
-            ids, texts_, found, held = [], [], [], 0
-            for doc, text, pair in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), shingles_of(batch.column("text")), strict=True):
-                ids.append(doc)
-                texts_.append(text)
-                found.append(pair)
-                held += len(pair[0])
-                if held >= 200_000:
-                    yield flush(ids, texts_, found)
-                    ids, texts_, found, held = [], [], [], 0
-            if ids:
-                yield flush(ids, texts_, found)
-            del ids, texts_, found
-            give_back()
+                    bins[i], samples[i] = keyed[m].tolist(), short[m].tobytes()
+            ids, texts_ = zip(*docs, strict=True)
+            data = [pa.array(ids, pa.int64()), pa.array(texts_, pa.int64()), pa.array(keys), pa.array(bins, pa.list_(pa.int64())), pa.array(samples, pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names)
 
     return texts.mapInArrow(run, SKETCHES)
 
 
+def weighted_sets(texts: DataFrame, wanted: Sieve, common: tuple[np.ndarray, np.ndarray], n: int, rounds: Rounds) -> DataFrame:
+    """key and weighted set (32-bit shingle hashes, ascending, and weights where not all are the greatest) of the texts (`id`, text) whose id passes `wanted`."""
+    shipped, sieve = rounds.ship(common), rounds.ship(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (b.filter(pa.array(sieve.value.passes(b.column("id").to_numpy()))) for b in batches)
+        for _, keys, sets in _found((b for b in some if b.num_rows), ["id"]):
+            shingles, weights = [], []
+            for s, tf in sets:
+                small = s.astype(np.uint32)
+                order = np.argsort(small, kind="stable")
+                w = np.exp(log_weights(s, tf, shipped.value, n)[order])
+                shingles.append(small[order].tobytes())
+                weights.append(b"" if (np.abs(w - 2) < 1e-5).all() else w.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(shingles, pa.binary()), pa.array(weights, pa.binary())], ["key", "shingles", "weights"])
+
+    return texts.mapInArrow(run, SETS)
+
+
 class Set:
     """A text's samples and weighted set, as `sketch` packs them."""
 
@@ -341,10 +353,6 @@ def _merged(labels: DataFrame, links: DataFrame, cut) -> DataFrame:
     return cut(labels.join(found, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "labels")
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """band, key, component of the buckets whose members are not all of one component."""
     placed = buckets.select("band", "key").join(labels.select(F.col("id").alias("key"), "component"), "key")
@@ -352,31 +360,24 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed.select("band"), "band")
 
 
-def _large(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float, cut, turns: int = TURNS, held: int = HELD_TOGETHER) -> DataFrame:
+def _large(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float, cut, held: int, together: int) -> DataFrame:
     """The labels once buckets of more than `held` members are joined as well.
 
-    In each turn every member of another component than its bucket's pivot is tested against that, which is one test a member and joins what is alike. What
-    is left are members outside their bucket's largest component. They are dealt to blocks of about `held`, and so are all members of the bucket: a block of
-    these meets a block of those. So the work left is members x blocks of outsiders, without a limit that leaves a pair out.
+    Members of buckets of more than one component are dealt to groups of about `together`, and tested there, which is a bounded number of tests a member and joins what
+    is mostly alike. What is left are members outside their bucket's largest component. They are dealt to blocks of about `held`, and so are all members of
+    the bucket: a block of these meets a block of those. So the work left is members x blocks of outsiders, without a limit that leaves a pair out.
     """
-    tested = None
-    for turn in range(turns):
-        placed = cut(_mixed(buckets, labels), "placed")
-        if placed.isEmpty():
-            return labels
-        drawn = F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("other"), F.col("component").alias("theirs"))
-        pivot = cut(placed.groupBy("band").agg(F.min(drawn).alias("p")).select("band", "p.other", "p.theirs"), "pivots")
-        fresh = placed.join(pivot, "band").where("component <> theirs").select(F.greatest("key", "other").alias("src"), F.least("key", "other").alias("dst")).distinct()
-        fresh = cut(fresh if tested is None else fresh.join(tested, ["src", "dst"], "left_anti"), "fresh")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        found = cut(_similar(fresh, sets, least), "links")
-        if found.isEmpty() and turn > 1:
-            break
-        labels = _merged(labels, found, cut)
     placed = cut(_mixed(buckets, labels), "placed")
+    if placed.isEmpty():
+        return labels
+    dealt = placed.join(buckets.select("band", "n").distinct(), "band").select(F.xxhash64("band", F.pmod(F.xxhash64(F.lit(3), "key"), F.ceil(F.col("n") / together))).alias("group"), "key", "component", F.lit(True).alias("first"))
+    labels = _merged(labels, cut(_tested_together(dealt, sets, least), "links"), cut)
+    placed = cut(_mixed(placed, labels), "placed")
+    if placed.isEmpty():
+        return labels
     sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    sizes = sizes.select("band", "largest", F.ceil(F.col("n") / held).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("most")) / held).cast("int").alias("columns"))
+    sizes = sizes.select("band", "largest", F.ceil(F.col("n") / held).alias("rows"), F.ceil((F.col("n") - F.col("most")) / held).alias("columns"))
     dealt = placed.join(cut(sizes, "sizes"), "band").withColumns({"i": F.pmod(F.xxhash64(F.lit(1), "key"), "rows"), "j": F.pmod(F.xxhash64(F.lit(2), "key"), "columns")})
     every = dealt.select("band", "key", "component", "i", F.explode(F.expr("sequence(0L, columns - 1L)")).alias("j"), F.lit(True).alias("first"))
     others = dealt.where("component <> largest").select("band", "key", "component", F.explode(F.expr("sequence(0L, rows - 1L)")).alias("i"), "j", F.lit(False).alias("first"))
@@ -384,7 +385,7 @@ def _large(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float,
     return _merged(labels, cut(_tested_together(blocks, sets, least), "links"), cut)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, held: int = HELD_TOGETHER) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, held: int = HELD_TOGETHER, together: int = TOGETHER) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, text_key (a hash of its text), class_id (the smallest doc_id of its class), class_size, kept (one row of each class;
     rows that are the same in doc_id and text share the verdict).
 
@@ -407,17 +408,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         shared = cut(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
         buckets = cut(buckets.join(shared, "band"), "buckets")
         keys = cut(buckets.select(F.col("key").alias("id")).distinct(), "keys")
-        sets = cut(full.select("key", *PACKED).join(_few(keys.select(F.col("id").alias("key")), keys.count()), "key", "left_semi").dropDuplicates(["key"]), "sets")
-        members = cut(full.select("doc_id", "text_key", "key"), "members")
-        rounds.drop(full)
-
-        alike = buckets.where(F.col("n") <= held).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys")).groupBy("keys").agg(F.min("band").alias("group"))
-        alike = alike.select("group", F.explode("keys").alias("key")).select("group", "key", F.col("key").alias("component"), F.lit(True).alias("first"))
-        labels = connected_components(keys, cut(_tested_together(alike, sets, similarity), "links"), cut)
-        labels = _large(cut(buckets.where(F.col("n") > held), "large"), labels, sets, similarity, cut, held=held)
+        samples = full.where("bands IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("sample").alias("sample")).join(keys.select(F.col("id").alias("key")), "key")
+        samples = cut(samples.select("key", "sample", F.xxhash64("of.doc_id", "of.text_key").alias("id")), "samples")
+        texts = texts.select(F.xxhash64("doc_id", "text_key").alias("id"), "text")
+        sets = weighted_sets(texts, Sieve(samples, "id"), common, n, rounds).dropDuplicates(["key"])
+        sets = cut(samples.select("key", "sample").join(sets, "key"), "sets")
+
+        # Small buckets, those of the same members once, and of each large bucket's members those that are in no larger one, in groups.
+        small = buckets.where(F.col("n") <= held).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys")).groupBy("keys").agg(F.min("band").alias("group"))
+        small = small.select("group", F.explode("keys").alias("key"))
+        large = cut(buckets.where(F.col("n") > held), "large")
+        most = large.groupBy("key").agg(F.max(F.struct("n", "band")).alias("in"))
+        most = most.select(F.xxhash64("in.band", F.pmod(F.xxhash64(F.lit(0), "key"), F.ceil(F.col("in.n") / together))).alias("group"), "key")
+        groups = small.unionByName(most).select("group", "key", F.col("key").alias("component"), F.lit(True).alias("first"))
+        labels = connected_components(keys, cut(_tested_together(groups, sets, similarity), "links"), cut)
+        labels = _large(large, labels, sets, similarity, cut, held, together)
 
         labels = labels.select(F.col("id").alias("key"), "component")
-        member = cut(members.join(labels, "key", "left").select("doc_id", "text_key", "key", F.coalesce("component", "key").alias("component")), "member")
+        member = cut(full.join(labels, "key", "left").select("doc_id", "text_key", "key", F.coalesce("component", "key").alias("component")), "member")
         first = cut(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
         out = member.join(first, "component")
         kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timberline import ship
 from timberline.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality_lm, token_counts, toxicity, url_filter
 from timberline.llm.common import new_path
+from timberline.llm.mixing import GOLDEN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,11 +110,16 @@ w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LA
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS level FROM w
       WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM l WHERE level * weight <= cap) * weight), cap) AS target FROM l),
-r AS (SELECT *, CAST(round(target) AS BIGINT) AS take, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS rounds FROM t),
+n AS (SELECT *, CAST(ceil(source_size / 32) AS BIGINT) AS blocks, CAST(round(target) AS BIGINT) AS take FROM t),
+r AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN take // source_size * blocks + ceil((take % source_size) / 32) ELSE 0 END AS BIGINT) AS need FROM n),
+h AS (SELECT *, CAST(sum(need) OVER (ORDER BY source NULLS LAST) AS DOUBLE) / CAST(sum(need) OVER () AS DOUBLE) AS hi FROM r WHERE need > 0),
+i AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM h),
+q AS (SELECT (CAST(slot + 1 AS DOUBLE) * {GOLDEN}::DOUBLE) % 1.0::DOUBLE AS u FROM range(CAST((SELECT sum(need) FROM r) AS BIGINT)) AS g(slot)),
+c AS (SELECT source, least(count(*), 2 * any_value(blocks)) AS used FROM i JOIN q ON u >= lo AND u < hi GROUP BY source),
+f AS (SELECT r.source, r.source_size, target, coalesce(CAST(used // blocks AS BIGINT), 0) AS rounds, coalesce(least(used % blocks * 32, r.source_size), 0) AS rest FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(rounds * size + greatest(least(start + size, take - rounds * source_size) - start, 0) AS BIGINT) AS taken
-FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(rounds * size + greatest(least(start + size, rest) - start, 0) AS BIGINT) AS taken
+FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source
 """
 
 
