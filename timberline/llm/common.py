@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of verdicts up to this many rows are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Where a whole row is carried beside keys of our own: it is one column, so that its columns may have any name.
+ROW, AT = "row", "at"
+
 #: Rows and bytes of the Arrow batches in which texts go to Python: a worker and the JVM hold one batch each beside what they work on.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
@@ -157,6 +160,15 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose `keys` are not in `gone` (as many columns, in that order); null meets null."""
+    names = [f"{AT}{i}" for i in range(len(keys))]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(ROW), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    gone = gone.toDF(*names)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return null_safe_join(rows, gone, names, "left_anti").select(f"{ROW}.*")
+
+
 def grouped_prefix(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same group that come before, by (bucket, order).
 

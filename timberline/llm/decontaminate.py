@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import give_back, materialize, null_safe_join, window_hashes
+from timberline.llm.common import Rounds, Sieve, give_back, null_safe_join, window_hashes
 
 #: Tokens of a window, and how many of them must be literal in a template; windows with fewer are only found verbatim. A shorter item is one window of its
 #: own length, which below SHORTEST tokens has no template.
@@ -21,8 +21,8 @@ WINDOW, LITERAL, SHORTEST = 8, 5, 4
 RAW = np.uint64(0x5851F42D4C957F2D)
 #: An item is leaked if this share of its windows is found, or a run of this many tokens.
 COVERAGE, RUN = 0.5, 13
-#: Up to this many template windows are sent to the tasks, to leave out windows that no item has before the join; beyond it all windows are joined.
-SENT = 4_000_000
+#: Bits of the sieve of the items' windows, through which the documents' windows pass before the join.
+SIEVE_BITS = 25
 #: Units of measure that a number turns into a placeholder.
 UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml gal s sec seconds min minutes h hr hours day days week weeks month months year years percent usd eur gbp dollars cents euros pounds kb mb gb tb hz khz mhz w kw v".split())
 TOKEN = re.compile(r"[.!?:;\n]+|\d+(?:[.,:/]\d+)*|[^\W\d_]+")
@@ -120,16 +120,6 @@ class Templates:
         return [self.words[self.at[i]].lower() for i in range(place, place + n) if self.held[i]]
 
 
-_SHARED: list[Lexicon] = []
-
-
-def _lexicon() -> Lexicon:
-    """The one that all tasks of a worker process share."""
-    if not _SHARED:
-        _SHARED.append(Lexicon())
-    return _SHARED[0]
-
-
 ITEM_WINDOWS = "item_id BIGINT, window BIGINT, place INT, slots ARRAY<STRING>, size INT, n_windows INT, typed BOOLEAN, n_typed INT"
 
 
@@ -157,15 +147,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 HITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("doc_place", pa.int32()), ("window", pa.int64()), ("doc_slots", pa.list_(pa.string()))])
 
 
-def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+def _doc_windows(docs: DataFrame, sizes: list[int], wanted: Sieve, rounds: Rounds) -> DataFrame:
+    shipped = rounds.ship(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, wanted = _lexicon(), shipped.value
-        sieve = None
-        if wanted is not None:
-            sieve = np.zeros(1 << 22, bool)
-            sieve[wanted & np.uint64((1 << 22) - 1)] = True
+        lexicon, wanted = Lexicon(), shipped.value
         for batch in batches:
             ids, keys, texts = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").to_pylist()
             size, first = 0, 0
@@ -177,10 +163,8 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -
                 begins = np.searchsorted(t.of, np.arange(last - first))
                 for n in sizes:
                     found, at, template = t.windows(n)
-                    if sieve is not None:
-                        keep = np.flatnonzero(sieve[found & np.uint64((1 << 22) - 1)])
-                        keep = keep[np.isin(found[keep], wanted)] if len(keep) else keep
-                        found, at, template = found[keep], at[keep], template[keep]
+                    keep = np.flatnonzero(wanted.passes(found))
+                    found, at, template = found[keep], at[keep], template[keep]
                     for lo in range(0, len(at), 50_000):
                         h, p, by = found[lo : lo + 50_000], at[lo : lo + 50_000], template[lo : lo + 50_000]
                         d = t.of[p]
@@ -199,27 +183,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
 
     Texts become templates (`Lexicon.templates`); windows of WINDOW tokens of both meet in a hash join. Where a document and an item share
     windows along one diagonal (the item at one place of the document), each value of the item stands for the value of the document
-    that it meets most often there; only windows in which it meets another are left out, and none whose values equal the item's. kind is
+    that it meets most often there, and each of the document for one of the item; only windows in which values meet others are left out, and none whose values equal the item's. kind is
     `exact` if all values that meet are equal, else `reparameterised`.
     `coverage` is the share of the item's windows found in a document, of all or of those with a template, whichever is more; `run` the most tokens of it in a row. Null and empty texts hold
-    nothing; repeated documents and items count once each; empty tables give no rows.
+    nothing; repeated documents and items count once each, of items of one id with different texts every text's windows belong to that id; a null item_id is no item; empty tables give no rows; further columns are not looked at.
     """
-    items = item_windows(benchmark).dropDuplicates(["item_id", "window", "place"]).cache()
+    with Rounds(docs.sparkSession, "leaks") as rounds:
+        return rounds.result(_leaks(docs, benchmark, coverage, run, rounds))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int, rounds: Rounds) -> DataFrame:
+    items = rounds.table(item_windows(benchmark).dropDuplicates(["item_id", "window", "place"]), "items")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW of them
-    n = items.select("window").distinct().count()
-    wanted = None
-    if n <= SENT:
-        wanted = np.unique(np.array([r.window for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
-    windows = _doc_windows(docs, sizes, wanted)
-    met = materialize(windows, "windows").join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "typed", "n_typed", "slots", "doc_slots")
+    windows = rounds.table(_doc_windows(docs, sizes, Sieve(items, "window", SIEVE_BITS), rounds), "windows")
+    met = windows.join(items, "window").select("doc_id", "text_key", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal"), "place", "size", "n_windows", "typed", "n_typed", "slots", "doc_slots")
+    met = rounds.table(met, "met")
     where = ["doc_id", "text_key", "item_id", "diagonal"]
-    # The value of the document that each value of the item stands for most often, and with equal counts its own.
+    # The value of the document that each value of the item stands for most often, with equal counts its own; and the other way round.
     pairs = met.select(*where, F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))).alias("s")).select(*where, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    stands = pairs.groupBy(*where, "a", "b").agg(F.count(F.lit(1)).alias("n"), (F.col("a") == F.col("b")).alias("same"))
-    stands = stands.groupBy(*where, "a").agg(F.max_by("b", F.struct("n", "same", "b")).alias("b"), F.min("same").alias("same"))
-    slots = stands.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("stands"), F.min("same").alias("same"))
+    pairs = rounds.table(pairs.groupBy(*where, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("a") == F.col("b")).alias("same")), "pairs")
+    mapped = lambda a, b, out: pairs.groupBy(*where, a).agg(F.max_by(b, F.struct("n", "same", b)).alias(b), F.min("same").alias("same")).groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct(a, b))).alias(out), F.min("same").alias("same"))
+    slots = null_safe_join(mapped("a", "b", "stands"), mapped("b", "a", "back").drop("same"), where)
     fits = F.col("slots") == F.col("doc_slots")
-    fits = fits | F.forall(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda s: F.element_at("stands", s["a"]) == s["b"])
+    fits = fits | F.forall(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda s: (F.element_at("stands", s["a"]) == s["b"]) & (F.element_at("back", s["b"]) == s["a"]))
     met = null_safe_join(met, slots, where, "left").where(fits).select(*where, "place", "size", "n_windows", "typed", "n_typed", F.coalesce("same", F.lit(True)).alias("same"))
     # Runs of windows at consecutive places along a diagonal.
     by_diagonal = met.groupBy(*where).agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set(F.when(F.col("typed"), F.col("place"))).alias("typed"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.min("same").alias("same"))
