@@ -353,6 +353,60 @@ def test_languages_held_out_and_odd(spark, odd, none):
     assert language_id.predict(odd, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_words_are_letters_only(spark):
+    model = language_id.Model(["eins zwei", "one two"], ["de", "en"])
+    assert [model.score(t)[0] for t in ("½ ² ① Ⅷ 12", "", None, "zwei²", "１")] == ["und", "und", "und", "de", "und"]
+    assert language_id.words_of("Ab½cd_e 1f") == ["ab", "cd", "e", "f"]
+
+
+def test_backoff_scores_by_brute_force():
+    texts, langs = ["baba dada baba", "dada fufu", "xoxo fufu xo"], ["a", "a", "b"]
+    model = language_id.Model(texts, langs, longest=3)
+    words = {lang: Counter(w for t, x in zip(texts, langs) if x == lang for w in t.split()) for lang in "ab"}
+    grams = {k: {lang: Counter(f"^{w}$"[i : i + k] for w, n in c.items() for _ in range(n) for i in range(len(w) + 3 - k)) for lang, c in words.items()} for k in (1, 2, 3)}
+
+    def rate(table, x):
+        size = len(set(table["a"]) | set(table["b"]))
+        return [math.log((table[lang][x] + 0.1) / (sum(table[lang].values()) + 0.1 * size)) for lang in "ab"]
+
+    def brute(text):
+        total = np.zeros(2)
+        for w in text.split():
+            if any(words[lang][w] for lang in "ab"):
+                total += rate(words, w)
+                continue
+            for k in (3, 2, 1):
+                own = [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+                if known := [g for g in own if any(grams[k][lang][g] for lang in "ab")]:
+                    total += np.mean([rate(grams[k], g) for g in known], axis=0)
+                    break
+        p = np.exp(total - total.max())
+        return "ab"[int(p.argmax())], float(p.max() / p.sum())
+
+    for text in ("baba", "fufu xo", "babu", "zzz", "dad xox fu", "xoxo dada q"):
+        got, want = model.score(text), brute(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-5
+
+
+def test_one_text_of_many_rows_counts_once(spark):
+    rows = [(i, "eins zwei drei", "de") for i in range(300)] + [(1000 + i, prose(20, i), "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == ["de", "en"] and model.score("eins zwei drei")[0] == "de" and model.score(prose(20, 3))[0] == "en"
+    many = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many).langs) == 300
+
+
+def test_posteriors_by_brute_force():
+    rng = np.random.default_rng(5)
+    votes = (rng.random((40, 3)) < 0.3).astype(float)
+    model = toxicity.label_model(votes, np.array([0.9, 0.7, 0.8]), 0.2)
+    logit = lambda p: math.log(p / (1 - p))
+    for v, got in zip(votes, model.posterior(votes), strict=True):
+        z = logit(0.2 if v.any() else 0.2 * toxicity.SILENT) + sum(w * (logit(a) - logit(0.2)) for x, w, a in zip(v, model.weight, model.accuracy, strict=True) if x)
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def jaccard_classes(texts, weighted=False):
     sets = []
     for t in texts:

@@ -11,24 +11,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timberline.llm.common import unit_hash
 
-#: Bound of the sample that a model is learned from: characters a language (in expectation), and languages (the most frequent).
-TRAIN_CHARS, LANGUAGES = 1_500_000, 200
+#: Bound of the sample that a model is learned from, in characters of distinct texts (in expectation), dealt evenly to the languages.
+TRAIN_CHARS = 6_000_000
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters (Unicode category L) of a text in lower case."""
+    return [w for run in LETTERS.findall((text or "").lower()) for w in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
 def _log_rates(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of log relative frequencies by language; what a language lacks counts a tenth."""
+    """Rows of log relative frequencies by language; each counts a tenth more than it was seen, so a language seen little says little."""
     index = {k: i for i, k in enumerate(sorted(set().union(*counts)))}
     out = np.empty((len(index), len(counts)), np.float32)
     for j, c in enumerate(counts):
         column = np.full(len(index), 0.1)
         for k, v in c.items():
             column[index[k]] += v
-        out[:, j] = np.log(column / max(1, sum(c.values())))
+        out[:, j] = np.log(column / max(column.sum(), 1e-9))
     return index, out
 
 
@@ -40,7 +46,7 @@ class Model:
         at = {x: i for i, x in enumerate(self.langs)}
         words = [Counter() for _ in self.langs]
         for text, lang in zip(texts, langs, strict=True):
-            words[at[lang]].update(LETTERS.findall(text.lower()))
+            words[at[lang]].update(words_of(text))
         grams = [[Counter() for _ in self.langs] for _ in range(longest + 1)]
         for j, counts in enumerate(words):
             for word, n in counts.items():
@@ -65,7 +71,7 @@ class Model:
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability. A known word counts by its own log frequencies, any other by the mean over its known n-grams
         of the greatest length that has any."""
-        counts = Counter(LETTERS.findall((text or "").lower()))
+        counts = Counter(words_of(text))
         if not counts or not self.langs:
             return "und", 0.0
         rows, weights = [], []
@@ -86,19 +92,18 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> Model:
-    """Learn from the text and lang of rows that have both: a sample of about `train_chars` characters a language, drawn by a hash of the text.
+def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
+    """Learn from the text and lang of rows that have both: a sample of distinct texts of about `train_chars` characters, evenly of all languages, drawn by a hash of the text.
 
-    The sample is bounded whatever the table's size, and is fitted in one task; the model goes to the driver, bounded by the sample.
+    Texts of one language that are equal count once, however many rows share them. The sample is bounded whatever the table's size, and is fitted in one task; the
+    model goes to the driver, bounded by the sample. An empty table, or one without a lang, gives a model that knows nothing.
     """
-    rows = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(languages).collect()
-    if not sizes:
-        return Model([], [])
-    keep = F.lit(False)
-    for r in sizes:
-        keep = F.when(F.col("lang") == r.lang, unit_hash(F.col("text"), seed=7) < train_chars / max(1, r.chars)).otherwise(keep)
-    sample = rows.where(keep)
+    rows = docs.select("text", "lang", F.xxhash64("text").alias("hash")).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang", "hash").agg(F.max(F.length("text")).alias("chars")).groupBy("lang").agg(F.sum("chars").alias("chars"))
+    sizes = sizes.withColumn("languages", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # a row for each language
+    share = sizes.select("lang", (train_chars / F.col("languages") / F.greatest("chars", F.lit(1))).alias("share"))
+    drawn = rows.join(share, "lang").where(unit_hash(F.col("hash"), seed=7) < F.col("share"))
+    sample = drawn.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
@@ -112,7 +117,7 @@ def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS, languages: int = LANGUA
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` with doc_id, lang_pred, score of each whole text: `und` and 0 where it is null or has no letter, or nothing was
-    learned. Ties go to the language first in order; repeated rows give repeated rows."""
+    learned. Ties go to the language first in order; repeated rows give repeated rows; an empty table gives none; further columns are not looked at."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -200,21 +200,24 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Learn from the labelled rows given (doc_id, toxic): a sample bounded by rows and characters, drawn by a hash of doc_id, fitted in one task.
+    """Learn from the labelled rows given (doc_id, toxic): a sample of distinct texts, bounded in rows and characters, drawn by a hash of the text, fitted in one task.
 
-    Which labels may be used is the caller's choice; those of the rows given choose the lexicon's voters. Rows without a text or label are left out.
+    Which labels may be used is the caller's choice; those of the rows given choose the lexicon's voters. Rows without a text or label are left out. Equal texts count once,
+    however many rows share them, as toxic if one of their labels says so; so do ids that several rows or labels share. An empty table gives a model without voters.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    sizes = rows.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).first()
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("chars"))
+    told = rows.join(known, "doc_id").groupBy("hash").agg(F.max("toxic").cast("int").alias("toxic"), F.max("chars").alias("chars"))
+    sizes = told.agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).first()
     share = min(1.0, train_rows / max(1, sizes.n), train_chars / max(1, sizes.chars or 0))
-    drawn = known.where(unit_hash(F.col("doc_id"), seed=3) < share)
-    sample = rows.where(unit_hash(F.col("doc_id"), seed=3) < share).join(drawn, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    drawn = lambda df: df.where(unit_hash(F.col("hash"), seed=3) < share)
+    texts = drawn(docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("hash")))
+    sample = texts.join(drawn(told).select("hash", "toxic"), "hash").groupBy("hash").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
         if parts:
-            f = pd.concat(parts).sort_values(["doc_id", "text"])
+            f = pd.concat(parts).sort_values("text")
             yield pd.DataFrame({"model": [pickle.dumps(train(f.text.tolist(), f.toxic.to_numpy()))]})
 
     found = sample.repartition(1).mapInPandas(learn, "model BINARY").collect()
@@ -222,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of each row's whole text; null and empty texts get the score of the bias alone. Only the text is looked at."""
+    """doc_id, score (0 to 1) of each row's whole text; null and empty texts get the score of the bias alone. Only the text is looked at;
+    equal texts have equal scores, repeated rows give repeated rows, and an empty table none."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
