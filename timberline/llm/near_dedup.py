@@ -110,28 +110,42 @@ def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray,
 def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and document counts of all shingles in at least `share` of the n texts: exact, and at most (mean length / share) of them.
 
-    Each task counts its own texts and reports the shingles at half the share or more of these; what reports leave open is less than that
-    half, so summed reports bound each shingle's count from above, and only shingles whose bound reaches the share (a bounded number) are counted in a second pass.
+    Each task counts its own texts, and gives up shingles that are in no more than half the share of these; what it gives up is bounded by that
+    half, so summed counts and bounds are above each shingle's count, and only shingles for which they reach the share (a bounded number) are counted in a second pass.
     """
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, docs = [], 0, 0
+        parts, ids, counts, held, docs, lost = [], np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0, 0
+
+        def prune() -> None:
+            """Merge what is held, and give up what is rare so far: `lost` is the most that a shingle can have had in texts of which its count knows nothing."""
+            nonlocal ids, counts, lost
+            whole = pa.array(np.concatenate([ids, *parts])).dictionary_encode()
+            n = np.bincount(whole.indices.to_numpy(), np.concatenate([counts, np.ones(held, np.int64)]), len(whole.dictionary)).astype(np.int64)
+            parts.clear()
+            most = max(lost, math.ceil(share * docs / 2) - 1)
+            keep = n + lost > most
+            if not keep.all():
+                lost += int(n[~keep].max())
+            ids, counts = whole.dictionary.to_numpy()[keep], n[keep]
 
         def flush() -> pa.RecordBatch:
-            least = max(1, math.ceil(share * docs / 2))
-            ids, counts = np.unique(np.concatenate(parts), return_counts=True)
-            keep = counts >= least
-            ids, over = ids[keep].view(np.int64), counts[keep] - (least - 1)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(ids, 0)), pa.array(np.append(over, least - 1)), pa.array(np.append(np.zeros(len(ids), bool), True))], ["shingle", "over", "task"])
+            data = np.append(ids.view(np.int64), 0), np.append(counts, lost), np.append(np.zeros(len(ids), bool), True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in data], ["shingle", "over", "task"])
 
         for batch in batches:
             for _, s in shingles_of(batch.column("text")):
                 parts.append(np.unique(s))
                 held, docs = held + len(parts[-1]), docs + 1
                 if held >= HELD:
-                    yield flush()
-                    parts, held, docs = [], 0, 0
+                    prune()
+                    held = 0
+                    if len(ids) >= HELD // 2:  # long texts, few of which are many: nothing is rare among them
+                        yield flush()
+                        ids, counts, docs, lost = ids[:0], counts[:0], 0, 0
             give_back()
-        if parts:
+        if docs:
+            prune()
             yield flush()
         give_back()
 
