@@ -85,10 +85,11 @@ def _gamma_tables():
     return _TABLES[0]
 
 
-def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its words' hashes, and all shingles in order: lower-case words between white space; fewer than n words are one shingle.
+def shingle_blocks(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of texts: their words' hashes and all shingles in order, laid end to end, each with the places where a text's begin. Lower-case words between white
+    space; fewer than n words are one shingle.
 
-    Each distinct word of a block of texts is hashed once.
+    Each distinct word of a run is hashed once.
     """
     ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
     first = 0
@@ -101,12 +102,24 @@ def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray,
         real = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()] > 0 if len(coded) else np.empty(0, bool)
         cuts = np.concatenate([[0], np.cumsum(real)])[np.asarray(listed.offsets) - listed.offsets[0].as_py()]
         ids = ids[real]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            words = ids[a:b]
-            yield words, window_hashes(words, min(n, len(words)) or n)
+        size = np.diff(cuts)
+        hashes, begins = np.zeros(len(ids), np.uint64), np.arange(len(ids)) + n <= np.repeat(cuts[1:], size)
+        runs = window_hashes(ids, n)
+        hashes[: len(runs)] = runs
+        for d in np.flatnonzero((size > 0) & (size < n)).tolist():
+            hashes[cuts[d]], begins[cuts[d]] = window_hashes(ids[cuts[d] : cuts[d + 1]], int(size[d]))[0], True
+        yield ids, cuts, hashes[begins], np.concatenate([[0], np.cumsum(np.where(size < n, size > 0, size - n + 1))])
         first = last
 
 
+def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its words' hashes, and all its shingles in order."""
+    for words, cuts, shingles, bounds in shingle_blocks(texts, n):
+        cuts, bounds = cuts.tolist(), bounds.tolist()
+        for d in range(len(cuts) - 1):
+            yield words[cuts[d] : cuts[d + 1]], shingles[bounds[d] : bounds[d + 1]]
+
+
 def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and document counts of all shingles in at least `share` of the n texts: exact, and at most (mean length / share) of them.
 
@@ -115,22 +128,28 @@ def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COM
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ids, counts, held, docs, lost = [], np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0, 0
+        none = np.empty(0, np.int64)
+        parts, ids, counts, unseen, held, docs, lost = [], none.view(np.uint64), none, none, 0, 0, 0
 
         def prune() -> None:
-            """Merge what is held, and give up what is rare so far: `lost` is the most that a shingle can have had in texts of which its count knows nothing."""
-            nonlocal ids, counts, lost
-            whole = pa.array(np.concatenate([ids, *parts])).dictionary_encode()
-            n = np.bincount(whole.indices.to_numpy(), np.concatenate([counts, np.ones(held, np.int64)]), len(whole.dictionary)).astype(np.int64)
+            """Merge what is held, and give up what is rare so far: `unseen` is the most that was given up of a shingle before its count began, `lost` the most of any."""
+            nonlocal ids, counts, unseen, lost
+            own, n = np.unique(np.concatenate([*parts, ids[:0]]), return_counts=True)
             parts.clear()
+            before = np.full(len(own), lost)
+            at = np.searchsorted(own, ids)
+            at[at == len(own)] = 0
+            met = own[at] == ids if len(own) else np.zeros(len(ids), bool)
+            n[at[met]] += counts[met]
+            before[at[met]] = unseen[met]
+            own, n, before = (np.concatenate([x, y[~met]]) for x, y in ((own, ids), (n, counts), (before, unseen)))
             most = max(lost, math.ceil(share * docs / 2) - 1)
-            keep = n + lost > most
-            if not keep.all():
-                lost += int(n[~keep].max())
-            ids, counts = whole.dictionary.to_numpy()[keep], n[keep]
+            keep = n + before > most
+            lost = max(lost, int((n + before)[~keep].max(initial=0)))
+            ids, counts, unseen = own[keep], n[keep], before[keep]
 
         def flush() -> pa.RecordBatch:
-            data = np.append(ids.view(np.int64), 0), np.append(counts, lost), np.append(np.zeros(len(ids), bool), True)
+            data = np.append(ids.view(np.int64), 0), np.append(counts + unseen - lost, lost), np.append(np.zeros(len(ids), bool), True)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in data], ["shingle", "over", "task"])
 
         for batch in batches:
@@ -142,7 +161,7 @@ def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COM
                     held = 0
                     if len(ids) >= HELD // 2:  # long texts, few of which are many: nothing is rare among them
                         yield flush()
-                        ids, counts, docs, lost = ids[:0], counts[:0], 0, 0
+                        ids, counts, unseen, docs, lost = ids[:0], none, none, 0, 0
             give_back()
         if docs:
             prune()
@@ -159,11 +178,17 @@ def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COM
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = shipped.value
         total = np.zeros(len(maybe), np.int64)
+        sieve = np.zeros(1 << 20, bool)
+        sieve[maybe & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
-            for _, s in shingles_of(batch.column("text")):
-                i = np.searchsorted(maybe, s)
+            for _, _, s, bounds in shingle_blocks(batch.column("text")):
+                hit = np.flatnonzero(sieve[s & np.uint64((1 << 20) - 1)])
+                i = np.searchsorted(maybe, s[hit])
                 i[i == len(maybe)] = 0
-                total[np.unique(i[maybe[i] == s])] += 1
+                real = maybe[i] == s[hit]
+                of = np.searchsorted(bounds, hit[real], "right")
+                total += np.bincount(np.unique(of * len(maybe) + i[real]) % len(maybe), minlength=len(maybe))
+            give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
 
