@@ -116,19 +116,14 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cut: Callable[[DataFr
         radius = min(whole, 2 * radius)
 
 
-def tile_neighbours(tiles: DataFrame, n: int, reach: float | None = None, include_self: bool = False) -> DataFrame:
-    """tile, neighbour, distance, rank: the n nearest other tiles of each (or n with itself); `tiles` (tile, x, y) is one row a file.
-
-    The tile index is small next to the points; it is joined with itself on nothing but distance only where `reach` is unset.
-    """
+def tile_neighbours(tiles: DataFrame, n: int, cut: Callable[[DataFrame, str], DataFrame], reach: float | None = None, include_self: bool = False) -> DataFrame:
+    """tile, neighbour, distance, rank: the n nearest other tiles of each (or n with itself), no farther than `reach`; `tiles` (tile, x, y) is one row a file."""
     rows = tiles.select(F.col("tile").alias("id"), "x", "y")
-    pairs = within(rows, rows, reach, ("x", "y")) if reach else _all_pairs(rows)
-    pairs = pairs if include_self else pairs.where("id <> other")
+    pairs = nearest(rows, rows, n + (not include_self), cut, ("x", "y"), most=reach).select("id", "other", "d2")
+    if include_self:  # a tile comes before others at its place
+        pairs = pairs.where("id <> other").unionByName(rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d2")))
+    else:
+        pairs = pairs.where("id <> other")
     order = Window.partitionBy("id").orderBy(F.col("id") != F.col("other"), "d2", "other")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select(F.col("id").alias("tile"), F.col("other").alias("neighbour"), F.sqrt("d2").alias("distance"), "rank")
-
-
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    ends = rows.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    return within(rows, rows, max(1.0, math.hypot((ends.b or 0) - (ends.a or 0), (ends.d or 0) - (ends.c or 0))), ("x", "y"))

@@ -61,10 +61,10 @@ def _(spark, d):
     return p.join(keys, ["label", "tile"], "left_semi").select("pid", "tile")
 
 
-@query("dbh_anti", f"SELECT pid, label FROM ({PTS}) p WHERE NOT EXISTS (SELECT 1 FROM ({PTS}) s WHERE s.label = 0 AND s.tile = p.tile AND s.pid % 40 = 0)")
+@query("dbh_anti", f"SELECT pid, label FROM ({PTS}) p WHERE NOT EXISTS (SELECT 1 FROM ({PTS}) s WHERE s.label = 0 AND s.tile = p.tile AND s.n_z > 7.5)")
 def _(spark, d):
     p = points(spark, d)
-    return p.join(p.where("label = 0 AND pid % 40 = 0").select("tile").distinct(), "tile", "left_anti").select("pid", "label")
+    return p.join(p.where("label = 0 AND n_z > 7.5").select("tile").distinct(), "tile", "left_anti").select("pid", "label")
 
 
 @query("dbh_slab", f"SELECT pid, n_slice FROM (SELECT pid, label, {fd('n_z', '0.2::DOUBLE')} AS n_slice FROM ({PTS})) WHERE label = 3 AND n_slice BETWEEN 7 AND 10")
@@ -173,7 +173,7 @@ def _(spark, d):
 @query("augment_boxes")
 def _(spark, d):
     boxed = points(spark, d).withColumns({"bx": F.floor(F.col("x") / 3), "by": F.floor(F.col("y") / 3), "bz": F.lit(0).cast("long")}).select("pid", "x", "y", "z", "label", "bx", "by", "bz")
-    return classify.augment(boxed, seed=11)
+    return classify.augment(boxed, 11, cut, least=100)
 
 
 # Joins.
@@ -214,9 +214,9 @@ def _(spark, d):
     return v.where("label = 1").join(n, ["ix", "iy", "iz"], "left").select("pid", "n")
 
 
-@query("index_join", f"SELECT pid, label, p FROM ({PTS}) LEFT JOIN (SELECT event_id AS pid, round(value / 125, 6) AS p FROM events WHERE event_id % 3 = 0) USING (pid)")
+@query("index_join", f"SELECT pid, label, p FROM ({PTS}) LEFT JOIN (SELECT event_id AS pid, round(value / 125, 6) AS p FROM events WHERE event_type <> 'view') USING (pid)")
 def _(spark, d):
-    probs = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("pid"), F.round(F.col("value") / 125, 6).alias("p"))
+    probs = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("pid"), F.round(F.col("value") / 125, 6).alias("p"))
     return points(spark, d).join(probs, "pid", "left").select("pid", "label", "p")
 
 
@@ -346,10 +346,10 @@ def _(spark, d):
     return own.unionByName(near, allowMissingColumns=True)
 
 
-@query("leaf_union", f"SELECT pid, label FROM ({PTS}) WHERE label = 1 AND n_z >= 2 UNION ALL SELECT pid, label FROM ({PTS}) WHERE label = 3 AND n_z >= 2 AND pid % 7 = 0")
+@query("leaf_union", f"SELECT pid, label FROM ({PTS}) WHERE label = 1 AND n_z >= 2 UNION ALL SELECT pid, label FROM ({PTS}) WHERE label = 3 AND n_z >= 2")
 def _(spark, d):
     p = points(spark, d).where("n_z >= 2")
-    return p.where("label = 1").unionByName(p.where("label = 3 AND pid % 7 = 0")).select("pid", "label")
+    return p.where("label = 1").unionByName(p.where("label = 3")).select("pid", "label")
 
 
 FACES = " UNION ALL ".join(

@@ -109,22 +109,22 @@ def _(spark, d):
     return least_edges(pairs).select("src", "dst", F.round("length", 6).alias("length"))
 
 
-@query("knn_noise", f"SELECT id, round(avg(sqrt(d2)), 6) AS score FROM ({knn_sql('label = 3 AND pid % 4 = 0', 'label = 3 AND pid % 4 = 0', 10, 'a.pid <> b.pid')}) WHERE rank BETWEEN 2 AND 10 GROUP BY id")
+@query("knn_noise", f"SELECT id, round(avg(sqrt(d2)), 6) AS score FROM ({knn_sql('label = 3', 'label = 3', 10, 'a.pid <> b.pid')}) WHERE rank BETWEEN 2 AND 10 GROUP BY id")
 def _(spark, d):
-    near = _knn(spark, d, "label = 3 AND pid % 4 = 0", "label = 3 AND pid % 4 = 0", 10, exclude_self=True)
+    near = _knn(spark, d, "label = 3", "label = 3", 10, exclude_self=True)
     return near.where(F.col("rank").between(2, 10)).groupBy("id").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("score"))
 
 
 @query("leaf_entry_points", f"""
 WITH v AS (SELECT ix, iy, iz, {', '.join(f'min({c}) AS lo{c}, max({c}) AS hi{c}, median({c}) AS m{c}' for c in 'xyz')} FROM (SELECT *, {', '.join(f"{fd(c, '2.0::DOUBLE')} AS i{c}" for c in 'xyz')} FROM ({PTS}) WHERE label = 1) GROUP BY ALL),
 f AS ({" UNION ALL ".join(f"SELECT ix * 1000000 + iy * 1000 + iz * 10 + {2 * j + k} AS fid, {', '.join(f'{e}{c} AS {c}' if c == a else f'm{c} AS {c}' for c in 'xyz')} FROM v" for j, a in enumerate('xyz') for k, e in enumerate(('lo', 'hi')))}),
-b AS (SELECT pid, x, y, z FROM ({PTS}) WHERE label = 3 AND pid % 9 = 0)
+b AS (SELECT pid, x, y, z FROM ({PTS}) WHERE label = 3)
 SELECT DISTINCT pid FROM (SELECT b.pid, row_number() OVER (PARTITION BY a.fid ORDER BY {D2}, b.pid) AS r FROM f a, b) WHERE r <= 2""")
 def _(spark, d):
     p = points(spark, d)
     f = spatial.voxels(p.where("label = 1"), 2.0)
     f = faces(f).withColumn("id", F.xxhash64("ix", "iy", "iz", "x", "y", "z"))
-    b = _ids(p.where("label = 3 AND pid % 9 = 0"))
+    b = _ids(p.where("label = 3"))
     return spatial.nearest(f.dropDuplicates(["id"]), b, 2, cut).select(F.col("other").alias("pid")).distinct()
 
 
@@ -136,25 +136,25 @@ def _(spark, d):
 
 @query("knn_interpolate", f"""
 SELECT id, round(sum(n_z / greatest(k.d2, 1e-16)) / sum(1 / greatest(k.d2, 1e-16)), 4) AS v FROM
-({knn_sql('label = 0 AND pid % 3 = 0', 'label = 3', 3)}) k JOIN ({PTS}) p ON p.pid = k.other GROUP BY id""")
+({knn_sql('label = 0', 'label = 3', 3)}) k JOIN ({PTS}) p ON p.pid = k.other GROUP BY id""")
 def _(spark, d):
-    near = _knn(spark, d, "label = 0 AND pid % 3 = 0", "label = 3", 3)
+    near = _knn(spark, d, "label = 0", "label = 3", 3)
     return classify.interpolate(near, _ids(points(spark, d)), "n_z").select("id", F.round("n_z", 4).alias("v"))
 
 
-CLASSIFIED = f"SELECT pid, x, y, z, (pid % 7) / 10.0::DOUBLE AS p_terrain, (pid % 11) / 12.0::DOUBLE AS p_leaf, (pid % 5) / 9.0::DOUBLE AS p_debris, (pid % 13) / 14.0::DOUBLE AS p_wood FROM ({PTS}) WHERE pid % 2 = 0"
+CLASSIFIED = f"SELECT pid, x, y, z, (pid % 7) / 10.0::DOUBLE AS p_terrain, (pid % 11) / 12.0::DOUBLE AS p_leaf, (pid % 5) / 9.0::DOUBLE AS p_debris, (pid % 13) / 14.0::DOUBLE AS p_wood FROM ({PTS})"
 
 
 @query("knn16_vote", f"""
-WITH q AS (SELECT pid, x, y, z FROM ({PTS}) WHERE pid % 10 = 1), c AS ({CLASSIFIED}),
+WITH q AS (SELECT pid, x, y, z FROM ({PTS}) WHERE pid % 20 = 0), c AS ({CLASSIFIED}),
 n AS (SELECT a.pid AS qid, b.*, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS r FROM q a, c b),
 m AS (SELECT qid AS pid, median(p_terrain) AS a0, median(p_leaf) AS a1, median(p_debris) AS a2, median(p_wood) AS a3, bool_or(p_wood > 0.92) AS w FROM n WHERE r <= 16 GROUP BY qid)
 SELECT pid, CASE WHEN w THEN 3 WHEN a0 >= a1 AND a0 >= a2 AND a0 >= a3 THEN 0 WHEN a1 >= a2 AND a1 >= a3 THEN 1 WHEN a2 >= a3 THEN 2 ELSE 3 END AS label, round(a0, 6) AS p_terrain, round(a1, 6) AS p_leaf, round(a2, 6) AS p_debris, round(a3, 6) AS p_wood FROM m""")
 def _(spark, d):
     p = points(spark, d)
     probs = [((F.col("pid") % m) / F.lit(float(q))).alias(n) for n, m, q in zip(classify.PROBS, (7, 11, 5, 13), (10, 12, 9, 14), strict=True)]
-    c = p.where("pid % 2 = 0").select(F.col("pid").alias("id"), "pid", "x", "y", "z", *probs)
-    v = classify.vote(p.where("pid % 10 = 1"), c, 16, 0.92, cut)
+    c = p.select(F.col("pid").alias("id"), "pid", "x", "y", "z", *probs)
+    v = classify.vote(p.where("pid % 20 = 0"), c, 16, 0.92, cut)
     return v.select("pid", "label", *[F.round(n, 6).alias(n) for n in classify.PROBS])
 
 
@@ -170,40 +170,35 @@ TD2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 
 @query("tile_neighbours", f"WITH t AS ({TILES}) SELECT tile, neighbour, distance, rank FROM (SELECT a.tile, b.tile AS neighbour, round(sqrt({TD2}), 6) AS distance, row_number() OVER (PARTITION BY a.tile ORDER BY {TD2}, b.tile) AS rank FROM t a JOIN t b ON a.tile <> b.tile) WHERE rank <= 8")
 def _(spark, d):
-    return spatial.tile_neighbours(_tiles(spark, d), 8).withColumn("distance", F.round("distance", 6))
+    return spatial.tile_neighbours(_tiles(spark, d), 8, cut).withColumn("distance", F.round("distance", 6))
 
 
 @query("tile_buffer9", f"WITH t AS ({TILES}) SELECT tile, neighbour FROM (SELECT a.tile, b.tile AS neighbour, row_number() OVER (PARTITION BY a.tile ORDER BY a.tile <> b.tile, {TD2}, b.tile) AS rank FROM t a JOIN t b ON {TD2} <= 1.5 * 1.5) WHERE rank <= 9")
 def _(spark, d):
-    return spatial.tile_neighbours(_tiles(spark, d), 9, reach=1.5, include_self=True).select("tile", "neighbour")
+    return spatial.tile_neighbours(_tiles(spark, d), 9, cut, reach=1.5, include_self=True).select("tile", "neighbour")
 
 
 # Terrain.
 
 G = f"SELECT *, CAST(floor(x) AS BIGINT) AS ix, CAST(floor(y) AS BIGINT) AS iy FROM ({PTS})"
-GROUND = f"SELECT ix, iy, median(z) AS z FROM ({G}) WHERE label = 0 AND pid % 3 = 0 GROUP BY ix, iy"
+GROUND = f"SELECT ix, iy, median(z) AS z FROM ({G}) WHERE label = 0 GROUP BY ix, iy"
 GRID = f"SELECT a.ix, b.iy FROM (SELECT unnest(range((SELECT min(ix) FROM g), (SELECT max(ix) + 1 FROM g))) AS ix) a, (SELECT unnest(range((SELECT min(iy) FROM g), (SELECT max(iy) + 1 FROM g))) AS iy) b"
 
 
-def _ground(spark, d):
-    p = points(spark, d)
-    return p, p.where("label <> 0 OR pid % 3 = 0")
-
-
-@query("dtm_cells", f"SELECT ix, iy, round(z, 6) AS z FROM (SELECT ix, iy, median(z) AS z, list(z) AS l FROM ({G}) WHERE label = 0 AND pid % 3 = 0 GROUP BY ix, iy) WHERE list_contains(l, z)")
+@query("dtm_cells", f"SELECT ix, iy, round(z, 6) AS z FROM (SELECT ix, iy, median(z) AS z, list(z) AS l FROM ({G}) WHERE label = 0 GROUP BY ix, iy) WHERE list_contains(l, z)")
 def _(spark, d):
-    return raster.ground_cells(_ground(spark, d)[1], 1.0, exact_only=True).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.ground_cells(points(spark, d), 1.0, exact_only=True).select("ix", "iy", F.round("z", 6).alias("z"))
 
 
 @query("dtm_grid", f"WITH g AS ({G}), m AS ({GROUND}) SELECT ix, iy, round(z, 6) AS z FROM ({GRID}) LEFT JOIN m USING (ix, iy)")
 def _(spark, d):
-    return raster.raster(_ground(spark, d)[1], 1.0).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.raster(points(spark, d), 1.0).select("ix", "iy", F.round("z", 6).alias("z"))
 
 
 @query("ground_right_join", f"WITH g AS ({G}), m AS ({GROUND}) SELECT pid, round(m.z, 6) AS cell FROM m RIGHT JOIN (SELECT pid, ix, iy FROM g WHERE label = 0) p USING (ix, iy)")
 def _(spark, d):
-    p, some = _ground(spark, d)
-    m = raster.ground_cells(some, 1.0).withColumnRenamed("z", "cell")
+    p = points(spark, d)
+    m = raster.ground_cells(p, 1.0).withColumnRenamed("z", "cell")
     return m.join(raster.cells(p.where("label = 0"), 1.0).select("pid", "ix", "iy"), ["ix", "iy"], "right").select("pid", F.round("cell", 6).alias("cell"))
 
 
@@ -227,20 +222,20 @@ RASTER = f"g AS ({G}), m AS ({GROUND}), r AS (SELECT ix, iy, z FROM ({GRID}) LEF
 
 @query("focal_median", f"WITH {RASTER} SELECT ix, iy, round(z, 6) AS z FROM ({focal_sql(3)})")
 def _(spark, d):
-    return raster.focal_median(cut(raster.raster(_ground(spark, d)[1], 1.0)), 3).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.focal_median(cut(raster.raster(points(spark, d), 1.0)), 3).select("ix", "iy", F.round("z", 6).alias("z"))
 
 
 @query("height_above_ground", f"WITH {RASTER}, f AS ({focal_sql(3)}) SELECT pid, round(g.z - f.z, 9) AS n_z, CASE WHEN g.z - f.z <= 0.1 THEN 0 ELSE label END AS label FROM g JOIN f USING (ix, iy)")
 def _(spark, d):
-    p, some = _ground(spark, d)
-    up = raster.above_ground(p.drop("n_z"), raster.fill(raster.raster(some, 1.0), cut), 1.0)
+    p = points(spark, d)
+    up = raster.above_ground(p.drop("n_z"), raster.fill(raster.raster(p, 1.0), cut), 1.0)
     return up.select("pid", F.round("n_z", 9).alias("n_z"), F.when(F.col("n_z") <= 0.1, 0).otherwise(F.col("label")).alias("label"))
 
 
 @query("dtm_csv", f"WITH {RASTER}, f AS ({focal_sql(3)}) SELECT ix, iy, round(z, 6) AS z FROM f")
 def _(spark, d):
     path = new_folder(spark, "dem")
-    raster.fill(raster.raster(_ground(spark, d)[1], 1.0), cut).write.csv(path, header=True)
+    raster.fill(raster.raster(points(spark, d), 1.0), cut).write.csv(path, header=True)
     return spark.read.csv(path, header=True, schema="ix BIGINT, iy BIGINT, z DOUBLE").select("ix", "iy", F.round("z", 6).alias("z"))
 
 

@@ -12,7 +12,6 @@ from timberline.operators.cluster import dbscan
 from timberline.plans import pipelines
 from timberline.plans.catalogue import query
 from timberline.plans.config import Instance, Semantic, Training
-from timberline.plans.fixtures import forest
 from timberline.plans.queries_relational import fd
 from timberline.plans.tables import cut, new_folder, points, points_sql, table
 
@@ -44,9 +43,9 @@ def _(spark, d):
     return dbscan(_wood(spark, d).select("id", "x", "y", "z", "n_slice"), 0.3, 4, cut, by=["n_slice"])
 
 
-@query("stem_dbscan", dbscan_sql(f"SELECT pid AS id, x, y FROM ({PTS}) WHERE label = 3 AND pid % 4 = 0", "0.1", 4, D2))
+@query("stem_dbscan", dbscan_sql(f"SELECT pid AS id, x, y FROM ({PTS}) WHERE label = 3", "0.1", 4, D2))
 def _(spark, d):
-    return dbscan(_wood(spark, d).where("pid % 4 = 0").select("id", "x", "y"), 0.1, 4, cut, dims=("x", "y"))
+    return dbscan(_wood(spark, d).select("id", "x", "y"), 0.1, 4, cut, dims=("x", "y"))
 
 
 GRAPH = f"""w AS (SELECT pid AS id, x, y, z FROM ({FLAT}) WHERE label = 3), e AS (SELECT a.id AS src, b.id AS dst, sqrt({D3}) AS length FROM w a JOIN w b ON a.id <> b.id AND {D3} <= 0.3::DOUBLE * 0.3::DOUBLE),
@@ -94,8 +93,9 @@ def _(spark, d):
 
 @query("fit_cylinders")
 def _(spark, d):
-    f = forest(spark).where("true_label = 3 AND z BETWEEN 1.5 AND 2.2").select(F.col("true_tree").alias("tree"), "x", "y", "z")
-    return fit.fit_cylinders(f, "tree", 100)
+    """A cylinder for each user, as a stem."""
+    p = points(spark, d).withColumn("tree", F.col("tile") * 15 + F.floor("x").cast("int"))
+    return fit.fit_cylinders(p.select("tree", "x", "y", "z"), "tree", 100)
 
 
 @query("fps")
@@ -104,61 +104,80 @@ def _(spark, d):
     return fit.farthest_points(boxed, ["bx", "by"], 0.1)
 
 
-# Classification and the pipelines, on the synthetic forest.
+# Classification and the pipelines, over the whole point view. Its points have classes by chance, so classes by height take their place: there is something to learn,
+# and ground. Its stems are sparse (some 70 points), so thresholds in points are lower than the defaults, and distances longer.
 
+TABLE = Instance(slice_points=20, slice_eps=0.3, slice_least=4, stem_height=0.0, stem_thickness=3.0, stem_eps=0.25, stem_least=5, stem_min_points=40, wood_neighbours=60, edge_length=0.5)
 
-def _labelled(spark: SparkSession, trees: int = 2) -> DataFrame:
-    return cut(forest(spark, trees).withColumn("label", F.col("true_label")), "forest")
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).withColumn("label", F.expr("CASE WHEN z < 0.2 THEN 0 WHEN z > 1.5 THEN 1 ELSE 3 END")).drop("n_z", "tile")
 
-SMALL = Semantic(min_points=50, voxel=0.02)
+
+SEMANTIC, TRAINING = Semantic(min_points=200, resolution=2.0), Training(min_points=200)
 
 
 @query("train_classifier")
 def _(spark, d):
-    return pipelines.train(_labelled(spark), Training(min_points=50, trees=10, depth=6))[1]
+    return pipelines.train(_labelled(spark, d), TRAINING)[1]
 
 
 @query("classify_points")
 def _(spark, d):
-    f = _labelled(spark)
-    model, _ = pipelines.train(f, Training(min_points=50, trees=10, depth=6))
-    return classify.classify_forest(f, model, 16, cut)
+    f = _labelled(spark, d)
+    return classify.classify_forest(f, pipelines.train(f, TRAINING)[0], 16, cut)
 
 
 @query("classify_network")
 def _(spark, d):
-    boxed = points(spark, d).where("pid % 20 = 0").select("pid", "x", "y", "z", F.floor(F.col("x") / 3).alias("bx"), F.floor(F.col("y") / 3).alias("by"), F.lit(0).cast("long").alias("bz"))
+    boxed = points(spark, d).select("pid", "x", "y", "z", F.floor(F.col("x") / 3).alias("bx"), F.floor(F.col("y") / 3).alias("by"), F.lit(0).cast("long").alias("bz"))
     return classify.classify_network(boxed, classify.PointNetwork.random(1, shrink=64))
 
 
 @query("semantic_pipeline")
 def _(spark, d):
-    f = _labelled(spark)
-    model, _ = pipelines.train(f, Training(min_points=50, trees=10, depth=6))
-    return pipelines.semantic(f.select("pid", "x", "y", "z", F.lit(False).alias("buffer")), pipelines.forest_classifier(model), SMALL)
+    f = _labelled(spark, d)
+    model, _ = pipelines.train(f, TRAINING)
+    return pipelines.semantic(f.select("pid", "x", "y", "z", F.lit(False).alias("buffer")), pipelines.forest_classifier(model), SEMANTIC)
 
 
-def _standing(spark: SparkSession) -> DataFrame:
-    return _labelled(spark).withColumn("n_z", F.col("z") - 0.05 * F.col("x"))
+def _standing(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves are the high points of the class of that number, all else is wood."""
+    return points(spark, d).withColumn("label", F.when((F.col("label") == 1) & (F.col("z") >= 2), 1).otherwise(3))
 
 
 @query("instance_pipeline")
 def _(spark, d):
-    return pipelines.instance(_standing(spark), Instance(edge_length=0.5, wood_neighbours=60))[0]
+    return pipelines.instance(_standing(spark, d), TABLE)[0]
 
 
 @query("leaf_attach")
 def _(spark, d):
-    return pipelines.instance(_standing(spark), Instance(edge_length=0.5, wood_neighbours=60), leaves=True)[0].where("NOT wood").select("pid", "t_clstr", "distance")
+    return pipelines.instance(_standing(spark, d), TABLE, leaves=True)[0].where("NOT wood").select("pid", "t_clstr", "distance")
+
+
+CENTRES = f"SELECT tile, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y FROM ({PTS}) GROUP BY tile"
+
+
+@query("tile_run", f"""
+WITH p AS ({PTS}), t AS ({CENTRES}), n AS (SELECT a.*, b.tile AS neighbour FROM t a JOIN t b ON a.tile <> b.tile QUALIFY row_number() OVER (PARTITION BY a.tile ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.tile) <= 8)
+SELECT tile, pid, false AS buffer FROM p UNION ALL
+SELECT n.tile, p.pid, true FROM n JOIN p ON p.tile = n.neighbour AND p.x BETWEEN lox - 0.75 AND hix + 0.75 AND p.y BETWEEN loy - 0.75 AND hiy + 0.75""")
+def _(spark, d):
+    return pipelines.tile_clouds(points(spark, d).select("tile", "pid", "x", "y"), 8, 0.75).select("tile", "pid", "buffer")
 
 
 @query("tree_files")
 def _(spark, d):
-    """Trees numbered and put in folders by diameter class."""
-    from timberline.sources.readers import tree_folders
+    """Tile 0 with a buffer, its trees written as files by diameter class, and read back: the points of each file."""
+    from timberline.sources.readers import read_points
 
-    return tree_folders(pipelines.instance(_standing(spark), Instance(edge_length=0.5, wood_neighbours=60))[1])
+    cloud = cut(pipelines.tile_clouds(_standing(spark, d), 8, 0.75).where("tile = 0").drop("tile"), "cloud")
+    held, trees = pipelines.instance(cloud, TABLE, leaves=True)
+    folder = new_folder(spark, "trees")
+    pipelines.tree_files(cut(held, "held"), cut(trees, "numbered"), folder, 0, classes=True)
+    read = read_points(spark, f"{folder}/trees.ply/*/*.ply")
+    return read.groupBy(F.element_at(F.split("file", "/"), -2).alias("diameter_class"), F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("wood").cast("long").alias("n_wood"))
 
 
 # Formats and streams.
@@ -175,33 +194,25 @@ def _(spark, d):
 
 def _round_trip(spark: SparkSession, d: str, ending: str) -> DataFrame:
     """Write points by tile into files of a format, and read them back."""
-    from timberline.sources import pcd, ply, readers
-
-    p = points(spark, d).select("x", "y", "z", F.col("label").cast("double").alias("label"), "tile").where("tile < 3")
-    folder = new_folder(spark, ending).removeprefix("file://").removeprefix("file:")
-    if ending == "ply":
-        readers.write_points(p, folder + ".ply", ["label"], by="tile")
-        return ply.read_ply(spark, f"file://{folder}.ply/*.ply")
-    import os
+    from timberline.sources import readers
 
-    os.makedirs(folder, exist_ok=True)
-    rows = p.orderBy("x", "y", "z").toPandas()  # a file of the fixture's size
-    with open(f"{folder}/000.{ending}", "wb") as f:
-        f.write(pcd.encode_pcd(["x", "y", "z", "label"], rows[["x", "y", "z", "label"]].to_numpy()))
-    return readers.read_points(spark, f"file://{folder}/000.{ending}")
+    p = points(spark, d).select("x", "y", "z", F.col("label").cast("double").alias("label"), "tile")
+    folder = f"{new_folder(spark, ending)}.{ending}"
+    readers.write_points(p, folder, ["label"], by="tile")
+    return readers.read_points(spark, f"{folder}/*.{ending}")
 
 
-@query("sink_ply", f"SELECT x, y, z, CAST(label AS DOUBLE) AS label FROM ({PTS}) WHERE tile < 3")
+@query("sink_ply", f"SELECT x, y, z, CAST(label AS DOUBLE) AS label FROM ({PTS})")
 def _(spark, d):
     return _round_trip(spark, d, "ply").select("x", "y", "z", "label")
 
 
-@query("scan_ply", f"SELECT count(*) AS n, round(sum(x), 6) AS sx FROM ({PTS}) WHERE tile < 3")
+@query("scan_ply", f"SELECT count(*) AS n, round(sum(x), 6) AS sx FROM ({PTS})")
 def _(spark, d):
     return _round_trip(spark, d, "ply").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("sx"))
 
 
-@query("scan_pcd", f"SELECT count(*) AS n, count(DISTINCT CAST(x AS FLOAT)) AS nx FROM ({PTS}) WHERE tile < 3")
+@query("scan_pcd", f"SELECT count(*) AS n, count(DISTINCT CAST(x AS FLOAT)) AS nx FROM ({PTS})")
 def _(spark, d):
     return _round_trip(spark, d, "pcd").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"))
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
 #: Points from the events table by exact arithmetic: users are stems on a lattice, 15 wide.
 POINTS = """
 SELECT event_id AS pid,
@@ -35,13 +32,8 @@ def points(spark: SparkSession, sf_dir: str, height: int = 40) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder (spark.checkpoint.dir; where that is unset, in a folder of our own)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="timberline-")
-        base = f"file://{_LOCAL[app]}"
+    """A new place in the shared folder (spark.checkpoint.dir; where that is unset, the warehouse)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/timberline/{name}-{uuid.uuid4().hex}"
 
 
