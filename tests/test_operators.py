@@ -128,6 +128,94 @@ def test_network_gives_probabilities():
     assert q.shape == (120, 4) and np.allclose(q.sum(axis=1), 1)
 
 
+def test_thinning_by_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, g, *map(float, r), 0.2 if g else 0.0) for g in (0, 1, 2) for i, r in enumerate(rng.uniform(0, 1 if g < 2 else 0.1, (60, 3)))]
+    got = classify.thin(spark.createDataFrame(rows, "pid int, g int, x double, y double, z double, s double"), "s", 5, cut, by=["g"]).collect()
+    by = {g: np.array([(r.x, r.y, r.z) for r in got if r.g == g]) for g in (0, 1, 2)}
+    d = ((by[1][:, None] - by[1][None]) ** 2).sum(axis=2) + np.eye(len(by[1]))
+    assert len(by[0]) == 60 == len(by[2]) and 5 <= len(by[1]) < 60 and d.min() >= 0.2**2
+
+
+def test_augmented_boxes(spark):
+    p = spark.range(4000).select((F.col("id") % 8).alias("bx"), F.lit(0).alias("by"), F.lit(0).alias("bz"), F.col("id").alias("pid"), *[E.unit("id", seed=i).alias(c) for i, c in enumerate("xyz")], F.lit(3).alias("label"))
+    got = {r.bx: r.n for r in classify.augment(p, 3, cut, least=100).groupBy("bx").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(got) == 8 and all(100 <= n <= 500 for n in got.values()) and sum(n > 450 for n in got.values()) >= 4
+    whole = classify.augment(p, 3, cut, least=500)  # boxes of no more than `least` points lose none
+    assert whole.count() == 4000 and whole.select("x").join(p.select("x"), "x", "left_semi").count() == 0
+
+
+def test_network_layers_are_normalised(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    net = classify.PointNetwork.random(2, shrink=128)
+    plain = net(rng.uniform(0, 1, (50, 3)))
+    for name in [k for k in net.w if k.endswith(".w") and k != "head.1.w"]:
+        n = net.w[name].shape[1]
+        net.w |= {name[:-1] + k: v for k, v in zip(classify.NORM, (rng.normal(size=n), rng.uniform(0.5, 2, n), rng.normal(size=n), rng.normal(size=n)), strict=True)}
+    (tmp_path / "net.npz").write_bytes(net.to_npz())
+    again = classify.PointNetwork.load(spark, f"file://{tmp_path}/net.npz")
+    assert again.w.keys() == net.w.keys()
+    w, x = again.w, rng.normal(size=(5, 3))
+    norm = lambda layer, v: (v - w[f"{layer}.mean"]) / np.sqrt(w[f"{layer}.var"] + 1e-5) * w[f"{layer}.scale"] + w[f"{layer}.shift"]
+    want = x
+    for i in range(3):
+        want = norm(f"sa1.{i}", np.maximum(want @ w[f"sa1.{i}.w"] + w[f"sa1.{i}.b"], 0))
+    assert np.allclose(again._layers("sa1", x), want)
+    h = rng.normal(size=(5, w["head.0.w"].shape[0]))
+    want = np.maximum(norm("head.0", h @ w["head.0.w"] + w["head.0.b"]), 0) @ w["head.1.w"] + w["head.1.b"]
+    assert np.allclose(again._layers("head", h), want) and plain.shape == (50, 4)
+    q = again(rng.uniform(0, 1, (50, 3)))
+    assert np.allclose(q.sum(axis=1), 1)
+
+
+def test_neighbours_where_half_the_points_are_in_one_place(spark):
+    rng = np.random.default_rng(21)
+    p = np.concatenate([rng.uniform(0, 100, (1500, 3)), 50 + rng.uniform(0, 0.05, (1500, 3))])
+    rows = cloud(spark, [(i, *map(float, r)) for i, r in enumerate(p)], "id x y z")
+    got = spatial.nearest(rows, rows, 4, cut, exclude_self=True).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("n")).collect()
+    d = ((p[:, None] - p[None]) ** 2).sum(axis=2) + np.diag(np.full(len(p), np.inf))
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert len(got) == 3000 and all([x.other for x in r.n] == want[r.id].tolist() for r in got)
+
+
+def test_terrain_is_filled_over_a_wide_gap(spark):
+    known = {(0, 0): 1.0, (1, 0): 2.0, (11, 6): 5.0, (0, 6): 3.0}
+    cells = spark.createDataFrame([(x, y, known.get((x, y))) for x in range(12) for y in range(7)], "ix long, iy long, z double")
+    got = {(r.ix, r.iy): r.z for r in raster.fill(cells, cut).collect()}
+
+    def focal(size):
+        mirror = lambda i, n: (i % (2 * n)) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+        h = size // 2
+        out = {}
+        for x in range(12):
+            for y in range(7):
+                v = [known[c] for a in range(-h, h + 1) for b in range(-h, h + 1) if (c := (mirror(x + a, 12), mirror(y + b, 7))) in known]
+                out[x, y] = float(np.median(v)) if v else None
+        return out
+
+    size = 3
+    while None in focal(size).values():
+        size += 2
+    assert size > 5 and got == focal(size)
+
+
+def test_trees_of_a_tile_with_its_buffer(spark, tmp_path):
+    f = forest(spark, 2, ground=5, stem=1300, leaves=150).withColumn("label", F.col("true_label")).withColumn("n_z", F.col("z") - 0.05 * F.col("x"))
+    f = cut(f.withColumn("tile", F.when(F.col("x") < 4, 1).otherwise(2)))
+    clouds = cut(pipelines.tile_clouds(f, 8, 5.0))
+    assert {(r.tile, r.buffer) for r in clouds.select("tile", "buffer").distinct().collect()} == {(1, False), (1, True), (2, False), (2, True)}
+    p = Instance(edge_length=0.5, wood_neighbours=40, leaf_height=1.0)
+    held, trees = pipelines.instance(clouds.where("tile = 1").drop("tile"), p, leaves=True)
+    held, trees = cut(held), cut(trees)
+    assert trees.count() == 1 and held.where("wood").select("x").where("x > 4").count() == 0 and held.where("NOT wood").count() > 0
+    pipelines.tree_files(held, trees, f"file://{tmp_path}/out", 1, classes=True)
+    from timberline.sources.readers import read_points
+
+    read = read_points(spark, f"file://{tmp_path}/out/trees.ply/*/*.ply")
+    n = {r.file.rsplit("/", 1)[-1]: r.n for r in read.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {"001_T0.leafoff.ply": held.where("wood").count(), "001_T0.leafon.ply": held.count()}
+
+
 def test_trees_are_found_and_told_apart(spark):
     f = cut(forest(spark, 2, ground=5, stem=1300, leaves=150).withColumn("label", F.col("true_label")).withColumn("n_z", F.col("z") - 0.05 * F.col("x")))
     held, trees = pipelines.instance(f, Instance(edge_length=0.5, wood_neighbours=40))

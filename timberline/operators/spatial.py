@@ -15,6 +15,10 @@ XYZ = ("x", "y", "z")
 CELLS = {"x": "ix", "y": "iy", "z": "iz"}
 
 
+#: How far above the average the densest cell may be, and how often cells are halved for that at most (points at one place can't be told apart by any).
+CROWD, HALVINGS = 32, 12
+
+
 def voxels(points: DataFrame, size: float, dims: Sequence[str] = XYZ) -> DataFrame:
     """Add the voxel's integer indices ix, iy, iz."""
     return points.withColumns({CELLS[d]: floor_div(d, size) for d in dims})
@@ -83,8 +87,10 @@ def within(left: DataFrame, right: DataFrame, eps: float, dims: Sequence[str] =
 def nearest(queries: DataFrame, points: DataFrame, k: int, cut: Callable[[DataFrame, str], DataFrame], dims: Sequence[str] = XYZ, exclude_self: bool = False, most: float | None = None) -> DataFrame:
     """The k nearest of `points` to each of `queries`: id, other, d2, rank (from 1; ties by the other's id). Both have id and the dimensions.
 
-    With `most`, those no farther than it, by one distance join. Else the radius starts at what holds k points on average, and queries that found
-    fewer than k try again with twice the radius, until all have k or all points: whoever finds k within a radius has the k nearest.
+    With `most`, those no farther than it, by one distance join. Else the radius starts at what holds k points on average, or less where some cell of that size holds
+    more than CROWD times as many (clouds are dense near the scanner), and queries that found
+    fewer than k try again with twice the radius, until all have k or all points: whoever finds k within a radius has the k nearest. So a query meets about as many
+    points in a dense place as in a sparse one.
     """
     order = Window.partitionBy("id").orderBy("d2", "other")
 
@@ -102,6 +108,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cut: Callable[[DataFr
     whole = math.sqrt(sum(s * s for s in spans)) * (1 + 1e-9) + 1e-9
     flat = [s for s in spans if s > 0] or [1.0]
     radius = min(whole, (math.prod(flat) * (k + 1) / size.n) ** (1 / len(flat)))
+    for _ in range(HALVINGS):
+        cell = [F.floor(F.col(d) / F.lit(radius)) for d in dims]
+        crowd = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if crowd <= CROWD * (k + 1):
+            break
+        radius /= 2
     found, left = None, queries.select("id", *dims)
     while True:
         got = cut(ranked(within(left, points, radius, dims)), "near")
