@@ -601,3 +601,36 @@ def test_pipeline_runs_and_its_stages_hold(spark):
                 first.setdefault(k, d)
             assert kept == set(first.values())
     assert docs.count() == before.count()
+
+
+def test_chat_and_urls_on_odd_tables(spark):
+    turns = "conv_id long, turn long, role string, text string, turns string, _n int, _key string"
+    long = "x" * 200_000
+    rows = [(1, 0, "user", "q", "t", 1, "k"), (1, 1, "assistant", long, "t", 1, "k"), (1, 1, "assistant", long, "t", 1, "k"), (1, 2, "assistant", "b", None, 1, "k"), (2, 0, "user", "", "t", 1, "k")]
+    form = lambda df: chat_format.format_preferences(chat_format.echo_pairs(chat_format.conversations(df)))
+    got = {r.conv_id: r for r in form(spark.createDataFrame(rows, turns)).collect()}
+    assert got[1].prompt_turns == 2 and long in got[1].prompt and got[1].chosen == "<|assistant|>\nb<|end|>\n" and got[1].rejected.count("x") == 200_000 and got[2].prompt_turns == 1
+    assert form(spark.createDataFrame([], turns)).count() == 0
+    pages = "page_id long, url string, html string, host string, path string, rule string, src string, verdict string"
+    rest = ("h", "p", "r", "s", "v")
+    rows = [(1, "http://a.net/" + "y" * 100_000, None, *rest), (1, "http://a.net/" + "y" * 100_000, None, *rest), (None, "http://b.org/fr/", "", *rest), (3, "", "<a href=", *rest)]
+    got = url_filter.judge(spark.createDataFrame(rows, pages)).collect()
+    assert sorted((r.page_id or 0, r.host, r.rule or "", r.verdict) for r in got) == [(0, "b.org", "org/fr/", "allow"), (1, "a.net", "net/", "block"), (1, "a.net", "net/", "block"), (3, "", "", "allow")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stages_on_odd_rows(spark, odd, none):
+    import corpus_pipeline as c
+
+    clash = {"digest": "_key", "key": "text_key", "size": "row", "n": "at0"}
+    rows, empty = odd.withColumnsRenamed(clash), none.withColumnsRenamed(clash)
+    sf = "/root/testdata/sf0.001"
+    kept = {}
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, rows, sf)
+        assert got.columns == rows.columns and stage(spark, empty, sf).count() == 0
+        kept[name] = got.collect()
+        assert all((r._key, r.text_key, r.row, r.at0) == (0, "k", 1, 2) for r in kept[name])
+    ids = {k: sorted(r.doc_id or 0 for r in v) for k, v in kept.items()}
+    assert not {1, 2, 3} & set(ids["quality"]) and ids["exact_dedup"] == [0, 1, 3, 4, 7, 8, 9] and ids["near_dedup"] == [0, 1, 4, 7, 9] and ids["decontaminate"] == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9]
+    assert c.STAGES[-1][1](spark, rows, sf).count() == 10 and c.STAGES[-1][1](spark, empty, sf).count() == 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import materialize, null_safe_join
+from timberline.llm.common import Rounds, materialize, null_safe_join
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +26,8 @@ class Rule:
 #: Fixed values of the contract.
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 STEPS, DAMPING, THRESHOLD = 12, 0.85, 0.4
+#: Steps that one plan takes before its result is written.
+WRITTEN = 3
 
 
 def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -65,25 +68,27 @@ def host_edges(hosts: DataFrame, links: DataFrame) -> DataFrame:
     return links.unionByName(both).unionByName(loops).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, table: Callable[[DataFrame, str], DataFrame] = materialize, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust, each as a share of what reaches the host at all.
 
     `seeds` has host, pages, trusted, blocked (numbers of pages). Trust is personalised PageRank along the edges from trusted pages; distrust
     the same along reversed edges from blocked pages, so a host that links to blocked ones takes it on. Both are divided by
-    the PageRank of all pages over the same edges. Each step is a join and a sum over one row an edge, written to the shared folder.
+    the PageRank of all pages over the same edges. Each step is a join and a sum over one row an edge; every third is written to the shared folder, by `table`.
+    After STEPS steps 0.85 ** 12, or a seventh, of the weight has not yet settled; it is spread as the steps before have spread it.
     """
     ways = edges.select(F.lit("trust").alias("way"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = ways.groupBy("way", "src").agg(F.sum("weight").alias("_out"))
-    ways = materialize(null_safe_join(ways, total, ["way", "src"]).select("way", "src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "edges")
+    ways = table(null_safe_join(ways, total, ["way", "src"]).select("way", "src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "edges")
     n = seeds.agg(F.sum("pages")).first()[0] or 1
     start = seeds.select(F.lit("trust").alias("way"), "host", (F.col("pages") / n).alias("all0"), (F.col("trusted") / n).alias("own0"))
-    start = materialize(start.unionByName(seeds.select(F.lit("distrust").alias("way"), "host", (F.col("pages") / n).alias("all0"), (F.col("blocked") / n).alias("own0"))), "seeds")
+    start = table(start.unionByName(seeds.select(F.lit("distrust").alias("way"), "host", (F.col("pages") / n).alias("all0"), (F.col("blocked") / n).alias("own0"))), "seeds")
     state = start.withColumnsRenamed({"all0": "all", "own0": "own"})
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         sent = null_safe_join(ways, state.withColumnRenamed("host", "src"), ["way", "src"])
         got = sent.groupBy("way", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("all")).alias("all"), F.sum(F.col("share") * F.col("own")).alias("own"))
         moved = null_safe_join(start, got, ["way", "host"], "left")
-        state = materialize(moved.select("way", "host", *[((1 - damping) * F.col(f"{c}0") + damping * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("all", "own")]), "rank")
+        state = moved.select("way", "host", *[((1 - damping) * F.col(f"{c}0") + damping * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("all", "own")])
+        state = state if step % WRITTEN else table(state, "rank")
     share = F.when(F.col("all") > 0, F.col("own") / F.col("all")).otherwise(F.lit(0.0))
     pick = lambda way: F.max(F.when(F.col("way") == way, share)).alias(way)
     return state.groupBy("host").agg(pick("trust"), pick("distrust"))
@@ -98,20 +103,22 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     well; each of their distinct linked urls counts as a page, under the rule that fits it. Hosts that hold any share of the pages are
     reduced to one row a task before they move. An empty table gives no rows.
     """
-    known = with_host(pages.select("page_id", "url")).withColumn("rule", rule_of(rules)).drop("url")
-    verdicts = {str(r): r.verdict for r in rules}
-    says = F.lit(None).cast("string")
-    for name, verdict in verdicts.items():
-        says = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(says)
-    known = known.withColumn("says", says)
-    counted = lambda v: F.count(F.when(F.col("says") == v, 1))
-    seeds_of = lambda df: df.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), counted("allow").alias("trusted"), counted("block").alias("blocked"))
-    crawled = materialize(seeds_of(known), "hosts")
-    links = materialize(host_links(with_host(pages.select("url", "html")).select("host", "html")), "links")
-    linked = links.select(F.col("dst").alias("host"), "path").distinct().join(crawled.select("host"), "host", "left_anti").withColumn("rule", rule_of(rules)).withColumn("says", says)
-    seeds = materialize(crawled.unionByName(seeds_of(linked)), "seeds")
-    edges = host_edges(seeds.select("host"), links)
-    ranks = materialize(propagate(edges, seeds), "ranks")
-    out = null_safe_join(known, ranks, ["host"], "left")
-    worse = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(worse, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    with Rounds(pages.sparkSession, "urls") as rounds:
+        known = with_host(pages.select("page_id", "url")).withColumn("rule", rule_of(rules)).drop("url")
+        verdicts = {str(r): r.verdict for r in rules}
+        says = F.lit(None).cast("string")
+        for name, verdict in verdicts.items():
+            says = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(says)
+        known = known.withColumn("says", says)
+        counted = lambda v: F.count(F.when(F.col("says") == v, 1))
+        seeds_of = lambda df: df.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), counted("allow").alias("trusted"), counted("block").alias("blocked"))
+        crawled = rounds.table(seeds_of(known), "hosts")
+        links = rounds.table(host_links(with_host(pages.select("url", "html")).select("host", "html")), "links")
+        linked = links.select(F.col("dst").alias("host"), "path").distinct().join(crawled.select("host"), "host", "left_anti").withColumn("rule", rule_of(rules)).withColumn("says", says)
+        seeds = rounds.table(crawled.unionByName(seeds_of(linked)), "seeds")
+        edges = host_edges(seeds.select("host"), links)
+        ranks = rounds.table(propagate(edges, seeds, rounds.table), "ranks")
+        out = null_safe_join(known, ranks, ["host"], "left")
+        worse = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
+        out = out.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(worse, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+        return rounds.result(out)
