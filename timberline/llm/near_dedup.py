@@ -27,8 +27,8 @@ HELD, CHUNK = 3_000_000, 1 << 16
 TOGETHER = 2_000_000
 #: Samples of which a pair must agree in so many to be tested: of one of similarity 0.8 fewer agree with a chance of 1 in 100,000.
 AGREEING = 10
-#: Members of a bucket that a task holds and tests among each other; larger buckets are first dealt to groups of about TOGETHER.
-HELD_TOGETHER, TOGETHER = 512, 64
+#: Members of a bucket that a task holds and tests among each other; larger buckets are first dealt to groups of about DEALT.
+HELD_TOGETHER, DEALT = 512, 64
 
 _U = (np.arange(65536) + 0.5) / 65536
 
@@ -424,7 +424,7 @@ def _large(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float,
     return _merged(labels, cut(_tested_together(blocks, sets, least), "links"), cut)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, held: int = HELD_TOGETHER, together: int = TOGETHER) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, held: int = HELD_TOGETHER, together: int = DEALT) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, text_key (a hash of its text), class_id (the smallest doc_id of its class), class_size, kept (one row of each class;
     rows that are the same in doc_id and text share the verdict).
 

@@ -30,7 +30,7 @@ TAIL, LEAST, OUTSIDE = 0.01, 50, 5
 SHARD_ROWS, PART_LETTERS = 250_000, 500_000_000
 #: Letters that n-grams are made of at once, letters of a block of documents, n-grams that a task takes together before it merges equal ones, and
 #: distinct ones that it gathers before it reports them.
-PIECE, BLOCK, MERGED, GATHERED = 500_000, 16_000_000, 1_000_000, 300_000
+PIECE, BLOCK, MERGED, GATHERED = 300_000, 16_000_000, 700_000, 300_000
 START = "\x02"
 
 
