@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import unit_hash
+from timberline.llm.common import BROADCAST_ROWS, unit_hash
 
 #: Bound of the sample that a model is learned from, in characters of distinct texts (in expectation), dealt evenly to the languages.
 TRAIN_CHARS = 6_000_000
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
     sizes = rows.groupBy("lang", "hash").agg(F.max(F.length("text")).alias("chars")).groupBy("lang").agg(F.sum("chars").alias("chars"))
     sizes = sizes.withColumn("languages", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # a row for each language
     share = sizes.select("lang", (train_chars / F.col("languages") / F.greatest("chars", F.lit(1))).alias("share"))
+    share = F.broadcast(share) if rows.select("lang").distinct().count() <= BROADCAST_ROWS else share  # else all texts would move by language
     drawn = rows.join(share, "lang").where(unit_hash(F.col("hash"), seed=7) < F.col("share"))
     sample = drawn.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
