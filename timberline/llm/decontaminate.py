@@ -208,16 +208,19 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int, rou
     fits = fits | F.forall(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda s: (F.element_at("stands", s["a"]) == s["b"]) & (F.element_at("back", s["b"]) == s["a"]))
     met = null_safe_join(met, slots, where, "left").where(fits).select(*where, "place", "size", "n_windows", "typed", "n_typed", F.coalesce("same", F.lit(True)).alias("same"))
     # Runs of windows at consecutive places along a diagonal.
-    by_diagonal = met.groupBy(*where).agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set(F.when(F.col("typed"), F.col("place"))).alias("typed"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.min("same").alias("same"))
+    by_diagonal = met.groupBy(*where).agg(F.collect_set(F.struct("place", "typed")).alias("hits"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.min("same").alias("same"))
+    by_diagonal = by_diagonal.withColumn("places", F.sort_array(F.array_distinct(F.col("hits.place"))))
     longest = F.aggregate(
         "places", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
         lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1)).alias("now"), F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1))).alias("best")),
         lambda acc: acc["best"],
     )
     by_diagonal = by_diagonal.withColumn("run", longest + F.col("size") - 1)
-    found = by_diagonal.groupBy("doc_id", "text_key", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.first("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("typed")))).alias("typed"), F.first("n_typed").alias("n_typed"), F.max("run").alias("run"), F.max("same").alias("same")
+    # Sets of the item's places: bounded by the item, however many diagonals a long text shares with it.
+    hits = by_diagonal.select("doc_id", "text_key", "item_id", "n_windows", "n_typed", "run", "same", F.explode("hits").alias("hit"))
+    found = hits.groupBy("doc_id", "text_key", "item_id").agg(
+        F.size(F.collect_set("hit.place")).alias("found"), F.first("n_windows").alias("n_windows"),
+        F.size(F.collect_set(F.when(F.col("hit.typed"), F.col("hit.place")))).alias("typed"), F.first("n_typed").alias("n_typed"), F.max("run").alias("run"), F.max("same").alias("same")
     )
     found = found.withColumn("coverage", F.greatest(F.col("found") / F.col("n_windows"), F.when(F.col("n_typed") > 0, F.col("typed") / F.col("n_typed")))).where((F.col("coverage") >= coverage) | (F.col("run") >= run))
     return found.select("doc_id", "text_key", "item_id", F.round("coverage", 4).alias("coverage"), F.col("run").cast("int").alias("run"), F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"))
