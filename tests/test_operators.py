@@ -29,6 +29,39 @@ def test_diameter_class(spark):
     assert [spark.range(1).select(E.diameter_class(F.lit(r))).first()[0] for r in (0.04, 0.05, 0.12)] == ["0.0", "0.1", "0.2"]
 
 
+def test_rounding_is_that_of_sql_at_ties(spark):
+    import duckdb
+
+    values = [3 / 20000, 0.00465, 0.05, 2.675, -2.5, -0.00015, *(k / 20000 for k in range(1, 2000, 2))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for digits in (0, 1, 4):
+        want = [duckdb.execute(f"SELECT round(?::DOUBLE, {digits})", [v]).fetchone()[0] for v in values]
+        assert [r.r for r in df.select("i", E.rounded("v", digits).alias("r")).orderBy("i").collect()] == want
+
+
+def suppliers(spark, folder):
+    """Balances whose radius is a tie in its fourth place, and where two of a tile are equal only if rounded as SQL does."""
+    rows = [(1, "a", 0, -997.0), (2, "b", 0, -998.0), (3, "c", 0, -971.0), (400, "n", 1, None), *((i, "d", i % 3, -1000 + (i * 37 % 9000 + 0.5) * 2) for i in range(4, 400))]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    from timberline.plans import catalogue
+
+    catalogue.load()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/supplier.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, folder)
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLES[name]})").fetchall(), key=repr)
+
+
+def test_diameter_classes_where_radii_are_ties(spark, tmp_path):
+    same_as_sql(spark, suppliers(spark, tmp_path), "diameter_class")
+
+
 def test_even_ground_cells_have_no_value_where_only_exact_medians_count(spark):
     p = spark.createDataFrame([(1, 0.1, 0.1, 1.0, 0), (2, 0.2, 0.2, 2.0, 0), (3, 0.7, 0.1, 5.0, 0)], "pid int, x double, y double, z double, label int")
     assert {(r.ix, r.iy): r.z for r in raster.ground_cells(p).collect()} == {(0, 0): 1.5, (1, 0): 5.0}

@@ -18,6 +18,13 @@ def floor_div(v: Column | str, step: float) -> Column:
     return F.round((v - F.pmod(v, F.lit(float(step)))) / F.lit(float(step))).cast("long")
 
 
+def rounded(v: Column | str, digits: int) -> Column:
+    """Rounding as SQL engines on doubles do it: scaled up, to the nearest whole number (halves away from 0), scaled down. Spark's own rounds the decimal
+    that the number is printed as, which differs at ties: 3 / 20000 to four places is 0.0001 here (it is just below 1.5 when scaled), and 0.0002 there."""
+    scale = F.lit(10.0**digits)
+    return F.round(col(v) * scale) / scale
+
+
 def snap(v: Column | str, step: float) -> Column:
     """The lower edge of v's interval on the lattice of `step`."""
     return floor_div(v, step) * F.lit(float(step))
@@ -72,5 +79,5 @@ def rotate(x: Column, y: Column, z: Column, roll: Column, pitch: Column, yaw: Co
 
 
 def diameter_class(radius: Column | str) -> Column:
-    """Lower edge of the tenth-of-a-metre class that the diameter lies in, with one decimal."""
-    return F.format_string("%.1f", floor_div(2 * col(radius), 0.1) / F.lit(10.0))
+    """Lower edge of the tenth-of-a-metre class that the diameter lies in, with one decimal; null without a radius."""
+    return F.when(col(radius).isNotNull(), F.format_string("%.1f", floor_div(2 * col(radius), 0.1) / F.lit(10.0)))

@@ -48,7 +48,7 @@ def _slice(p: DataFrame) -> DataFrame:
 
 @query("slice_index", f"SELECT pid, n_slice, round(n_slice * 0.2::DOUBLE, 6) AS slice FROM (SELECT pid, {fd('n_z', '0.2::DOUBLE')} AS n_slice FROM ({PTS}))")
 def _(spark, d):
-    return _slice(points(spark, d)).select("pid", "n_slice", F.round(F.col("n_slice") * 0.2, 6).alias("slice"))
+    return _slice(points(spark, d)).select("pid", "n_slice", E.rounded(F.col("n_slice") * 0.2, 6).alias("slice"))
 
 
 SLAB = f"SELECT DISTINCT label, tile FROM ({PTS}) WHERE {fd('n_z', '0.2::DOUBLE')} BETWEEN 7 AND 10"
@@ -77,8 +77,8 @@ def _(spark, d):
 
 @query("plot_stats", f"SELECT round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax, round(min(x) + (max(x) - min(x)) / 2, 6) AS cx, round(min(y) + (max(y) - min(y)) / 2, 6) AS cy FROM ({PTS})")
 def _(spark, d):
-    aggs = [F.round(F.avg(c), 6).alias(f"m{c}") for c in "xyz"] + [f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
-    centre = lambda c: F.round(F.min(c) + (F.max(c) - F.min(c)) / 2, 6).alias(f"c{c}")
+    aggs = [E.rounded(F.avg(c), 6).alias(f"m{c}") for c in "xyz"] + [f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    centre = lambda c: E.rounded(F.min(c) + (F.max(c) - F.min(c)) / 2, 6).alias(f"c{c}")
     return points(spark, d).agg(*aggs, centre("x"), centre("y"))
 
 
@@ -86,7 +86,7 @@ def _(spark, d):
 def _(spark, d):
     p = points(spark, d)
     mean = p.agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    return p.crossJoin(F.broadcast(mean)).select("pid", *[F.round(F.col(c) - F.col(f"m{c}"), 6).alias(c) for c in "xyz"])  # one row is sent
+    return p.crossJoin(F.broadcast(mean)).select("pid", *[E.rounded(F.col(c) - F.col(f"m{c}"), 6).alias(c) for c in "xyz"])  # one row is sent
 
 
 EMB = "SELECT vec_id, label, CAST(embedding[{0}] AS DOUBLE) AS v{0} FROM embeddings"
@@ -104,7 +104,7 @@ def _(spark, d):
 
 @query("softmax", f"SELECT vec_id, round(exp(v[1] - m) / t, 6) AS p0, round(exp(v[2] - m) / t, 6) AS p1, round(exp(v[3] - m) / t, 6) AS p2, round(exp(v[4] - m) / t, 6) AS p3 FROM (SELECT *, exp(v[1] - m) + exp(v[2] - m) + exp(v[3] - m) + exp(v[4] - m) AS t FROM (SELECT *, list_max(v) AS m FROM ({E4})))")
 def _(spark, d):
-    return _scores(spark, d).select("vec_id", E.softmax("v").alias("p")).select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(4)])
+    return _scores(spark, d).select("vec_id", E.softmax("v").alias("p")).select("vec_id", *[E.rounded(F.col("p")[i], 6).alias(f"p{i}") for i in range(4)])
 
 
 OVERRIDE = f"SELECT vec_id, CASE WHEN v[1] / 10 + 0.5 <= 0.45 THEN 0 WHEN v[4] > 0.2 THEN 3 ELSE CAST(list_position(v, list_max(v)) - 1 AS INTEGER) END AS label FROM ({E4})"
@@ -123,7 +123,7 @@ BOX = "CAST(floor(x / 3) AS INT)"
 @query("block_local_shift", f"SELECT pid, round(x - round_even(avg(x) OVER (PARTITION BY {BOX}), 0), 6) AS x FROM ({PTS})")
 def _(spark, d):
     box = Window.partitionBy(F.floor(F.col("x") / 3).cast("int"))
-    return points(spark, d).select("pid", F.round(F.col("x") - F.rint(F.avg("x").over(box)), 6).alias("x"))
+    return points(spark, d).select("pid", E.rounded(F.col("x") - F.rint(F.avg("x").over(box)), 6).alias("x"))
 
 
 @query("isclose_filter", f"SELECT pid, x FROM ({PTS}) WHERE abs(x - 3.2) <= 0.05 + 1e-5 * abs(3.2)")
@@ -154,7 +154,7 @@ SELECT pid, round(x2 * cos({_Y}) - y1 * sin({_Y}), 6) AS x, round(x2 * sin({_Y})
 (SELECT pid, x, y * cos({_R}) - z * sin({_R}) AS y1, y * sin({_R}) + z * cos({_R}) AS z1 FROM ({PTS})))""")
 def _(spark, d):
     x, y, z = E.rotate(*[F.col(c) for c in "xyz"], F.lit(_R), F.lit(_P), F.lit(_Y))
-    return points(spark, d).select("pid", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"))
+    return points(spark, d).select("pid", E.rounded(x, 6).alias("x"), E.rounded(y, 6).alias("y"), E.rounded(z, 6).alias("z"))
 
 
 @query("random_scale")
@@ -216,7 +216,7 @@ def _(spark, d):
 
 @query("index_join", f"SELECT pid, label, p FROM ({PTS}) LEFT JOIN (SELECT event_id AS pid, round(value / 125, 6) AS p FROM events WHERE event_type <> 'view') USING (pid)")
 def _(spark, d):
-    probs = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("pid"), F.round(F.col("value") / 125, 6).alias("p"))
+    probs = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("pid"), E.rounded(F.col("value") / 125, 6).alias("p"))
     return points(spark, d).join(probs, "pid", "left").select("pid", "label", "p")
 
 
@@ -232,14 +232,14 @@ def _(spark, d):
 
 @query("skeleton_median", f"SELECT tile, n_slice, round(median(x), 6) AS x, round(median(y), 6) AS y, round(median(z), 6) AS z, count(*) AS n FROM (SELECT *, {fd('n_z', '0.2::DOUBLE')} AS n_slice FROM ({PTS})) GROUP BY ALL")
 def _(spark, d):
-    return _slice(points(spark, d)).groupBy("tile", "n_slice").agg(*[F.round(F.median(c), 6).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))
+    return _slice(points(spark, d)).groupBy("tile", "n_slice").agg(*[E.rounded(F.median(c), 6).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))
 
 
 @query("leaf_voxel_stats", f"SELECT ix, iy, iz, min(x) AS xmin, max(x) AS xmax, round(median(x), 6) AS xmed, min(z) AS zmin, max(z) AS zmax, round(median(z), 6) AS zmed FROM ({LEAF}) WHERE label = 1 GROUP BY ALL")
 def _(spark, d):
     from timberline.operators.spatial import voxels
 
-    stats = [g for c in "xz" for g in (F.min(c).alias(f"{c}min"), F.max(c).alias(f"{c}max"), F.round(F.median(c), 6).alias(f"{c}med"))]
+    stats = [g for c in "xz" for g in (F.min(c).alias(f"{c}min"), F.max(c).alias(f"{c}max"), E.rounded(F.median(c), 6).alias(f"{c}med"))]
     return voxels(points(spark, d).where("label = 1"), 0.5).groupBy("ix", "iy", "iz").agg(*stats)
 
 
@@ -248,7 +248,7 @@ def _(spark, d):
     from timberline.operators.raster import cells
 
     cell = Window.partitionBy("ix", "iy")
-    return cells(points(spark, d).where("label = 0")).select("pid", F.round(F.col("z") - F.median("z").over(cell), 6).alias("dz"))
+    return cells(points(spark, d).where("label = 0")).select("pid", E.rounded(F.col("z") - F.median("z").over(cell), 6).alias("dz"))
 
 
 @query("tree_size_filter", f"SELECT pid, tree, n AS cnt, first AS cclstr FROM (SELECT pid, tree, count(*) OVER (PARTITION BY tree) AS n, min(pid) OVER (PARTITION BY tree) AS first FROM (SELECT pid, CASE WHEN label = 3 THEN tile END AS tree FROM ({PTS})) WHERE tree IS NOT NULL) WHERE n > 300")
@@ -272,7 +272,7 @@ def _(spark, d):
 
 @query("coef_variation", "SELECT l_suppkey, round(stddev_pop(l_extendedprice) / avg(l_extendedprice), 6) AS cv FROM lineitem GROUP BY l_suppkey")
 def _(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.stddev_pop("l_extendedprice") / F.avg("l_extendedprice"), 6).alias("cv"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(E.rounded(F.stddev_pop("l_extendedprice") / F.avg("l_extendedprice"), 6).alias("cv"))
 
 
 @query("distinct_trees", f"SELECT DISTINCT tile, label FROM ({PTS})")
@@ -294,7 +294,7 @@ def _(spark, d):
 @query("epoch_accuracy", f"SELECT vec_id % 5 AS epoch, round(avg(CASE WHEN list_position(v, list_max(v)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS acc, count(*) AS n FROM ({E4}) GROUP BY 1")
 def _(spark, d):
     rows = _scores(spark, d).select((F.col("vec_id") % 5).alias("epoch"), (E.argmax("v") == F.col("label")).cast("double").alias("ok"))
-    return rows.groupBy("epoch").agg(F.round(F.avg("ok"), 6).alias("acc"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("epoch").agg(E.rounded(F.avg("ok"), 6).alias("acc"), F.count(F.lit(1)).alias("n"))
 
 
 # Windows, order and sampling.
@@ -317,7 +317,7 @@ def _(spark, d):
 
 @query("diameter_class", f"SELECT s_suppkey, printf('%.1f', {fd('2 * radius', '0.1::DOUBLE')} / 10.0::DOUBLE) AS diameter_class FROM ({RADII})")
 def _(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.round((F.col("s_acctbal") + 1000) / 20000, 4).alias("radius"))
+    s = table(spark, d, "supplier").select("s_suppkey", E.rounded((F.col("s_acctbal") + 1000) / 20000, 4).alias("radius"))
     return s.select("s_suppkey", E.diameter_class("radius").alias("diameter_class"))
 
 
@@ -332,7 +332,7 @@ def _(spark, d):
 
 @query("dedupe_rows", f"SELECT DISTINCT round(x, 1) AS x, round(y, 1) AS y, label FROM ({PTS})")
 def _(spark, d):
-    return points(spark, d).select(F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), "label").dropDuplicates()
+    return points(spark, d).select(E.rounded("x", 1).alias("x"), E.rounded("y", 1).alias("y"), "label").dropDuplicates()
 
 
 # Set operations.
@@ -370,13 +370,13 @@ def _(spark, d):
     from timberline.operators.spatial import voxels
 
     f = faces(voxels(points(spark, d).where("label = 1"), 0.5))
-    return f.select("ix", "iy", "iz", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return f.select("ix", "iy", "iz", *[E.rounded(c, 6).alias(c) for c in "xyz"])
 
 
 @query("accept_stems", "SELECT l_suppkey, round(r, 6) AS radius, cnt, round(cv, 6) AS cv FROM (SELECT l_suppkey, avg(l_discount) AS r, count(*) AS cnt, stddev_pop(l_quantity) / avg(l_quantity) AS cv FROM lineitem GROUP BY 1) WHERE r > 0.025 AND cnt > 590 AND cv <= 0.57")
 def _(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("radius"), F.count(F.lit(1)).alias("cnt"), (F.stddev_pop("l_quantity") / F.avg("l_quantity")).alias("cv"))
-    return accepted(rows, 0.025, 590, 0.57).select("l_suppkey", F.round("radius", 6).alias("radius"), "cnt", F.round("cv", 6).alias("cv"))
+    return accepted(rows, 0.025, 590, 0.57).select("l_suppkey", E.rounded("radius", 6).alias("radius"), "cnt", E.rounded("cv", 6).alias("cv"))
 
 
 def accepted(cylinders: DataFrame, radius: float, points_: int, cv: float) -> DataFrame:

@@ -17,7 +17,7 @@ CELL3 = ", ".join(f"{fd(c, '0.2::DOUBLE')} AS i{c}" for c in "xyz")
 @query("voxel_stats", f"SELECT ix, iy, iz, count(*) AS n, round(median(x), 6) AS mx, min(pid) AS first FROM (SELECT *, {CELL3} FROM ({HIGH})) GROUP BY ALL")
 def _(spark, d):
     v = spatial.voxels(points(spark, d, 8), 0.2)
-    return v.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("x"), 6).alias("mx"), F.min("pid").alias("first"))
+    return v.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), E.rounded(F.median("x"), 6).alias("mx"), F.min("pid").alias("first"))
 
 
 @query("voxel_first", f"SELECT pid, ix, iy, iz FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY pid % 2, pid) AS r FROM (SELECT *, {CELL3} FROM ({PTS}))) WHERE r = 1")
@@ -66,7 +66,7 @@ def _wood(spark, d):
 @query("eps_pairs", f"WITH w AS {WOOD} SELECT a.pid AS id, b.pid AS other, round(sqrt({D2}), 6) AS distance FROM w a JOIN w b ON {D2} <= 0.3::DOUBLE * 0.3::DOUBLE")
 def _(spark, d):
     w = _wood(spark, d)
-    return spatial.within(w, w, 0.3).select("id", "other", F.round(F.sqrt("d2"), 6).alias("distance"))
+    return spatial.within(w, w, 0.3).select("id", "other", E.rounded(F.sqrt("d2"), 6).alias("distance"))
 
 
 @query("eps_pairs_slice", f"WITH w AS {WOOD} SELECT a.pid AS id, b.pid AS other, a.n_slice FROM w a JOIN w b ON a.n_slice = b.n_slice AND {D2} <= 0.3::DOUBLE * 0.3::DOUBLE")
@@ -91,7 +91,7 @@ def _knn(spark, d, q, p, k, **more):
 
 @query("knn_join", f"SELECT id, other, round(sqrt(d2), 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ({knn_sql('label = 0', 'label = 3', 5)})")
 def _(spark, d):
-    return _knn(spark, d, "label = 0", "label = 3", 5).select("id", "other", F.round(F.sqrt("d2"), 6).alias("distance"), "rank")
+    return _knn(spark, d, "label = 0", "label = 3", 5).select("id", "other", E.rounded(F.sqrt("d2"), 6).alias("distance"), "rank")
 
 
 EDGES = f"""
@@ -106,13 +106,13 @@ def _(spark, d):
     w = _wood(spark, d)
     near = spatial.nearest(w, w, 20, cut, exclude_self=True, most=0.5)  # ranks count neighbours of the same cluster too
     pairs = near.select((F.col("id") % 97).alias("src"), (F.col("other") % 97).alias("dst"), F.sqrt("d2").alias("length"))
-    return least_edges(pairs).select("src", "dst", F.round("length", 6).alias("length"))
+    return least_edges(pairs).select("src", "dst", E.rounded("length", 6).alias("length"))
 
 
 @query("knn_noise", f"SELECT id, round(avg(sqrt(d2)), 6) AS score FROM ({knn_sql('label = 3', 'label = 3', 10, 'a.pid <> b.pid')}) WHERE rank BETWEEN 2 AND 10 GROUP BY id")
 def _(spark, d):
     near = _knn(spark, d, "label = 3", "label = 3", 10, exclude_self=True)
-    return near.where(F.col("rank").between(2, 10)).groupBy("id").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("score"))
+    return near.where(F.col("rank").between(2, 10)).groupBy("id").agg(E.rounded(F.avg(F.sqrt("d2")), 6).alias("score"))
 
 
 @query("leaf_entry_points", f"""
@@ -139,7 +139,7 @@ SELECT id, round(sum(n_z / greatest(k.d2, 1e-16)) / sum(1 / greatest(k.d2, 1e-16
 ({knn_sql('label = 0', 'label = 3', 3)}) k JOIN ({PTS}) p ON p.pid = k.other GROUP BY id""")
 def _(spark, d):
     near = _knn(spark, d, "label = 0", "label = 3", 3)
-    return classify.interpolate(near, _ids(points(spark, d)), "n_z").select("id", F.round("n_z", 4).alias("v"))
+    return classify.interpolate(near, _ids(points(spark, d)), "n_z").select("id", E.rounded("n_z", 4).alias("v"))
 
 
 CLASSIFIED = f"SELECT pid, x, y, z, (pid % 7) / 10.0::DOUBLE AS p_terrain, (pid % 11) / 12.0::DOUBLE AS p_leaf, (pid % 5) / 9.0::DOUBLE AS p_debris, (pid % 13) / 14.0::DOUBLE AS p_wood FROM ({PTS})"
@@ -155,7 +155,7 @@ def _(spark, d):
     probs = [((F.col("pid") % m) / F.lit(float(q))).alias(n) for n, m, q in zip(classify.PROBS, (7, 11, 5, 13), (10, 12, 9, 14), strict=True)]
     c = p.select(F.col("pid").alias("id"), "pid", "x", "y", "z", *probs)
     v = classify.vote(p.where("pid % 20 = 0"), c, 16, 0.92, cut)
-    return v.select("pid", "label", *[F.round(n, 6).alias(n) for n in classify.PROBS])
+    return v.select("pid", "label", *[E.rounded(n, 6).alias(n) for n in classify.PROBS])
 
 
 TILES = "SELECT CAST(n_nationkey AS INTEGER) AS tile, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y FROM nation"
@@ -170,7 +170,7 @@ TD2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 
 @query("tile_neighbours", f"WITH t AS ({TILES}) SELECT tile, neighbour, distance, rank FROM (SELECT a.tile, b.tile AS neighbour, round(sqrt({TD2}), 6) AS distance, row_number() OVER (PARTITION BY a.tile ORDER BY {TD2}, b.tile) AS rank FROM t a JOIN t b ON a.tile <> b.tile) WHERE rank <= 8")
 def _(spark, d):
-    return spatial.tile_neighbours(_tiles(spark, d), 8, cut).withColumn("distance", F.round("distance", 6))
+    return spatial.tile_neighbours(_tiles(spark, d), 8, cut).withColumn("distance", E.rounded("distance", 6))
 
 
 @query("tile_buffer9", f"WITH t AS ({TILES}) SELECT tile, neighbour FROM (SELECT a.tile, b.tile AS neighbour, row_number() OVER (PARTITION BY a.tile ORDER BY a.tile <> b.tile, {TD2}, b.tile) AS rank FROM t a JOIN t b ON {TD2} <= 1.5 * 1.5) WHERE rank <= 9")
@@ -187,19 +187,19 @@ GRID = f"SELECT a.ix, b.iy FROM (SELECT unnest(range((SELECT min(ix) FROM g), (S
 
 @query("dtm_cells", f"SELECT ix, iy, round(z, 6) AS z FROM (SELECT ix, iy, median(z) AS z, list(z) AS l FROM ({G}) WHERE label = 0 GROUP BY ix, iy) WHERE list_contains(l, z)")
 def _(spark, d):
-    return raster.ground_cells(points(spark, d), 1.0, exact_only=True).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.ground_cells(points(spark, d), 1.0, exact_only=True).select("ix", "iy", E.rounded("z", 6).alias("z"))
 
 
 @query("dtm_grid", f"WITH g AS ({G}), m AS ({GROUND}) SELECT ix, iy, round(z, 6) AS z FROM ({GRID}) LEFT JOIN m USING (ix, iy)")
 def _(spark, d):
-    return raster.raster(points(spark, d), 1.0).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.raster(points(spark, d), 1.0).select("ix", "iy", E.rounded("z", 6).alias("z"))
 
 
 @query("ground_right_join", f"WITH g AS ({G}), m AS ({GROUND}) SELECT pid, round(m.z, 6) AS cell FROM m RIGHT JOIN (SELECT pid, ix, iy FROM g WHERE label = 0) p USING (ix, iy)")
 def _(spark, d):
     p = points(spark, d)
     m = raster.ground_cells(p, 1.0).withColumnRenamed("z", "cell")
-    return m.join(raster.cells(p.where("label = 0"), 1.0).select("pid", "ix", "iy"), ["ix", "iy"], "right").select("pid", F.round("cell", 6).alias("cell"))
+    return m.join(raster.cells(p.where("label = 0"), 1.0).select("pid", "ix", "iy"), ["ix", "iy"], "right").select("pid", E.rounded("cell", 6).alias("cell"))
 
 
 MIRROR = "CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END"
@@ -222,21 +222,21 @@ RASTER = f"g AS ({G}), m AS ({GROUND}), r AS (SELECT ix, iy, z FROM ({GRID}) LEF
 
 @query("focal_median", f"WITH {RASTER} SELECT ix, iy, round(z, 6) AS z FROM ({focal_sql(3)})")
 def _(spark, d):
-    return raster.focal_median(cut(raster.raster(points(spark, d), 1.0)), 3).select("ix", "iy", F.round("z", 6).alias("z"))
+    return raster.focal_median(cut(raster.raster(points(spark, d), 1.0)), 3).select("ix", "iy", E.rounded("z", 6).alias("z"))
 
 
 @query("height_above_ground", f"WITH {RASTER}, f AS ({focal_sql(3)}) SELECT pid, round(g.z - f.z, 9) AS n_z, CASE WHEN g.z - f.z <= 0.1 THEN 0 ELSE label END AS label FROM g JOIN f USING (ix, iy)")
 def _(spark, d):
     p = points(spark, d)
     up = raster.above_ground(p.drop("n_z"), raster.fill(raster.raster(p, 1.0), cut), 1.0)
-    return up.select("pid", F.round("n_z", 9).alias("n_z"), F.when(F.col("n_z") <= 0.1, 0).otherwise(F.col("label")).alias("label"))
+    return up.select("pid", E.rounded("n_z", 9).alias("n_z"), F.when(F.col("n_z") <= 0.1, 0).otherwise(F.col("label")).alias("label"))
 
 
 @query("dtm_csv", f"WITH {RASTER}, f AS ({focal_sql(3)}) SELECT ix, iy, round(z, 6) AS z FROM f")
 def _(spark, d):
     path = new_folder(spark, "dem")
     raster.fill(raster.raster(points(spark, d), 1.0), cut).write.csv(path, header=True)
-    return spark.read.csv(path, header=True, schema="ix BIGINT, iy BIGINT, z DOUBLE").select("ix", "iy", F.round("z", 6).alias("z"))
+    return spark.read.csv(path, header=True, schema="ix BIGINT, iy BIGINT, z DOUBLE").select("ix", "iy", E.rounded("z", 6).alias("z"))
 
 
 @query("min_spacing")

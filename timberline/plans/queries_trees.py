@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.functions.exprs import floor_div
+from timberline.functions.exprs import floor_div, rounded
 from timberline.operators import classify, fit, graph, spatial
 from timberline.operators.cluster import dbscan
 from timberline.plans import pipelines
@@ -65,7 +65,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("multi_source_sp", f"WITH RECURSIVE {GRAPH} SELECT id, round(s.d, 6) AS distance, s.base AS base, s.pred AS pred FROM sp")
 def _(spark, d):
-    return _paths(spark, d).select("id", F.round("distance", 6).alias("distance"), "base", "pred")
+    return _paths(spark, d).select("id", rounded("distance", 6).alias("distance"), "base", "pred")
 
 
 @query("path_tips", f"WITH RECURSIVE {GRAPH} SELECT id FROM sp WHERE id NOT IN (SELECT s.pred FROM sp WHERE s.pred IS NOT NULL)")
@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("tree_assignment", f"WITH RECURSIVE {GRAPH} SELECT s.base AS tree, count(*) AS n, round(max(s.d), 6) AS reach FROM sp GROUP BY 1")
 def _(spark, d):
-    return _paths(spark, d).groupBy(F.col("base").alias("tree")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("distance"), 6).alias("reach"))
+    return _paths(spark, d).groupBy(F.col("base").alias("tree")).agg(F.count(F.lit(1)).alias("n"), rounded(F.max("distance"), 6).alias("reach"))
 
 
 # Fits.
@@ -209,7 +209,7 @@ def _(spark, d):
 
 @query("scan_ply", f"SELECT count(*) AS n, round(sum(x), 6) AS sx FROM ({PTS})")
 def _(spark, d):
-    return _round_trip(spark, d, "ply").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("sx"))
+    return _round_trip(spark, d, "ply").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("x"), 6).alias("sx"))
 
 
 @query("scan_pcd", f"SELECT count(*) AS n, count(DISTINCT CAST(x AS FLOAT)) AS nx FROM ({PTS})")
