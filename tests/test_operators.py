@@ -258,3 +258,7 @@ def test_trees_are_found_and_told_apart(spark):
     assert np.allclose([r.radius for r in trees.orderBy("number").collect()], want, rtol=0.05)
     none, no_trees = pipelines.instance(f.where("label <> 3"), Instance())
     assert none.count() == 0 == no_trees.count()
+
+
+def test_trees_are_numbered_as_sql_rounds_their_radii(spark, tmp_path):
+    same_as_sql(spark, suppliers(spark, tmp_path), "tree_numbering")

@@ -311,8 +311,8 @@ RADII = "SELECT s_suppkey, s_nationkey AS tile, round((s_acctbal + 1000) / 20000
 
 @query("tree_numbering", f"SELECT s_suppkey, tile, radius, row_number() OVER (PARTITION BY tile ORDER BY radius DESC, s_suppkey) - 1 AS number FROM ({RADII})")
 def _(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("tile"), F.round((F.col("s_acctbal") + 1000) / 20000, 4).alias("radius"))
-    return s.withColumn("number", (F.row_number().over(Window.partitionBy("tile").orderBy(F.desc("radius"), "s_suppkey")) - 1).cast("long"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("tile"), E.rounded((F.col("s_acctbal") + 1000) / 20000, 4).alias("radius"))
+    return s.withColumn("number", (F.row_number().over(Window.partitionBy("tile").orderBy(F.desc_nulls_last("radius"), F.asc_nulls_last("s_suppkey"))) - 1).cast("long"))
 
 
 @query("diameter_class", f"SELECT s_suppkey, printf('%.1f', {fd('2 * radius', '0.1::DOUBLE')} / 10.0::DOUBLE) AS diameter_class FROM ({RADII})")
