@@ -262,3 +262,27 @@ def test_trees_are_found_and_told_apart(spark):
 
 def test_trees_are_numbered_as_sql_rounds_their_radii(spark, tmp_path):
     same_as_sql(spark, suppliers(spark, tmp_path), "tree_numbering")
+
+
+def test_many_stems_are_fitted_together(spark):
+    """Some 200 sparse stems take seconds (one sample at a time, they took over a minute), are the same as each by itself, and are whole where a batch ends within them."""
+    import time
+
+    rng = np.random.default_rng(3)
+    turn, height, radius = rng.uniform(0, 2 * np.pi, (200, 70)), rng.uniform(0, 0.5, (200, 70)), np.linspace(0.1, 0.3, 200)[:, None] + rng.normal(0, 0.005, (200, 70))
+    clouds = [np.stack([r * np.cos(t) + i, r * np.sin(t), h], axis=1) for i, (r, t, h) in enumerate(zip(radius, turn, height, strict=True))]
+    began = time.process_time()
+    stems = fit.fit_stems([*clouds, clouds[0][:20], clouds[0][:0]], 100, range(202))
+    assert time.process_time() - began < 25
+    assert np.allclose([s[0] for s in stems[:200]], np.linspace(0.1, 0.3, 200), rtol=0.05)
+    assert math.isnan(stems[200][0]) and stems[200][4:] == (math.inf, 20) and stems[201][4:] == (math.inf, 0)
+    assert np.allclose(fit.fit_stem(clouds[7], 100, 7), stems[7], rtol=1e-9)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    try:
+        p = spark.createDataFrame([(i, *map(float, r)) for i in range(0, 200, 10) for r in clouds[i]], "tree int, x double, y double, z double")
+        got = {r.tree: r for r in fit.fit_cylinders(p, "tree", 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(got) == 20 and all(r.cnt == 70 for r in got.values())
+    assert np.allclose([got[i].radius for i in range(0, 200, 10)], np.linspace(0.1, 0.3, 200)[::10], rtol=0.06)
