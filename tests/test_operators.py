@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timberline.functions import exprs as E
 from timberline.operators import classify, cluster, fit, graph, raster, spatial
 from timberline.plans import pipelines
-from timberline.plans.config import Instance, stem_slices
+from timberline.plans.config import Instance, Training, stem_slices
 from timberline.plans.fixtures import forest, radius_of
 from timberline.plans.tables import cut
 
@@ -286,3 +286,13 @@ def test_many_stems_are_fitted_together(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert len(got) == 20 and all(r.cnt == 70 for r in got.values())
     assert np.allclose([got[i].radius for i in range(0, 200, 10)], np.linspace(0.1, 0.3, 200)[::10], rtol=0.06)
+
+
+def test_training_describes_its_points_once(spark, monkeypatch):
+    described, plain = [], classify.features
+    monkeypatch.setattr(classify, "features", lambda *a: described.append(1) or plain(*a))
+    rng = np.random.default_rng(5)
+    p = spark.createDataFrame([(i, float(x), float(y), float(z), 0 if z < 1 else 1) for i, (x, y, z) in enumerate(rng.uniform(0, 2, (150, 3)))], "pid long, x double, y double, z double, label int")
+    _, history = pipelines.train(p, Training(min_points=20, trees=3, depth=3, neighbours=6))
+    row = history.first()
+    assert len(described) == 1 and row.epoch == 1 and row.acc > 0.5
