@@ -121,6 +121,29 @@ def test_paths_ties_and_untouched_sources(spark):
     assert got == {1: (0, 1, None), 5: (0, 5, None), 2: (1, 1, 1), 3: (2, 1, 2), 4: (2.5, 1, 3)}
 
 
+def test_a_round_of_a_graph_is_one_run(spark):
+    chain = cut(spark.range(1, 40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("length")), "chain")
+    runs, written = spark._jsparkSession.sharedState().statusStore(), []
+
+    def counted(df, name):
+        written.append(name)
+        return cut(df, name)
+
+    before = runs.executionsCount()
+    labels = graph.connected_components(spark.range(1, 42), chain, counted)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert runs.executionsCount() - before == len(written) <= 10
+    assert {r.id: r.component for r in labels.collect()} == {i: 1 if i < 41 else 41 for i in range(1, 42)}
+    written.clear()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = runs.executionsCount()
+    paths = graph.shortest_paths(chain.where("src < 10"), spark.range(1, 2), counted)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert runs.executionsCount() - before == len(written)
+    assert {r.id: r.distance for r in paths.collect()} == {i: i - 1.0 for i in range(1, 11)}
+    assert graph.connected_components(spark.range(0), chain.limit(0), cut).isEmpty()
+
+
 def test_hull_keeps_what_is_outside():
     rng = np.random.default_rng(0)
     cube = np.array([[x, y, z] for x in (0, 1) for y in (0, 1) for z in (0, 1)], float)
