@@ -121,6 +121,21 @@ def test_paths_ties_and_untouched_sources(spark):
     assert got == {1: (0, 1, None), 5: (0, 5, None), 2: (1, 1, 1), 3: (2, 1, 2), 4: (2.5, 1, 3)}
 
 
+def test_a_round_of_neighbours_is_two_runs(spark):
+    rows, runs, written = cut(cloud(spark, [(i, i / 10, 0.0, 0.0) for i in range(60)] + [(99, 500.0, 0.0, 0.0)], "id x y z"), "rows"), spark._jsparkSession.sharedState().statusStore(), []
+
+    def counted(df, name):
+        written.append(name)
+        return cut(df, name)
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = runs.executionsCount()
+    spatial.nearest(rows.where("id > 55"), rows, 2, counted)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written.count("left") > 1
+    assert runs.executionsCount() - before == len(written) + 3  # the extents of both sides, the densest cell
+
+
 def test_a_round_of_a_graph_is_one_run(spark):
     chain = cut(spark.range(1, 40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("length")), "chain")
     runs, written = spark._jsparkSession.sharedState().statusStore(), []
