@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -498,6 +499,35 @@ def test_common_shingles_are_counted_exactly(spark):
     assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == {h: n for h, n in want.items() if n >= 0.05 * len(texts)}
 
 
+def test_shingles_of_a_task_are_merged_in_little_memory():
+    random = np.random.default_rng(1)
+    often = np.sort(random.integers(0, 2**64, 50, np.uint64))
+    tally = near_dedup.Tally(0.01)
+    for _ in range(400):
+        tally.add(np.union1d(random.integers(0, 2**64, 5000, np.uint64), often))
+    held = tally.held * 8
+    tracemalloc.start()
+    tally.prune()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * held  # merged at once it takes more than five times what is held
+    assert (tally.ids == often).all() and (tally.counts == 400).all() and not tally.unseen.any() and tally.lost == 1
+    for _ in range(3):
+        tally.add(often[:20])
+    tally.prune()
+    assert (tally.ids == often).all() and (tally.counts[:20] == 403).all() and (tally.counts[20:] == 400).all()
+
+
+def test_stages_begin_with_heaps_given_back(spark, none):
+    import corpus_pipeline as c
+
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName()]
+    for name in ("exact_dedup", "near_dedup", "mixing"):
+        before = sum(b.getCollectionCount() for b in beans)
+        assert dict(c.STAGES)[name](spark, none, "").count() == 0
+        assert sum(b.getCollectionCount() for b in beans) > before, name
+
+
 def test_urls_by_rule_and_by_rank(spark):
     cases = {
         "http://a.net/x": ("a.net", "/x", "net/", "block"), "https://WWW.Example.NET/en/1?q=/de/": ("www.example.net", "/en/1", "example.net/en/", "allow"), "http://net": ("net", "", None, "allow"),

@@ -23,6 +23,8 @@ COMMON = 1 / 1000
 PER_TASK = 8192
 #: Shingles whose local counts a task sums at a time; shingles that are sampled at a time.
 HELD, CHUNK = 3_000_000, 1 << 16
+#: Bits of a hash that tell the ranges in which a task merges its counts.
+RANGES = 3
 #: Letters of texts that are cut into words together.
 TOGETHER = 2_000_000
 #: Samples of which a pair must agree in so many to be tested: of one of similarity 0.8 fewer agree with a chance of 1 in 100,000.
@@ -120,52 +122,71 @@ def shingles_of(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray,
             yield words[cuts[d] : cuts[d + 1]], shingles[bounds[d] : bounds[d + 1]]
 
 
-def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and document counts of all shingles in at least `share` of the n texts: exact, and at most (mean length / share) of them.
+class Tally:
+    """Counts of the shingles of a task's texts, without those that are rare so far: `unseen` is the most that was given up of a shingle before its count began, `lost` the most of any."""
 
-    Each task counts its own texts, and gives up shingles that are in no more than half the share of these; what it gives up is bounded by that
-    half, so summed counts and bounds are above each shingle's count, and only shingles for which they reach the share (a bounded number) are counted in a second pass.
-    """
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, share: float):
         none = np.empty(0, np.int64)
-        parts, ids, counts, unseen, held, docs, lost = [], none.view(np.uint64), none, none, 0, 0, 0
-
-        def prune() -> None:
-            """Merge what is held, and give up what is rare so far: `unseen` is the most that was given up of a shingle before its count began, `lost` the most of any."""
-            nonlocal ids, counts, unseen, lost
-            own, n = np.unique(np.concatenate([*parts, ids[:0]]), return_counts=True)
-            parts.clear()
-            before = np.full(len(own), lost)
+        self.share, self.parts, self.held, self.docs, self.lost = share, [], 0, 0, 0
+        self.ids, self.counts, self.unseen = none.view(np.uint64), none, none
+
+    def add(self, shingles: np.ndarray) -> None:
+        """Take in a text's shingles: distinct, ascending."""
+        self.parts.append(shingles)
+        self.held, self.docs = self.held + len(shingles), self.docs + 1
+
+    def prune(self) -> None:
+        """Merge what is held, and give up what is rare so far; a range of hashes at a time, so that a task needs little more than what it holds."""
+        most = max(self.lost, math.ceil(self.share * self.docs / 2) - 1)
+        home = self.ids >> np.uint64(64 - RANGES)
+        limits = np.arange(1, 1 << RANGES, dtype=np.uint64) << np.uint64(64 - RANGES)
+        cuts = [[0, *np.searchsorted(p, limits).tolist(), len(p)] for p in self.parts]
+        kept, lost = [], self.lost
+        for r in range(1 << RANGES):
+            here = home == r
+            ids, counts, unseen = self.ids[here], self.counts[here], self.unseen[here]
+            own, n = np.unique(np.concatenate([*(p[c[r] : c[r + 1]] for p, c in zip(self.parts, cuts, strict=True)), ids[:0]]), return_counts=True)
+            before = np.full(len(own), self.lost)
             at = np.searchsorted(own, ids)
             at[at == len(own)] = 0
             met = own[at] == ids if len(own) else np.zeros(len(ids), bool)
             n[at[met]] += counts[met]
             before[at[met]] = unseen[met]
             own, n, before = (np.concatenate([x, y[~met]]) for x, y in ((own, ids), (n, counts), (before, unseen)))
-            most = max(lost, math.ceil(share * docs / 2) - 1)
             keep = n + before > most
             lost = max(lost, int((n + before)[~keep].max(initial=0)))
-            ids, counts, unseen = own[keep], n[keep], before[keep]
+            kept.append((own[keep], n[keep], before[keep]))
+        self.parts, self.held, self.lost = [], 0, lost
+        self.ids, self.counts, self.unseen = (np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def common_shingles(texts: DataFrame, n: int, rounds: Rounds, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and document counts of all shingles in at least `share` of the n texts: exact, and at most (mean length / share) of them.
+
+    Each task counts its own texts, and gives up shingles that are in no more than half the share of these; what it gives up is bounded by that
+    half, so summed counts and bounds are above each shingle's count, and only shingles for which they reach the share (a bounded number) are counted in a second pass.
+    """
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(share)
 
         def flush() -> pa.RecordBatch:
-            data = np.append(ids.view(np.int64), 0), np.append(counts + unseen - lost, lost), np.append(np.zeros(len(ids), bool), True)
+            data = np.append(tally.ids.view(np.int64), 0), np.append(tally.counts + tally.unseen - tally.lost, tally.lost), np.append(np.zeros(len(tally.ids), bool), True)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in data], ["shingle", "over", "task"])
 
         for batch in batches:
             for _, s in shingles_of(batch.column("text")):
-                parts.append(np.unique(s))
-                held, docs = held + len(parts[-1]), docs + 1
-                if held >= HELD:
-                    prune()
-                    held = 0
-                    if len(ids) >= HELD // 2:  # long texts, few of which are many: nothing is rare among them
+                tally.add(np.unique(s))
+                if tally.held >= HELD:
+                    tally.prune()
+                    if len(tally.ids) >= HELD // 2:  # long texts, few of which are many: nothing is rare among them
                         yield flush()
-                        ids, counts, unseen, docs, lost = ids[:0], none, none, 0, 0
+                        tally = Tally(share)
             give_back()
-        if docs:
-            prune()
+        if tally.docs:
+            tally.prune()
             yield flush()
+        del tally
         give_back()
 
     tasks = max(1, n // PER_TASK)
