@@ -334,3 +334,18 @@ def test_training_describes_its_points_once(spark, monkeypatch):
     _, history = pipelines.train(p, Training(min_points=20, trees=3, depth=3, neighbours=6))
     row = history.first()
     assert len(described) == 1 and row.epoch == 1 and row.acc > 0.5
+
+
+def test_a_cut_gives_back_what_the_driver_has_freed(spark):
+    import time
+
+    from timberline.plans import tables
+
+    memory = spark._jvm.java.lang.Runtime.getRuntime()
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(256 << 20) for _ in range(5)]
+    grown = memory.totalMemory()
+    del held
+    time.sleep(3)  # the gateway lets go of them once a second
+    rows = cut(spark.range(3))
+    assert memory.totalMemory() < grown - (400 << 20)
+    assert tables.trim_native(spark) and sorted(r.id for r in rows.collect()) == [0, 1, 2]
