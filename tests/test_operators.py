@@ -336,6 +336,16 @@ def test_training_describes_its_points_once(spark, monkeypatch):
     assert len(described) == 1 and row.epoch == 1 and row.acc > 0.5
 
 
+def test_a_forest_of_two_classes_is_sent_after_an_observed_run(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.max("id").alias("most")).collect()
+    rows = spark.createDataFrame([(i, *[float(i % 2 + k) for k in range(6)], i % 2) for i in range(40)], ["pid", *classify.FEATURES, "label"])
+    got = classify.probabilities(rows, classify.fit_forest(rows, trees=3, depth=2)).collect()
+    assert seen.get["most"] == 2 and len(got) == 40 and all((r.p_leaf > 0.5) == (r.pid % 2 == 1) for r in got)
+
+
 def test_a_cut_gives_back_what_the_driver_has_freed(spark):
     import time
 
